@@ -16,7 +16,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is shared too, (3) of those, the SHA-256 of the whole text. Only keys of a few bytes are shuffled,
     never texts, and every grouping is aggregated before its shuffle, so a group of a third of all rows
     is one row per task. The candidates' keys are broadcast if there are at most ``max_broadcast``;
-    beyond that every row is hashed in the scan, which costs less than moving texts to a join.
+    beyond that every row is hashed in the scan, which costs less than moving texts to a join. The
+    groups found come back to their rows by a broadcast within the same bound, else by a join on the hash.
 
     Null text counts as empty, and empty texts form one group. A null id is smaller than any other.
     Rows repeated with one id and text: one of them is kept. An empty table gives no rows; other
@@ -26,14 +27,15 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(f"`{id_col}`").alias("id"), ascii_lower(whole(text_col)).alias("body"))
     rows = rows.select("id", "body", F.octet_length("body").alias("size"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix"))
     keys = cut(rows.select("size", "prefix"))
-    sizes = keys.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size")
-    alike = cut(keys.join(sizes, "size", "left_semi").groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size", "prefix", F.lit(True).alias("alike")))
+    pairs = keys.groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    sizes = pairs.groupBy("size").agg(F.sum("n").alias("total")).filter("total > 1").select("size")
+    alike = cut(pairs.filter("n > 1").join(sizes, "size", "left_semi").select("size", "prefix", F.lit(True).alias("alike")))
     few = alike.limit(max_broadcast + 1).count() <= max_broadcast
     rows = rows.join(F.broadcast(alike), ["size", "prefix"], "left") if few else rows.withColumn("alike", F.lit(True))
     digest = F.sha2(F.col("body").cast("binary"), 256)
     hashed = cut(rows.select("id", F.monotonically_increasing_id().alias("row"), "size", "alike", (digest if hash_all or not few else F.when(F.col("alike"), digest)).alias("full_hash")))
-    groups = hashed.filter("alike").groupBy("size", "full_hash").agg(F.max(F.struct("id", "row")).alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out = hashed.join(groups, ["size", "full_hash"], "left")
+    groups = cut(hashed.filter("alike").groupBy("size", "full_hash").agg(F.max(F.struct("id", "row")).alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    out = hashed.join(small(groups, max_broadcast), ["size", "full_hash"], "left")
     return out.select(
         "id",
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("last.id")).alias("keep_id"),
