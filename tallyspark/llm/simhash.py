@@ -15,7 +15,7 @@ from ._common import WHITE, cut, whole
 
 _FOLD = bytes.maketrans(WHITE, b" " * len(WHITE))
 #: Node pairs held at once in a traversal, and leaf pairs compared at once.
-FRONTIER, LEAVES = 1 << 17, 1 << 20
+FRONTIER, LEAVES = 1 << 14, 1 << 17
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -112,7 +112,7 @@ def trie_links(keys: np.ndarray, halves: tuple[tuple[int, int], tuple[int, int]]
             continue
         pairs = pairs[~joined(pairs)]
         work = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
-        leaf = (work <= 32) | (level == 64)
+        leaf = (work <= 64) | (level == 64)
         leaves, pairs = pairs[leaf], pairs[~leaf]
         if len(leaves):
             work = work[leaf]
@@ -143,15 +143,15 @@ def trie_links(keys: np.ndarray, halves: tuple[tuple[int, int], tuple[int, int]]
     return sets
 
 
-def near_links(distinct: DataFrame, most: int, rows: int, block_rows: int = 1 << 16) -> DataFrame:
+def near_links(distinct: DataFrame, most: int, rows: int, block_rows: int = 1 << 14) -> DataFrame:
     """u, v (v < u) of distinct fingerprints: stars that connect what links of at most ``most`` bits connect.
 
     distinct: fingerprint. The trie's first levels are the partitioning: a pair of subtrees under
     prefixes that differ in at most ``most`` bits is one group. A fingerprint goes to the groups of its
     prefix, so longer prefixes send more copies: subtrees have about ``block_rows`` keys, or the number
-    of keys to the power 2/3 where that is more.
+    of keys to the power 2/3 where that is more; there are sixteen at least.
     """
-    bits = max(2, min(20, int(np.ceil(np.log2(max(1, rows / max(block_rows, rows ** (2 / 3))))))))
+    bits = max(4, min(20, int(np.ceil(np.log2(max(1, rows / max(block_rows, rows ** (2 / 3))))))))
     flips = [sum(1 << b for b in at) for n in range(min(most, bits) + 1) for at in combinations(range(bits), n)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
