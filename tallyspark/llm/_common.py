@@ -62,4 +62,4 @@ def whole(text_col: str) -> Column:
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, counted; beyond that Spark joins by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df

@@ -30,7 +30,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = keys.groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("n"))
     sizes = pairs.groupBy("size").agg(F.sum("n").alias("total")).filter("total > 1").select("size")
     alike = cut(pairs.filter("n > 1").join(sizes, "size", "left_semi").select("size", "prefix", F.lit(True).alias("alike")))
-    few = alike.limit(max_broadcast + 1).count() <= max_broadcast
+    few = alike.count() <= max_broadcast
     rows = rows.join(F.broadcast(alike), ["size", "prefix"], "left") if few else rows.withColumn("alike", F.lit(True))
     digest = F.sha2(F.col("body").cast("binary"), 256)
     hashed = cut(rows.select("id", F.monotonically_increasing_id().alias("row"), "size", "alike", (digest if hash_all or not few else F.when(F.col("alike"), digest)).alias("full_hash")))

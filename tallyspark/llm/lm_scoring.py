@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ._common import WHITE, cut, whole
 
 _FOLD = bytes.maketrans(WHITE, b" " * len(WHITE))
+_ZSTD = pa.Codec("zstd", 3)
 #: Bytes of text that a task turns into arrays at once, and of one block of the word exchange.
-CHUNK, BLOCK = 4 << 20, 24 << 20
+CHUNK, BLOCK = 1 << 20, 8 << 20
 
 
 def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +38,16 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key[coded], np.r_[0, np.cumsum(sizes + 1)[:-1]]
 
 
+def squeeze(of: np.ndarray, place: np.ndarray) -> bytes:
+    """Ranges and places in them, compressed by byte planes."""
+    return _ZSTD.compress(of.view(np.uint8).reshape(-1, 2).T.tobytes() + place.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def unsqueeze(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(_ZSTD.decompress(data, 6 * n, asbytes=True), np.uint8).reshape(6, n) if n else np.zeros((6, 0), np.uint8)
+    return planes[:2].T.copy().view(np.uint16).ravel(), planes[2:].T.copy().view(np.uint32).ravel()
+
+
 def count_grams(df: DataFrame, depth: int) -> DataFrame:
     """gram, n over all rows of df (text); a task adds up its own before the shuffle."""
 
@@ -57,7 +68,7 @@ def count_grams(df: DataFrame, depth: int) -> DataFrame:
                 size += len(held[-1])
                 if size > CHUNK:
                     add()
-                    if len(keys) > 1 << 21:
+                    if len(keys) > 1 << 20:
                         yield pa.RecordBatch.from_pydict({"gram": keys, "n": counts})
                         keys, counts = keys[:0], counts[:0]
         if held:
@@ -86,52 +97,62 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
+def distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]] if len(ordered) else ordered
+
+
 class Tree:
-    """A context tree with its weights; arrays only, so it pickles.
+    """A context tree with its weights.
 
     Each byte is eight binary decisions, and every decision, known by the bits before it, has a context
     tree of its own over the preceding bytes. keys[d] and cumulated[d] hold the counts of depth d by
     (context, byte); a decision's counts are sums over a range of them. odds[d] is, per node, the log
     odds that weighting gives to its own estimate against its children's, from the whole training text.
     Coding mixes, from the deepest context in the tree upward, the estimates of all depths by them.
+
+    Pickled are counts, odds and the deepest grams' probabilities; nodes and hash table are made again.
     """
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """levels[d]: keys in ascending order, context and byte of depth d, and their counts."""
-        self.depth = len(levels) - 1
-        self.keys = [k for k, _ in levels]
-        self.cumulated = [np.r_[0, np.cumsum(n)] for _, n in levels]
-        self.odds: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in levels]
+        self._index([k for k, _ in levels], [n for _, n in levels])
+        self.odds: list[list[np.ndarray]] = [[] for _ in levels]
         for bit in range(8):
             below: tuple[np.ndarray, np.ndarray] | None = None
             for d in range(self.depth, -1, -1):
-                nodes = np.unique(self.keys[d] >> (8 - bit))
+                nodes = self.nodes[d][bit] if d < self.depth else distinct(self.keys[d] >> (8 - bit))
                 n0, n1 = self._counts(d, nodes, bit)
                 own = log_kt(n0, n1)
                 if below is None:
                     weighted = own
                 else:
                     at = np.searchsorted(nodes, below[0])
-                    children = np.bincount(at, below[1], len(nodes))
+                    children = np.bincount(at, below[1], len(nodes)) + self._uncovered(d, nodes, bit, n0 + n1)
                     bare = np.bincount(at, minlength=len(nodes)) == 0  # a leaf of a pruned tree
-                    seen = self._covered(d, nodes, bit, n0 + n1)
-                    children = children + seen
                     weighted = np.where(bare, own, np.logaddexp(own, children) - np.log(2))
-                    self.odds[d].append((nodes, np.where(bare, 60.0, np.clip(own - children, -60, 60)).astype(np.float32)))
+                    self.odds[d].append(np.where(bare, 60.0, np.clip(own - children, -60, 60)).astype(np.float32))
                 if d:
-                    mask = (1 << (8 * (d - 1) + bit)) - 1
-                    parents = nodes & mask
-                    below = (parents, weighted)
-        start = np.arange(2 ** max(4, int(2 * len(self.keys[-1])).bit_length()))
-        self.mask = len(start) - 1
-        self.table, self.values = np.full(len(start), -1, np.int64), np.zeros(len(start), np.float32)
-        self._fill()
-
-    def _covered(self, d: int, nodes: np.ndarray, bit: int, total: np.ndarray) -> np.ndarray:
+                    below = (nodes & ((1 << (8 * (d - 1) + bit)) - 1), weighted)
+        deep = self.keys[-1]
+        self.found = np.concatenate([np.zeros(0, np.float32), *[self.slow(deep[at : at + (1 << 16)]).astype(np.float32) for at in range(0, len(deep), 1 << 16)]])
+
+    def _index(self, keys: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        self.depth, self.keys, self.counts = len(keys) - 1, keys, counts
+        self.cumulated = [np.r_[0, np.cumsum(n)] for n in counts]
+        self.nodes = [[distinct(k >> (8 - bit)) for bit in range(8)] for k in keys[:-1]]
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "counts": self.counts, "odds": self.odds, "found": self.found}
+
+    def __setstate__(self, state: dict) -> None:
+        self._index(state["keys"], state["counts"])
+        self.odds, self.found = state["odds"], state["found"]
+
+    def _uncovered(self, d: int, nodes: np.ndarray, bit: int, total: np.ndarray) -> np.ndarray:
         """Log estimate of what children outside a pruned tree saw: nothing is known, so a half each bit."""
         deeper = np.zeros(len(nodes), np.int64)
         mask = (1 << (8 * d + bit)) - 1
-        inner = np.unique(self.keys[d + 1] >> (8 - bit))
+        inner = distinct(self.keys[d + 1] >> (8 - bit))
         n0, n1 = self._counts(d + 1, inner, bit)
         np.add.at(deeper, np.searchsorted(nodes, inner & mask), n0 + n1)
         return (total - deeper) * np.log(0.5)
@@ -155,7 +176,7 @@ class Tree:
                 n0, n1 = self._counts(d, node, bit)
                 own = (np.where(one, n1, n0) + 0.5) / (n0 + n1 + 1.0)
                 if d < self.depth:
-                    nodes, odds = self.odds[d][bit]
+                    nodes, odds = self.nodes[d][bit], self.odds[d][bit]
                     w = odds[np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)] if len(nodes) else np.zeros(len(key))
                     share = 1 / (1 + np.exp(-w.astype(np.float64)))
                     own = np.where(p < 0, own, share * own + (1 - share) * p)
@@ -166,32 +187,37 @@ class Tree:
     def _slots(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & self.mask
 
-    def _fill(self) -> None:
-        """A hash table from the deepest grams to their probabilities."""
-        for at in range(0, len(self.keys[-1]), 1 << 18):
-            key = self.keys[-1][at : at + (1 << 18)]
-            value, slot = self.slow(key).astype(np.float32), self._slots(key)
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """An open-addressed hash table from the deepest grams to their probabilities, made at first use."""
+        if not hasattr(self, "_table"):
+            self.mask = 2 ** max(4, (2 * len(self.keys[-1])).bit_length()) - 1
+            table, values = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.float32)
+            key, value = self.keys[-1], self.found
+            slot = self._slots(key)
             while len(key):
-                free = self.table[slot] < 0
-                self.table[slot[free]] = key[free]  # of several for one slot, the last stays
-                won = self.table[slot] == key
-                self.values[slot[won]] = value[won]
+                free = table[slot] < 0
+                table[slot[free]] = key[free]  # of several for one slot, the last stays
+                won = table[slot] == key
+                values[slot[won]] = value[won]
                 key, value, slot = key[~won], value[~won], (slot[~won] + 1) & self.mask
+            self._table = (table, values)
+        return self._table
 
     def score(self, key: np.ndarray) -> np.ndarray:
         """As slow(), from the table where it has the gram."""
-        out, slot = np.zeros(len(key)), self._slots(key)
-        found = self.table[slot]
-        out = self.values[slot].astype(np.float64)
+        table, values = self.table()
+        slot = self._slots(key)
+        found = table[slot]
+        out = values[slot].astype(np.float64)
         left = np.flatnonzero(found != key)
         missing = [left[found[left] < 0]]
         left = left[found[left] >= 0]
         slot = slot[left]
         while len(left):
             slot = (slot + 1) & self.mask
-            found = self.table[slot]
+            found = table[slot]
             hit = found == key[left]
-            out[left[hit]] = self.values[slot[hit]]
+            out[left[hit]] = values[slot[hit]]
             missing.append(left[found < 0])
             go = ~hit & (found >= 0)
             left, slot = left[go], slot[go]
@@ -202,7 +228,7 @@ class Tree:
         return out
 
 
-def train_tree(training: DataFrame, depth: int = 5, capacity: int = 1 << 22) -> Tree:
+def train_tree(training: DataFrame, depth: int = 5, capacity: int = 1 << 21) -> Tree:
     """A Tree from all rows of training (text).
 
     Counts cover the whole text of every row. ``capacity`` bounds the model, not the data: where there
@@ -214,7 +240,7 @@ def train_tree(training: DataFrame, depth: int = 5, capacity: int = 1 << 22) ->
     for d in range(depth + 1):
         level = counted if d == depth else counted.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
         context = F.call_function("shiftright", F.col("gram"), F.lit(8))
-        if level.limit(capacity + 1).count() > capacity:
+        if level.count() > capacity:
             per = level.groupBy(context.alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
             sizes = sorted(per.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.sum("pairs").alias("pairs")).collect(), reverse=True)
             total, least = 0, 0
@@ -236,7 +262,7 @@ def held_out(id_: Column, parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, depth: int = 5, capacity: int = 1 << 22) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, depth: int = 5, capacity: int = 1 << 21) -> DataFrame:
     """One row per input row: id (as a string), held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Learns from rows that are not held_out(). score is the log10 probability that the context tree gives
@@ -277,11 +303,17 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 score()
             lengths = [len(h) for h in hashes]
             unique, where = np.unique(np.concatenate(hashes), return_inverse=True)
+            hashes = []
             trained = np.repeat(np.array([not d[1] for d in docs]), lengths)
             counts = np.bincount(where[trained], minlength=len(unique)).astype(np.uint32)
             block = base_number + number
             of = (unique >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64)
             cuts = np.searchsorted(of, np.arange(ranges + 1))
+            order = np.lexsort((-np.bincount(where, minlength=len(unique)), of))  # frequent words first in each range
+            unique, counts = unique[order], counts[order]
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order)) - cuts[of]
+            tokens = squeeze(of.astype(np.uint16)[where], place[where])
             some = np.flatnonzero(cuts[1:] > cuts[:-1])
             n = len(some) + 1
             yield pa.RecordBatch.from_pydict(
@@ -290,7 +322,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     "range": pa.array([-1, *some], pa.int32()),
                     "hashes": pa.array([None, *[unique[cuts[k] : cuts[k + 1]].tobytes() for k in some]], pa.binary()),
                     "counts": pa.array([None, *[counts[cuts[k] : cuts[k + 1]].tobytes() for k in some]], pa.binary()),
-                    "tokens": pa.array([where.astype(np.uint32).tobytes(), *[None] * len(some)], pa.binary()),
+                    "tokens": pa.array([tokens, *[None] * len(some)], pa.binary()),
                     "ids": pa.array([[d[0] for d in docs], *[None] * len(some)], pa.list_(pa.string())),
                     "held": pa.array([[d[1] for d in docs], *[None] * len(some)], pa.list_(pa.bool_())),
                     "bytes": pa.array([[d[2] for d in docs], *[None] * len(some)], pa.list_(pa.int64())),
@@ -334,17 +366,18 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     log_total, log_end = float(np.log10(n + v + 1)), float(np.log10(ends + 1))
 
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows.column("range").to_numpy())
-        counts = [rows.column("answer")[k].as_py() for k in order]
+        number = rows.column("range").to_numpy()
+        order = np.argsort(number)
         doc = rows.slice(int(order[0]), 1).to_pylist()[0]
-        found = np.frombuffer(b"".join(c for c in counts if c is not None), np.int64)
-        each = found[np.frombuffer(doc["tokens"], np.uint32)]
-        ends_at = np.cumsum(doc["lengths"])
-        logs, known = np.r_[0.0, np.cumsum(np.log10(each + 1.0))], np.r_[0, np.cumsum(each > 0)]
+        answer = [np.frombuffer(rows.column("answer")[int(k)].as_py(), np.int64) for k in order[1:]]
+        base = np.zeros(ranges, np.int64)
+        base[number[order[1:]]] = np.cumsum([0, *map(len, answer)])[:-1]
         lengths = np.array(doc["lengths"], np.int64)
-        starts = ends_at - lengths
+        of, place = unsqueeze(doc["tokens"], int(lengths.sum()))
+        each = np.concatenate([*answer, np.zeros(0, np.int64)])[base[of] + place]
+        ends_at = np.cumsum(lengths)
+        starts, known = ends_at - lengths, np.r_[0, np.cumsum(each > 0)]
         sums = np.array([np.log10(each[a:b] + 1.0).sum() for a, b in zip(starts, ends_at, strict=True)])
-        del logs
         return pa.table(
             {
                 "id": pa.array(doc["ids"], pa.string()),
