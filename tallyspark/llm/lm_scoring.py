@@ -133,13 +133,13 @@ class Tree:
                     self.odds[d].append(np.where(bare, 60.0, np.clip(own - children, -60, 60)).astype(np.float32))
                 if d:
                     below = (nodes & ((1 << (8 * (d - 1) + bit)) - 1), weighted)
-        deep = self.keys[-1]
-        self.found = np.concatenate([np.zeros(0, np.float32), *[self.slow(deep[at : at + (1 << 16)]).astype(np.float32) for at in range(0, len(deep), 1 << 16)]])
+        self.found = [np.concatenate([np.zeros(0, np.float32), *[self.slow(k[at : at + (1 << 16)], d).astype(np.float32) for at in range(0, len(k), 1 << 16)]]) for d, k in enumerate(self.keys)]
 
     def _index(self, keys: list[np.ndarray], counts: list[np.ndarray]) -> None:
         self.depth, self.keys, self.counts = len(keys) - 1, keys, counts
         self.cumulated = [np.r_[0, np.cumsum(n)] for n in counts]
         self.nodes = [[distinct(k >> (8 - bit)) for bit in range(8)] for k in keys[:-1]]
+        self.contexts = [distinct(k >> 8) for k in keys]
 
     def __getstate__(self) -> dict:
         return {"keys": self.keys, "counts": self.counts, "odds": self.odds, "found": self.found}
@@ -165,13 +165,13 @@ class Tree:
         s = self.cumulated[d]
         return s[b] - s[a], s[c] - s[b]
 
-    def slow(self, key: np.ndarray) -> np.ndarray:
-        """Log10 probability of each gram's byte after its context."""
+    def slow(self, key: np.ndarray, top: int | None = None) -> np.ndarray:
+        """Log10 probability of each gram's byte after its context, of which the last ``top`` bytes count."""
         total = np.zeros(len(key))
         for bit in range(8):
             p = np.full(len(key), -1.0)
             one = (key >> (7 - bit)) & 1 == 1
-            for d in range(self.depth, -1, -1):
+            for d in range(self.depth if top is None else top, -1, -1):
                 node = (key & ((1 << (8 * (d + 1))) - 1)) >> (8 - bit)
                 n0, n1 = self._counts(d, node, bit)
                 own = (np.where(one, n1, n0) + 0.5) / (n0 + n1 + 1.0)
@@ -192,7 +192,7 @@ class Tree:
         if not hasattr(self, "_table"):
             self.mask = 2 ** max(4, (2 * len(self.keys[-1])).bit_length()) - 1
             table, values = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.float32)
-            key, value = self.keys[-1], self.found
+            key, value = self.keys[-1], self.found[-1]
             slot = self._slots(key)
             while len(key):
                 free = table[slot] < 0
@@ -222,9 +222,22 @@ class Tree:
             go = ~hit & (found >= 0)
             left, slot = left[go], slot[go]
         rest = np.concatenate(missing)
-        if len(rest):
-            unique, where = np.unique(key[rest], return_inverse=True)
-            out[rest] = self.slow(unique)[where]
+        for d in range(self.depth, -1, -1):  # the deepest context in the tree codes; where it never saw the byte, slowly
+            if not len(rest):
+                return out
+            own = key[rest] & ((1 << (8 * (d + 1))) - 1)
+            if d < self.depth and len(self.keys[d]):
+                at = np.minimum(np.searchsorted(self.keys[d], own), len(self.keys[d]) - 1)
+                hit = self.keys[d][at] == own
+                out[rest[hit]] = self.found[d][at[hit]]
+                rest, own = rest[~hit], own[~hit]
+            contexts = self.contexts[d]
+            inside = contexts[np.minimum(np.searchsorted(contexts, own >> 8), len(contexts) - 1)] == own >> 8 if len(contexts) else np.zeros(len(own), bool)
+            if inside.any():
+                unique, where = np.unique(own[inside], return_inverse=True)
+                out[rest[inside]] = self.slow(unique, d)[where]
+            rest = rest[~inside]
+        out[rest] = 8 * np.log10(0.5)
         return out
 
 
