@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,19 +134,30 @@ def labelled_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return df.join(some, F.col(f"`{id_col}`") == F.col("__id")).select(F.col(f"`{text_col}`").alias("text"), F.col("__toxic").alias("toxic"))
 
 
+def _copy_key(texts: pa.Array) -> pa.Array:
+    """The smallest hash of a folded text's four-word runs, which near copies mostly share."""
+    out = []
+    for text in texts:
+        words = fold(text.as_py()).split()
+        out.append(min(xxhash.xxh64_intdigest(" ".join(words[k : k + 4])) for k in range(max(1, len(words) - 3))))
+    return pa.array(np.array(out, np.uint64).view(np.int64))
+
+
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_candidates: int = 50_000, shortest: int = 4, longest: int = 10) -> Model:
     """A Model from rows with a 0/1 label.
 
     The fit uses a bounded sample: about ``max_rows`` rows, chosen by a hash of the text, all of them where there
-    are fewer. Candidate entries are words and word beginnings of ``shortest`` to ``longest`` letters,
+    are fewer; of near copies with one label, one row counts, as copies would make every word of a text
+    look telling. Candidate entries are words and word beginnings of ``shortest`` to ``longest`` letters,
     the ``max_candidates`` that most toxic rows of the sample hold; an entry stays if its likelihood
     ratio against the base rate beats chance among so many candidates, and if it is no extension of an
-    entry that does as well. Its weight is the smoothed log odds. Exceptions are an entry's word with a
+    entry that does as well. Its weight is the smoothed log odds, log(10) at least. Exceptions are an entry's word with a
     neighbour that only clean rows hold. Null labels are left out; null texts count as empty; with one
     class only, every score is that class's rate.
     """
     rows = cut(labelled.select(whole(text_col).alias("text"), F.col(f"`{label_col}`").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1)))
     rows = _sample(rows, F.col("text"), max_rows)
+    rows = cut(rows.groupBy(F.arrow_udf(_copy_key, "long")(F.col("text")).alias("copy"), "toxic").agg(F.min("text").alias("text")))
     totals = dict(rows.groupBy("toxic").count().collect())
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
@@ -167,7 +179,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     lexicon: dict[str, float] = {}
     for e in sorted(fit, key=lambda e: (len(e), e)):
         g, weight = fit[e]
-        if g < chance or weight < math.log(4):
+        if g < chance or weight < math.log(10):
             continue
         if any(fit[e[:n]][1] >= weight - 0.1 for n in range(shortest + 1, len(e)) if e[:n] in lexicon):
             continue
