@@ -288,7 +288,7 @@ def test_toxicity_learns(spark, empty):
         words = rng.choices(plain, k=rng.randint(5, 80))
         if bad:
             words.insert(rng.randrange(len(words)), rng.choice(["grumpf", "Grumpfish", "gr​umpf", "zorkle", "z0rkle"]))
-        elif k % 24 == 0:
+        elif k % 48 == 1:
             words.insert(rng.randrange(len(words)), "zorkle valley")
         rows.append((k, " ".join(words), int(bad)))
     rows += [(5000, None, 0), (5001, "", None)]
