@@ -69,18 +69,18 @@ def document_frequency(df: DataFrame, text_col: str, by: list[str] | None = None
     return terms.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def keyness(target: DataFrame, background: DataFrame, least_docs: int = 8) -> DataFrame:
+def keyness(counts: DataFrame, least_docs: int = 8) -> DataFrame:
     """term, docs, background_docs, z: log odds with the background as prior, over its standard error.
 
-    target, background: term, docs. Sizes are the sums of docs.
+    counts: term, docs, background_docs; totals are their sums. Totals and terms come from one
+    aggregate, whose shuffle is reused, so texts are read once.
     """
-    n = target.agg(F.sum("docs").alias("nt"))
-    m = background.agg(F.sum("docs").alias("nb"), (F.sum("docs") + F.count(F.lit(1))).alias("a0"))
-    joined = target.filter(F.col("docs") >= least_docs).join(background.withColumnRenamed("docs", "bd"), "term", "left").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(m))
-    x, y = F.col("docs").cast("double"), F.coalesce("bd", F.lit(0)).cast("double")
+    totals = counts.agg(F.sum("docs").alias("nt"), F.sum("background_docs").alias("nb"), (F.sum("background_docs") + F.count_if(F.col("background_docs") > 0)).alias("a0"))
+    joined = counts.filter(F.col("docs") >= least_docs).crossJoin(F.broadcast(totals))
+    x, y = F.col("docs").cast("double"), F.col("background_docs").cast("double")
     prior = y + 1
     gap = F.ln((x + prior) / (F.col("nt") + F.col("a0") - x - prior)) - F.ln((y + prior) / (F.col("nb") + F.col("a0") - y - prior))
-    return joined.select("term", "docs", F.coalesce("bd", F.lit(0)).alias("background_docs"), (gap / F.sqrt(1 / (x + prior) + 1 / (y + prior))).alias("z"))
+    return joined.select("term", "docs", "background_docs", (gap / F.sqrt(1 / (x + prior) + 1 / (y + prior))).alias("z"))
 
 
 def bm25(df: DataFrame, id_col: str, text_col: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents; a file that Spark can't split is dealt to all cores, as tokens cost far more than the shuffle of a small table."""
+    df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item with its order's client and quarter. Only the columns a query uses are read."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")

@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions.names import committee_key, filler_key, name_key
 from ..functions.vectors import cosine
 from . import query
-from .tables import table
+from .tables import table, texts
 
 #: A small lexicon for the test tables: phrase and tag; a phrase may have several tags.
 LEXICON = [("apache license", "LIC"), ("license", "LIC"), ("license", "LAW"), ("version 2.0", "LIC"), ("rights reserved", "LAW"), ("all rights reserved", "LAW"), ("the", "ENG"), ("und", "GER"), ("password", "SEC"), ("token", "SEC")]
@@ -33,7 +33,7 @@ def bill_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 def _tags(spark: SparkSession, d: str) -> DataFrame:
     lexicon = spark.createDataFrame(LEXICON, "keyword string, tag string")
-    return tx.tag(table(spark, d, "documents").select("doc_id", "text"), "text", lexicon, _PHRASES, unicode=False)
+    return tx.tag(texts(spark, d).select("doc_id", "text"), "text", lexicon, _PHRASES, unicode=False)
 
 
 _TAGGED = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '\b(?:all\s+rights\s+reserved|rights\s+reserved|apache\s+license|version\s+2\.0|password|license|token|the|und)\b') AS m FROM documents),
@@ -66,15 +66,16 @@ _TERMS = r"""WITH base AS (SELECT doc_id, lang, source, list_filter(regexp_extra
     SELECT * FROM z ORDER BY z DESC, term LIMIT 40""")
 def keyness(spark: SparkSession, d: str) -> DataFrame:
     """Terms that one source uses more than the others."""
-    df = tx.document_frequency(table(spark, d, "documents").withColumn("own", F.col("source") == "src1"), "text", ["own"])
-    out = tx.keyness(df.filter("own").drop("own"), df.filter("not own").drop("own"), least_docs=4)
+    df = tx.document_frequency(texts(spark, d).withColumn("own", F.col("source") == "src1"), "text", ["own"])
+    side = lambda own: F.coalesce(F.sum(F.when(F.col("own") if own else ~F.col("own"), F.col("docs"))), F.lit(0))
+    out = tx.keyness(df.groupBy("term").agg(side(True).alias("docs"), side(False).alias("background_docs")), least_docs=4)
     return out.withColumn("z", F.round("z", 6)).orderBy(F.col("z").desc(), "term").limit(40)
 
 
 @query(f"{_TERMS}, top AS (SELECT term, count(*) AS n FROM terms WHERE term NOT LIKE '% %' GROUP BY 1 ORDER BY n DESC, term LIMIT 15) SELECT lang, term, count(*) AS docs FROM terms JOIN top USING (term) GROUP BY 1, 2")
 def term_emergence(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent terms over a facet; one pass gives both levels."""
-    df = tx.document_frequency(table(spark, d, "documents"), "text", ["lang"]).filter("term NOT LIKE '% %'")
+    df = tx.document_frequency(texts(spark, d), "text", ["lang"]).filter("term NOT LIKE '% %'")
     top = df.groupBy("term").agg(F.sum("docs").alias("n")).orderBy(F.col("n").desc(), "term").limit(15)
     return df.join(F.broadcast(top.select("term")), "term").select("lang", "term", "docs")
 
@@ -94,7 +95,7 @@ def untagged_hits(spark: SparkSession, d: str) -> DataFrame:
     FROM s, t WHERE a + b > 0 ORDER BY score DESC, id LIMIT 20""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """X5."""
-    return tx.bm25(table(spark, d, "documents"), "doc_id", "text", ["the", "license"]).withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "id").limit(20)
+    return tx.bm25(texts(spark, d), "doc_id", "text", ["the", "license"]).withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "id").limit(20)
 
 
 @query("SELECT md5(text) AS hash, min(doc_id) AS first_doc, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY 1")
