@@ -45,3 +45,22 @@ def correlation(x: Column, y: Column) -> Column:
 def distinct_pairs(*parts: Column) -> Column:
     """Distinct tuples, those with a null part included."""
     return F.count_distinct(F.struct(*parts))
+
+
+def small(df: DataFrame, most: int, rows: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if it (or ``rows``, which it is made of) has at most ``most`` rows, counted; else as it is."""
+    return F.broadcast(df) if (df if rows is None else rows).limit(most + 1).count() <= most else df
+
+
+def numbered(df: DataFrame, by: str, name: str, digits: int = 3) -> DataFrame:
+    """df with name, the row's number from 1 in the order of ``by``, a distinct hexadecimal hash.
+
+    Rows are numbered within the hash's first digits and shifted by the counts before them, at most
+    16 ** digits rows, so no task sorts the whole table.
+    """
+    lead = F.substring(F.col(by), 1, digits)
+    counts = df.groupBy(lead.alias("__lead")).agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__lead", F.coalesce(F.sum("__n").over(Window.orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__lead").orderBy(by))
+    out = df.withColumn("__lead", lead).withColumn(name, own).join(F.broadcast(before), "__lead")
+    return out.withColumn(name, F.col(name) + F.col("__before")).drop("__lead", "__before")

@@ -32,3 +32,33 @@ def crosswalk(senate: DataFrame, house: DataFrame) -> DataFrame:
     right = house.select(F.split_part(F.col("senate_id"), F.lit("-"), F.lit(1)).try_cast("long").alias("registrant_id"), F.split_part(F.col("senate_id"), F.lit("-"), F.lit(2)).try_cast("long").alias("client_id"))
     right = right.groupBy("registrant_id", "client_id").agg(F.count(F.lit(1)).alias("house_filings"))
     return left.join(right, ["registrant_id", "client_id"], "left").withColumn("confidence", F.when(F.col("house_filings").isNotNull(), "id").otherwise("none"))
+
+
+def resolve_roster(roster: DataFrame, names: DataFrame, client_names: DataFrame, max_names: int = 100_000) -> DataFrame:
+    """name, status, n_hits for every roster name: 'exact' (without case), 'substring', 'client-only' or 'none'.
+
+    roster, names, client_names: name. The roster is what is broadcast, up to ``max_names`` of its names;
+    names are reduced to distinct ones first, and hits are counted per task before their shuffle.
+    """
+    asked = roster.select("name").distinct()
+    if asked.count() > max_names:
+        raise ValueError(f"a roster of more than {max_names} names")
+    asked = F.broadcast(asked.select("name", F.upper("name").alias("__key")))
+    own = names.select(F.upper("name").alias("__raw")).distinct()
+    hits = own.join(asked, F.contains("__raw", "__key")).groupBy("name").agg(F.count_if(F.col("__raw") == F.col("__key")).alias("same"), F.count(F.lit(1)).alias("within"))
+    clients = client_names.select(F.upper("name").alias("__raw")).distinct().join(asked, F.col("__raw") == F.col("__key")).select("name", F.lit(1).alias("client"))
+    out = asked.join(hits, "name", "left").join(clients, "name", "left")
+    status = F.when(F.col("same") > 0, "exact").when(F.col("within") > 0, "substring").when(F.col("client").isNotNull(), "client-only").otherwise("none")
+    return out.select("name", status.alias("status"), F.coalesce(F.when(F.col("same") > 0, F.col("same")), "within", F.lit(0)).alias("n_hits"))
+
+
+def unique_prefix(asked: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:
+    """asked, name where one begins with the other and only one known name does so.
+
+    Candidates share their first ``least`` letters, so this is an equal join and not a loop over pairs; shorter names don't match.
+    """
+    head = lambda c: F.substring(c, 1, least)
+    a = asked.select("asked").distinct().filter(F.length("asked") >= least).withColumn("__head", head(F.col("asked")))
+    k = known.select("name").distinct().filter(F.length("name") >= least).withColumn("__head", head(F.col("name")))
+    pairs = a.join(k, "__head").filter(F.startswith("name", "asked") | F.startswith("asked", "name"))
+    return pairs.groupBy("asked").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")).filter("n = 1").select("asked", "name")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import correlation, half_even, latest_by, top_per_group
+from ..operators.intervals import as_of
 from . import query
 from .tables import FILINGS, LATEST_SQL, filings, latest_order, money, table
 
@@ -72,11 +73,11 @@ def full_outer_quarter(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "qidx", "full").na.fill(0, ["returned", "open"])
 
 
-@query(f"{FILINGS}, c AS (SELECT issue, qidx, count(*) AS n FROM filings WHERE registrant % 7 = 3 AND ok % 11 = 1 GROUP BY 1, 2) SELECT i.issue, x.qidx, coalesce(n, 0) AS n FROM (SELECT DISTINCT issue FROM filings) i CROSS JOIN (SELECT DISTINCT qidx FROM filings) x LEFT JOIN c USING (issue, qidx)")
+@query(f"{FILINGS}, c AS (SELECT issue, qidx, count(*) AS n FROM filings WHERE flag = 'R' AND amount >= 100000 GROUP BY 1, 2) SELECT i.issue, x.qidx, coalesce(n, 0) AS n FROM (SELECT DISTINCT issue FROM filings) i CROSS JOIN (SELECT DISTINCT qidx FROM filings) x LEFT JOIN c USING (issue, qidx)")
 def spine_cross_join(spark: SparkSession, d: str) -> DataFrame:
     """A dense grid of issue and quarter; both sides are code lists."""
     f = filings(spark, d)
-    cells = f.filter("registrant % 7 = 3 AND ok % 11 = 1").groupBy("issue", "qidx").agg(F.count(F.lit(1)).alias("n"))
+    cells = f.filter("flag = 'R' AND amount >= 100000").groupBy("issue", "qidx").agg(F.count(F.lit(1)).alias("n"))
     return f.select("issue").distinct().crossJoin(f.select("qidx").distinct()).join(cells, ["issue", "qidx"], "left").na.fill(0, ["n"])
 
 
@@ -95,23 +96,18 @@ def peak_quarter(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("client").agg(money(F.sum("a")).alias("total"), F.max_by("qidx", F.struct("a", -F.col("qidx"))).alias("peak"), F.min("qidx").alias("first_quarter"), F.min_by("a", F.struct("qidx")).alias("first_amount"))
 
 
-@query("""WITH e AS (SELECT user_id, event_type, epoch(ts)::BIGINT AS t, event_id FROM events),
-    s AS (SELECT user_id, event_type AS kind, t AS from_t, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id), t) AS to_t, event_id AS seg FROM e WHERE event_id % 20 = 0),
-    l AS (SELECT user_id, event_id, t FROM e WHERE event_id % 20 = 7),
-    r AS (SELECT l.event_id, s.kind, CASE WHEN t BETWEEN from_t AND to_t THEN 'dated' ELSE 'nearest' END AS source,
-            row_number() OVER (PARTITION BY l.event_id ORDER BY CASE WHEN t BETWEEN from_t AND to_t THEN 0 ELSE least(abs(t - from_t), abs(t - to_t)) END, from_t, seg) AS rn
-          FROM l JOIN s USING (user_id))
-    SELECT event_id, kind, source FROM r WHERE rn = 1""")
+@query(f"""{FILINGS}, s AS (SELECT client, min(posted::DATE) AS a, max(posted::DATE) AS b, min(issue) AS kind FROM filings GROUP BY client, year(posted)),
+    l AS (SELECT o_orderkey, o_custkey AS client, o_orderdate::DATE AS t FROM orders),
+    r AS (SELECT o_orderkey, s.kind, CASE WHEN s.client IS NULL THEN NULL WHEN t BETWEEN a AND b THEN 'dated' ELSE 'nearest' END AS source,
+            row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN t BETWEEN a AND b THEN 0 ELSE least(abs(t - a), abs(t - b)) END, a, b, kind) AS rn
+          FROM l LEFT JOIN s USING (client))
+    SELECT o_orderkey, kind, source FROM r WHERE rn = 1""")
 def asof_party(spark: SparkSession, d: str) -> DataFrame:
-    """The interval that holds a date, else the nearest by either end; the first on ties."""
-    e = table(spark, d, "events").select("user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp_ltz")).alias("t"), "event_id")
-    own = Window.partitionBy("user_id").orderBy("t", "event_id")
-    s = e.filter("event_id % 20 = 0").select("user_id", F.col("event_type").alias("kind"), F.col("t").alias("from_t"), F.coalesce(F.lead("t").over(own), F.col("t")).alias("to_t"), F.col("event_id").alias("seg"))
-    j = e.filter("event_id % 20 = 7").select("user_id", "event_id", "t").join(s, "user_id")
-    inside = F.col("t").between(F.col("from_t"), F.col("to_t"))
-    away = F.when(inside, F.lit(0)).otherwise(F.least(F.abs(F.col("t") - F.col("from_t")), F.abs(F.col("t") - F.col("to_t"))))
-    best = j.groupBy("event_id").agg(F.min(F.struct(away.alias("away"), "from_t", "seg", "kind", F.when(inside, "dated").otherwise("nearest").alias("source"))).alias("b"))
-    return best.select("event_id", "b.kind", "b.source")
+    """The interval that holds a date, else the nearest by either end; the first on ties. A client has one interval a year."""
+    day = F.to_date("posted")
+    s = filings(spark, d).groupBy("client", F.year(day).alias("year")).agg(F.min(day).alias("a"), F.max(day).alias("b"), F.min("issue").alias("kind"))
+    points = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("client"), F.to_date("o_orderdate").alias("t"))
+    return as_of(points, s, "client", "t", "a", "b", "kind").select("o_orderkey", "kind", "source")
 
 
 @query(f"{FILINGS} SELECT yr, count(DISTINCT registrant) AS firms, count(DISTINCT (registrant, client)) AS pairs, count(DISTINCT (CASE WHEN flag = 'R' THEN registrant END, client)) AS pairs_with_null, count(DISTINCT registrant || '|' || CASE WHEN flag = 'R' THEN issue END) AS joined FROM filings GROUP BY yr")
@@ -230,11 +226,11 @@ def pivot_wide(spark: SparkSession, d: str) -> DataFrame:
     return out.select("issue", *[money(F.col(f"`{k}`")).alias(f"q{k}") for k in (1, 2, 3, 4)])
 
 
-@query(f"{FILINGS} SELECT client, qidx, registrant, ok, ln, pk, count(*) OVER (PARTITION BY client) AS n_client, bool_or(flag = 'R') OVER (PARTITION BY client, qidx) AS any_r, count(*) OVER (PARTITION BY client, qidx, registrant) > 1 AS repeated, max(posted) OVER (PARTITION BY client, qidx) = posted AS is_last FROM filings WHERE client % 10 = 1")
+@query(f"{FILINGS} SELECT client, qidx, registrant, ok, ln, pk, count(*) OVER (PARTITION BY client) AS n_client, bool_or(flag = 'R') OVER (PARTITION BY client, qidx) AS any_r, count(*) OVER (PARTITION BY client, qidx, registrant) > 1 AS repeated, max(posted) OVER (PARTITION BY client, qidx) = posted AS is_last FROM filings")
 def window_whole(spark: SparkSession, d: str) -> DataFrame:
     """Whole-partition windows."""
     pair = Window.partitionBy("client", "qidx")
-    return filings(spark, d).filter("client % 10 = 1").select(
+    return filings(spark, d).select(
         "client", "qidx", "registrant", "ok", "ln", "pk", F.count(F.lit(1)).over(Window.partitionBy("client")).alias("n_client"), F.bool_or(F.col("flag") == "R").over(pair).alias("any_r"),
         (F.count(F.lit(1)).over(Window.partitionBy("client", "qidx", "registrant")) > 1).alias("repeated"), (F.max("posted").over(pair) == F.col("posted")).alias("is_last"),
     )
@@ -282,11 +278,11 @@ def theta_other_registrant(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["client", "qidx"]).filter("one < other")
 
 
-@query("""SELECT e.event_id, coalesce(c.c_name, s.s_name) AS who FROM (SELECT event_id, user_id, event_id % 2 = 0 AS senate FROM events WHERE event_id % 5 = 0) e
+@query("""SELECT e.event_id, coalesce(c.c_name, s.s_name) AS who FROM (SELECT event_id, user_id, event_id % 2 = 0 AS senate FROM events) e
     LEFT JOIN customer c ON senate AND c_custkey = user_id LEFT JOIN supplier s ON NOT senate AND s_suppkey = user_id""")
 def conditional_left_join(spark: SparkSession, d: str) -> DataFrame:
     """A row's kind picks the table it joins."""
-    e = table(spark, d, "events").filter("event_id % 5 = 0").select("event_id", "user_id", (F.col("event_id") % 2 == 0).alias("senate"))
+    e = table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 2 == 0).alias("senate"))
     c, s = table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "supplier").select("s_suppkey", "s_name")
     out = e.join(c, F.col("senate") & (F.col("c_custkey") == F.col("user_id")), "left").join(s, ~F.col("senate") & (F.col("s_suppkey") == F.col("user_id")), "left")
     return out.select("event_id", F.coalesce("c_name", "s_name").alias("who"))
