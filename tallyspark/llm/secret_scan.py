@@ -9,6 +9,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,16 +23,22 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # runs of 16 characters or more; a shorter run holds no longer one
 HEX = re.compile(r"[0-9a-f]{32,}")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-#: Base64 of a DER sequence of over 127 bytes starts with MI; that of an SSH key with AAAA.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:MI|AAAA)[A-Za-z0-9+/]{38,}={0,2}")
-HEX_DER = re.compile(r"(?<![0-9A-Fa-f])308[12][0-9A-Fa-f]{60,}", re.IGNORECASE)
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\[rnt])+)-----END \1-----")
+#: First characters that the parsers can accept: base64 of a sequence's tag, of a short field's length, of openssh-key-v1; the same in hex.
+BASE64 = re.compile(r"M[A-P]|AA|b3Bl")
+HEX_HEAD = re.compile(r"30|00|6[Ff]70")
+#: A line of a run in each alphabet; lines are joined over line ends, written out or escaped, with their indents.
+STANDARD, URLSAFE, DIGITS = (re.compile(rf"[{c}]+") for c in ("A-Za-z0-9+/", "A-Za-z0-9_-", "0-9A-Fa-f"))
+BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)(?:[\x20\t]|\\t)*")
+PADDING = re.compile(r"={0,2}")
+#: Least characters of a run: a 224-bit elliptic-curve key, the shortest the parsers know, has 47 in base64 and 70 in hex.
+LEAST = {STANDARD: 40, URLSAFE: 40, DIGITS: 64}
 #: Object identifiers of public-key algorithms: RSA, elliptic curves, Ed25519, X25519.
 ALGORITHMS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2b6570"), bytes.fromhex("2b656e"))
 
 
 def _decode(text: str, urlsafe: bool = False) -> bytes | None:
-    text = re.sub(r"\s+", "", text).rstrip("=")
+    text = re.sub(r"\s+|\\[rnt]", "", text).rstrip("=")
     try:
         return base64.b64decode((text.replace("-", "+").replace("_", "/") if urlsafe else text) + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -118,8 +125,79 @@ def signed_token(text: str) -> bool:
     return (head_["alg"].lower() == "none") == (not signature) and _decode(signature, urlsafe=True) is not None
 
 
+def joined(text: str, at: int, line: re.Pattern, most: float) -> tuple[str, list[tuple[int, int]]]:
+    """The lines of a run from ``at`` until it has ``most`` characters, and each line's end: characters so far, place in the text."""
+    parts, stops, n = [], [], 0
+    while n < most and (m := line.match(text, at)):
+        parts.append(m[0])
+        n += len(m[0])
+        stops.append((n, m.end()))
+        gap = BREAK.match(text, m.end())
+        if not gap:
+            break
+        at = gap.end()
+    return "".join(parts), stops
+
+
+def lengths(data: bytes) -> list[int]:
+    """Where the structure that data begins with may end, in bytes: a DER sequence, an OpenSSH private key, length-prefixed fields."""
+    if data[:1] == b"\x30" and len(data) > 5:
+        width = data[1] & 0x7F if data[1] & 0x80 else 0
+        return [2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])] if width <= 4 else []
+    at, out, private = 0, [], data.startswith(b"openssh-key-v1\0")
+    if private:
+        at = 15
+    fields = 0
+    while at + 4 <= len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        fields += 1
+        if private and fields == 4:  # the number of public keys, after cipher, derivation and its options
+            last, n = 5 + n, 0
+        at += 4 + n
+        if at > len(data):
+            break
+        out.append(at)
+        if private and fields > 4 and fields == last:
+            return [at]
+    return [] if private else out[1:]
+
+
+def structure(text: str, at: int, line: re.Pattern, cut_off: bool) -> tuple[str, int] | None:
+    """Kind and end of the key or certificate whose base64 or hex begins at ``at``, on one line or wrapped.
+
+    cut_off: a line that begins an OpenSSH private key counts even where the key doesn't end.
+    """
+    decode = (lambda x: bytes.fromhex(x[: len(x) // 2 * 2])) if line is DIGITS else (lambda x: _decode(x, urlsafe=line is URLSAFE))
+    size = (lambda n: 2 * n) if line is DIGITS else (lambda n: (4 * n + 2) // 3)
+    head, _ = joined(text, at, line, LEAST[line])
+    start = decode(head[:32]) if len(head) >= LEAST[line] else None
+    if not start:
+        return None
+    der = start[0] == 0x30
+    if not der and not start.startswith(b"openssh-key-v1\0") and start[4:7] not in (b"ssh", b"ecd", b"sk-"):
+        return None
+    most = max(map(size, lengths(start)), default=0) if der else float("inf")
+    if der and most > len(text) - at:
+        return None
+    run, stops = joined(text, at, line, most)
+    places = {n // 2 * 2 if line is DIGITS else n: place for n, place in stops}
+    ends = lengths(start if der else decode(run[: len(run) - (len(run) % 4 == 1)]))
+    for n in reversed(ends):
+        if size(n) >= LEAST[line] and size(n) in places:
+            data = decode(run[: size(n)])
+            kind = data and ("ssh" if ssh_key(data) else der_kind(data))
+            if kind:
+                return kind, places[size(n)]
+    return ("ssh", stops[0][1]) if cut_off and start.startswith(b"openssh-key-v1\0") and stops[0][0] >= LEAST[line] else None
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
-    """Spans whose contents decode to the structure that their kind asks for."""
+    """Spans whose contents decode to the structure that their kind asks for.
+
+    Candidates are armoured blocks and all runs of base64, URL-safe base64 or hex of LEAST characters
+    or more, lines joined, that begin as the parsers' structures do; where a DER or SSH structure ends
+    is read from its own lengths, and a line must end there.
+    """
     out = [("token", m.start(), m.end()) for m in SIGNED.finditer(text) if signed_token(m[0])] if "eyJ" in text else []
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
@@ -127,18 +205,17 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
             kind = data and ("ssh" if ssh_key(data) else der_kind(data))
             if kind:
                 out.append((kind, m.start(), m.end()))
-    inside = [(a, b) for _, a, b in out]
-    if "MI" in text or "AAAA" in text:
-        for m in BASE64.finditer(text):
-            data = _decode(m[0]) if not any(a <= m.start() < b for a, b in inside) else None
-            kind = data and ("ssh" if ssh_key(data) else der_kind(data))
-            if kind:
-                out.append((kind, m.start(), m.end()))
-    if "308" in text:
-        for m in HEX_DER.finditer(text):
-            kind = der_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))
-            if kind:
-                out.append((kind, m.start(), m.end()))
+    for heads, lines, before in ((BASE64, (STANDARD, URLSAFE), STANDARD), (HEX_HEAD, (DIGITS,), DIGITS)):
+        for m in heads.finditer(text):
+            at = m.start()
+            if at and before.match(text, at - 1) and text[max(0, at - 2) : at] not in ("\\n", "\\r", "\\t"):
+                continue
+            if any(a <= at < b for _, a, b in out):
+                continue
+            for cut_off, line in product((False, True), lines):
+                if found := structure(text, at, line, cut_off):
+                    out.append((found[0], at, PADDING.match(text, found[1]).end() if line is not DIGITS else found[1]))
+                    break
     return out
 
 

@@ -389,6 +389,40 @@ def test_secret_structures():
         assert secret_scan.confirmed(text) == [], text
 
 
+def _keys():
+    """Name, bytes and kind of structures that are shorter than 128 bytes or have no armour."""
+    name = lambda x: struct.pack(">I", len(x)) + x
+    edwards, curve = _tlv(0x30, _tlv(6, secret_scan.ALGORITHMS[2])), _tlv(0x30, _tlv(6, secret_scan.ALGORITHMS[1]), _tlv(6, bytes.fromhex("2a8648ce3d030107")))
+    point = b"\0\4" + bytes(range(100, 164))
+    public = name(b"ssh-ed25519") + name(bytes(range(7, 39)))
+    yield "Ed25519 private", _tlv(0x30, _tlv(2, b"\0"), edwards, _tlv(4, _tlv(4, bytes(range(200, 232))))), "key"
+    yield "Ed25519 public", _tlv(0x30, edwards, _tlv(3, b"\0" + bytes(range(200, 232)))), "key"
+    yield "P-256 SEC1", _tlv(0x30, _tlv(2, b"\1"), _tlv(4, bytes(range(32))), _tlv(0xA0, _tlv(6, bytes.fromhex("2a8648ce3d030107"))), _tlv(0xA1, _tlv(3, point))), "key"
+    yield "P-256 public", _tlv(0x30, curve, _tlv(3, point)), "key"
+    yield "SSH public", public, "ssh"
+    yield "SSH private", b"openssh-key-v1\0" + name(b"none") + name(b"none") + name(b"") + struct.pack(">I", 1) + name(public) + name(bytes(range(250, 256)) * 20), "ssh"
+    yield "RSA", _tlv(0x30, _tlv(2, b"\0"), *[_tlv(2, bytes(range(201, 241))) for _ in range(8)]), "key"
+
+
+@pytest.mark.parametrize("what, data, kind", list(_keys()), ids=lambda x: x if isinstance(x, str) else "")
+def test_secret_candidates(what, data, kind):
+    plain = base64.b64encode(data).decode()
+    wrap = lambda x, n, end: end.join(x[k : k + n] for k in range(0, len(x), n))
+    forms = [plain, plain.rstrip("="), base64.urlsafe_b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("="), data.hex(), data.hex().upper()]
+    forms += [wrap(x, n, end) for x in (plain, forms[3], data.hex()) for n in (24, 64) for end in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n")]
+    for form in forms:
+        for before, after in (("", ""), ("key=", " end"), ('"', '"'), ("a line\n", "\n\nAnother line"), ("text\n", "\nword\nword"), ('"x\\n', '\\n"')):
+            found = secret_scan.confirmed(before + form + after)
+            assert found == [(kind, len(before), len(before) + len(form))], (before, form, after)
+    for end in ("\n", "\\n", "\\r\\n"):
+        pem = f"-----BEGIN PRIVATE KEY-----{end}{wrap(plain, 64, end)}{end}-----END PRIVATE KEY-----"
+        assert secret_scan.confirmed(f'{{"k": "{pem}{end}"}}') == [(kind, 7, 7 + len(pem))]
+    broken = ["x" + plain, "0" + data.hex()]
+    broken += [plain[:-8], plain[:30] + "\n\n" + plain[30:], data.hex()[:-2]] if what != "SSH private" else []  # its head is enough
+    for form in broken:
+        assert secret_scan.confirmed(form) == [], form
+
+
 def test_secret_patterns(spark, empty):
     hexes, access = "0123456789abcdef" * 2, "AKIA" + "Z" * 12
     text = f"é Passſword=no API_KEY : \"abcd1234\" token=short passwd='{hexes}' {access} {access[:-1]} AKIAAKIA{'Q' * 8} {hexes[:-1]} paKssword secret:abc\n:"
