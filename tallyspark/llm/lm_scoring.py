@@ -241,28 +241,16 @@ class Tree:
         return out
 
 
-def train_tree(training: DataFrame, depth: int = 5, capacity: int = 1 << 21) -> Tree:
+def train_tree(training: DataFrame, depth: int = 5) -> Tree:
     """A Tree from all rows of training (text).
 
-    Counts cover the whole text of every row. ``capacity`` bounds the model, not the data: where there
-    are more (context, byte) pairs of one depth, contexts seen fewer than m times are left out of the
-    tree, m the smallest power of two that fits, and the next shorter context codes in their place.
+    Counts cover the whole text of every row, and the tree has every context counted, so it grows with
+    the distinct grams of the training text; the driver and each scoring task hold it.
     """
     counted = cut(count_grams(training, depth))
     levels = []
     for d in range(depth + 1):
         level = counted if d == depth else counted.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        context = F.call_function("shiftright", F.col("gram"), F.lit(8))
-        if level.count() > capacity:
-            per = level.groupBy(context.alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
-            sizes = sorted(per.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.sum("pairs").alias("pairs")).collect(), reverse=True)
-            total, least = 0, 0
-            for power, pairs in sizes:
-                total += pairs
-                if total > capacity:
-                    least = power + 1
-                    break
-            level = level.join(per.filter(F.col("n") >= 1 << least).select("context"), context == F.col("context"), "left_semi")
         table = level.toArrow()
         keys, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
         order = np.argsort(keys)
@@ -275,7 +263,7 @@ def held_out(id_: Column, parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, depth: int = 5, capacity: int = 1 << 21) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, depth: int = 5) -> DataFrame:
     """One row per input row: id (as a string), held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Learns from rows that are not held_out(). score is the log10 probability that the context tree gives
@@ -284,7 +272,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The base needs each word's count in the whole corpus. Words are exchanged as 64-bit hashes in
     blocks: a task sends the distinct words of a block of text once, by hash range; a range adds up the
     counts and answers each block. So a frequent word is one entry per block, no task holds more than a
-    block or a range, and nothing but the tree, bounded by ``capacity``, is broadcast.
+    block or a range, and nothing but the tree, which has all counted contexts, is broadcast.
 
     Null text counts as empty: one token, the end. Without training rows every word has count 0 and the
     tree is empty, each bit a half. Repeated rows are scored, and learnt from, as rows. An empty table
@@ -292,7 +280,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), held_out(F.col(f"`{id_col}`"), parts, part).alias("held_out"), whole(text_col).alias("text"))
     training = base.filter("not held_out")
-    sent = df.sparkSession.sparkContext.broadcast(train_tree(training.select("text"), depth, capacity))
+    sent = df.sparkSession.sparkContext.broadcast(train_tree(training.select("text"), depth))
     ends = training.count()
     ranges = 1 << max(4, min(16, int(base.rdd.getNumPartitions()).bit_length()))
 

@@ -229,6 +229,17 @@ def test_tree_is_a_distribution_and_weighs_as_defined(least):
         assert tree.odds[0][0][0] == pytest.approx(np.clip(kt(*counts[0][0]) - below, -60, 60), rel=1e-4)
 
 
+def test_tree_has_every_context(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [bytes(x).decode() for x in rng.integers(33, 127, (60, 50_000), np.uint8)]  # many contexts, seen once each
+    monkeypatch.setattr(lm_scoring, "Tree", lambda levels: levels)
+    key, _ = lm_scoring.grams([t.lower().encode() for t in texts], 3)
+    want, n = np.unique(key, return_counts=True)
+    assert len(want) > 1 << 21
+    levels = lm_scoring.train_tree(spark.createDataFrame([(t,) for t in texts], "text string"), depth=3)
+    assert np.array_equal(levels[3][0], want) and np.array_equal(levels[3][1], n)
+
+
 def plain_lines(rows, least):
     strip = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(UPPER)
     seen = Counter(k for r in rows for k in {strip(x) for x in (r[1] or "").split("\n")})
