@@ -107,6 +107,12 @@ def swaps(spark: SparkSession, d: str) -> DataFrame:
     return turnover.swaps(_pairs(spark, d), AT).orderBy("client", "lost_by", "won_by").limit(200)
 
 
+@query(f"{_PAIRS} SELECT e.client, e.registrant AS lost_by, n.registrant AS won_by, n.qidx FROM pq e JOIN fq n ON e.client = n.client AND e.registrant <> n.registrant WHERE e.qidx = {AT} AND e.ended = 1 AND n.qidx BETWEEN {AT} - 1 AND {AT} + 1")
+def all_swaps(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of which swaps has the first 200."""
+    return turnover.swaps(_pairs(spark, d), AT)
+
+
 @query(f"{_PAIRS}, u AS (SELECT registrant, 1 AS l, 0 AS s FROM pq WHERE ended = 1 AND qidx BETWEEN 7980 AND 7990 UNION ALL SELECT registrant, 0, 1 FROM fq WHERE qidx BETWEEN 7980 AND 7990) SELECT registrant, sum(l)::BIGINT AS lost, sum(s)::BIGINT AS signed, (sum(s) - sum(l))::BIGINT AS net FROM u GROUP BY 1")
 def firm_churn(spark: SparkSession, d: str) -> DataFrame:
     """D1, D17, U1."""
