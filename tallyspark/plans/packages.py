@@ -40,13 +40,21 @@ def player_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{FILINGS}, tagged AS (SELECT DISTINCT client FROM filings WHERE issue LIKE '1-%' AND yr = 1996)
     SELECT 'Q' || q || ' ' || yr AS quarter, CASE 'Q' || q WHEN 'Q1' THEN 1 WHEN 'Q2' THEN 2 WHEN 'Q3' THEN 3 ELSE 4 END + yr * 4 AS pos, count(*) FILTER (WHERE issue LIKE '1-%') AS n_tagged, count(DISTINCT client) AS n_clients, round(sum(amount), 2)::DOUBLE AS spend
-    FROM filings WHERE client IN (SELECT client FROM tagged) GROUP BY 1, 2 ORDER BY pos LIMIT 12""")
-def package_trend(spark: SparkSession, d: str) -> DataFrame:
-    """The tagged clients' quarters in the order of a mapped label."""
+    FROM filings WHERE client IN (SELECT client FROM tagged) GROUP BY 1, 2""")
+def whole_package_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Every quarter of the tagged clients, with its place in the order."""
     f = filings(spark, d)
     own = f.join(f.filter("issue LIKE '1-%' AND yr = 1996").select("client").distinct(), "client", "left_semi")
     label, pos = F.concat(F.lit("Q"), F.col("q"), F.lit(" "), F.col("yr")), F.when(F.col("q") == 1, 1).when(F.col("q") == 2, 2).when(F.col("q") == 3, 3).otherwise(4) + F.col("yr") * 4
-    return own.groupBy(label.alias("quarter"), pos.alias("pos")).agg(F.count_if(F.col("issue").startswith("1-")).alias("n_tagged"), F.count_distinct("client").alias("n_clients"), money(F.sum("amount")).alias("spend")).orderBy("pos").limit(12)
+    return own.groupBy(label.alias("quarter"), pos.alias("pos")).agg(F.count_if(F.col("issue").startswith("1-")).alias("n_tagged"), F.count_distinct("client").alias("n_clients"), money(F.sum("amount")).alias("spend"))
+
+
+@query(f"""{FILINGS}, tagged AS (SELECT DISTINCT client FROM filings WHERE issue LIKE '1-%' AND yr = 1996)
+    SELECT 'Q' || q || ' ' || yr AS quarter, CASE 'Q' || q WHEN 'Q1' THEN 1 WHEN 'Q2' THEN 2 WHEN 'Q3' THEN 3 ELSE 4 END + yr * 4 AS pos, count(*) FILTER (WHERE issue LIKE '1-%') AS n_tagged, count(DISTINCT client) AS n_clients, round(sum(amount), 2)::DOUBLE AS spend
+    FROM filings WHERE client IN (SELECT client FROM tagged) GROUP BY 1, 2 ORDER BY pos LIMIT 12""")
+def package_trend(spark: SparkSession, d: str) -> DataFrame:
+    """The tagged clients' first 12 quarters in the order of a mapped label; whole_package_trend has all."""
+    return whole_package_trend(spark, d).orderBy("pos").limit(12)
 
 
 @query(f"""{FILINGS}, g AS (SELECT registrant, count(*) AS items, sum(amount) AS total FROM filings WHERE client = 7 GROUP BY 1),
