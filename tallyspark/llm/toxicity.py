@@ -189,16 +189,18 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     if lexicon:
         model = labelled.sparkSession.sparkContext.broadcast(Model(lexicon, [], [0.0] * 4))
 
-        def around(text: str, toxic: int) -> set[str]:
+        def around(text: str, _: int) -> set[str]:
             folded, out = fold(text), set()
             for end, (_, n, _) in model.value.machines()[0].iter(folded):
                 start, stop = end - n + 1, folded.find(" ", end - n + 2)
                 before, after = folded.rfind(" ", 0, start), folded.find(" ", stop + 1)
                 out.update(folded[a : b + 1] for a, b in ((before, stop), (start, after)) if a >= 0 and b >= 0)
-            return {f"{toxic}{x}" for x in out}
+            return out
 
-        phrases = dict(_counts(rows, around, "entry string, n long").filter("n >= 1").orderBy(F.col("n").desc(), "entry").limit(max_candidates).collect())
-        exceptions = [x[1:] for x, k in phrases.items() if x[0] == "0" and k >= 5 and f"1{x[1:]}" not in phrases]
+        clean = [r.entry for r in _counts(rows.filter("toxic = 0"), around, "entry string, n long").filter("n >= 5").orderBy(F.col("n").desc(), "entry").collect()]
+        asked = labelled.sparkSession.sparkContext.broadcast(frozenset(clean))
+        held = {r.entry for r in _counts(rows.filter("toxic = 1"), lambda text, y: around(text, y) & asked.value, "entry string, n long").collect()}
+        exceptions = [x for x in clean if x not in held]
 
     model = Model(lexicon, exceptions, [0.0] * 4)
     sent_model = labelled.sparkSession.sparkContext.broadcast(model)

@@ -315,6 +315,17 @@ def test_toxicity_learns(spark, empty):
     assert one.score("zorkle") < 0.01 and toxicity.train(df.limit(0)).score("x") == 0.5
 
 
+def test_exceptions_are_in_no_toxic_row(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("bcdlmnaeiou", k=6))
+    common = [word() for _ in range(30)]
+    rows = [(f"zorkle {w}", 1) for w in common for _ in range(4)] + [("zorkle valley", 1)] * 2
+    rows += [("zorkle valley", 0)] * 6 + [("zorkle hill", 0)] * 6 + [(word(), 0) for _ in range(600)]
+    df = spark.createDataFrame([(f"{' '.join(word() for _ in range(20))} {x} {' '.join(word() for _ in range(20))}", y) for x, y in rows], "text string, toxic int")
+    found = toxicity.train(df, max_candidates=20).exceptions
+    assert " zorkle hill " in found and " zorkle valley " not in found
+
+
 def plain_fingerprint(text):
     words = WORD.findall((text or "").translate(UPPER))
     shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
