@@ -5,6 +5,9 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,42 +15,66 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space bytes of the contracts, space and 0x09 to 0x0D.
 WHITE = b" \t\n\x0b\x0c\r"
 
-_own: dict[str, str] = {}
-_tables: list[tuple[SparkSession, str]] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+def _local(spark: SparkSession) -> str:
+    """A folder of our own for one application on a local master."""
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not hasattr(spark.sparkContext, "_tallyspark_dir"):
+        spark.sparkContext._tallyspark_dir = tempfile.mkdtemp(prefix="tallyspark-")
+    return spark.sparkContext._tallyspark_dir
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset, one of our own, on a local master only."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        _own[app] = tempfile.mkdtemp(prefix="tallyspark-")
-    return _own[app]
+    return folder.rstrip("/") if folder else _local(spark)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, so lost executors cost no recomputation."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/tallyspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+def _path(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Delete path when the driver's JVM ends."""
+    files, where = _path(spark, path)
+    files.deleteOnExit(where)
 
 
-def mark() -> int:
-    """The number of scratch tables so far, for release()."""
-    return len(_tables)
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _path(spark, path)
+    files.delete(where, True)
 
 
-def release(first: int, last: int | None = None) -> None:
-    """Delete the scratch tables from mark first to mark last; nothing may still be computed from them."""
-    for spark, path in _tables[first:last]:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    del _tables[first:last]
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes inside are deleted at the end; so results must be written before it.
+
+    Outside of any such block they stay until the driver ends, as a query is only computed by its caller.
+    """
+    paths: list[str] = []
+    before = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        for path in paths:
+            delete(spark, path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, so lost executors cost no recomputation."""
+    spark, path, paths = df.sparkSession, f"{shared_dir(df.sparkSession)}/tallyspark-{uuid.uuid4().hex}", _scope.get()
+    if paths is None:
+        at_exit(spark, path)
+    else:
+        paths.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -55,9 +82,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def whole(text_col: str) -> Column:
+def whole(text_col: str | Column) -> Column:
     """The text, null as empty."""
-    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.coalesce((F.col(f"`{text_col}`") if isinstance(text_col, str) else text_col).cast("string"), F.lit(""))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df's rows as one struct named r, so that no helper column can clash with theirs."""
+    return df.select(F.struct("*").alias("r"))
+
+
+def field(name: str) -> Column:
+    """A column of packed() rows."""
+    return F.col(f"r.`{name}`")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
