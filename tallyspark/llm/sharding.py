@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, small, whole
+from ._common import cut, field, packed, small, whole
 
 #: Bits that one pass over the sizes looks ahead.
 STEP = 12
@@ -21,26 +21,32 @@ def _lead(bits: Column | int, h: Column | None = None) -> Column:
     return F.call_function("shiftright", h, (F.lit(BITS) - bits).cast("int"))
 
 
+def row_hash(id_: Column, body: Column) -> Column:
+    """The first 60 bits of the MD5 of id:text."""
+    text = F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), body)
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+
+
 def shard_directory(keys: DataFrame, limit_bytes: int) -> tuple[DataFrame, list[int]]:
-    """(depth, prefix, bytes) of every bucket that isn't split, and the depths that occur.
+    """(depth, prefix, bytes, n) of every bucket that isn't split, and the depths that occur.
 
     keys: h, bytes. Each round sums the bytes per prefix of STEP more bits, of rows in oversized
-    buckets only; a bucket is the shallowest prefix that fits, or one of BITS bits that never fits.
+    buckets only; a bucket is the shallowest prefix that fits or has one row, or one of BITS bits.
     """
     open_, found, depths, at = keys, [], [], 0
     while at < BITS:
         deep = min(BITS, at + STEP)
         fine = cut(open_.groupBy(_lead(deep).alias("fine")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")))
         # all depths of this round from the sums at its end
-        tree = fine.select(F.explode(F.sequence(F.lit(at if at == 0 else at + 1), F.lit(deep))).alias("depth"), "fine", "bytes")
-        tree = tree.groupBy("depth", F.call_function("shiftright", F.col("fine"), (F.lit(deep) - F.col("depth")).cast("int")).alias("prefix")).agg(F.sum("bytes").alias("bytes"))
-        up = tree.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"), F.col("bytes").alias("above"))
+        tree = fine.select(F.explode(F.sequence(F.lit(at if at == 0 else at + 1), F.lit(deep))).alias("depth"), "fine", "bytes", "n")
+        tree = tree.groupBy("depth", F.call_function("shiftright", F.col("fine"), (F.lit(deep) - F.col("depth")).cast("int")).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+        tree = tree.withColumn("over", (F.col("bytes") > limit_bytes) & (F.col("n") > 1))
+        up = tree.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"), F.col("over").alias("over_above"))
         tree = tree.withColumn("parent", F.call_function("shiftright", F.col("prefix"), F.lit(1))).join(up, ["depth", "parent"], "left")
         first = F.col("depth") == (at if at == 0 else at + 1)
-        split_above = F.coalesce(F.col("above") > limit_bytes, first)
-        leaf = cut(tree.filter(split_above & ((F.col("bytes") <= limit_bytes) | (F.col("depth") == deep))).select("depth", "prefix", "bytes"))
-        done = leaf.filter((F.col("bytes") <= limit_bytes) | F.lit(deep == BITS))
-        over = leaf.filter((F.col("bytes") > limit_bytes) & F.lit(deep < BITS))
+        leaf = cut(tree.filter(F.coalesce(F.col("over_above"), first) & (~F.col("over") | (F.col("depth") == deep))).select("depth", "prefix", "bytes", "n", "over"))
+        done = leaf.filter(~F.col("over") | F.lit(deep == BITS)).drop("over")
+        over = leaf.filter(F.col("over") & F.lit(deep < BITS))
         found.append(done)
         depths += [r[0] for r in done.select("depth").distinct().collect()]
         if deep == BITS or over.isEmpty():
@@ -55,35 +61,58 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The hash is that of id and text. Only oversized buckets split on another bit, until every shard
     fits ``limit_bytes``; a single row above the limit is a shard by itself. Rows whose whole hash is
-    equal (repeated rows) can't be parted by bits: such a bucket is dealt by running bytes, by order of
-    row number. Sums are aggregated before each shuffle. Null text has 0 bytes; null ids are hashed as
-    null; an empty table gives no rows; other columns are ignored.
+    equal (repeated rows) can't be parted by bits: such a bucket is dealt by order of row number,
+    which is counted within each scan partition, so no task sees all of a hot key's rows. Sums are
+    aggregated before each shuffle. Null text has 0 bytes; a null id is hashed as an empty one; an
+    empty table gives no rows; other columns are ignored.
     """
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), whole(text_col).alias("body"))
-    h = F.call_function("shiftrightunsigned", F.xxhash64(F.col("id").cast("string"), F.col("body")), F.lit(64 - BITS))
-    keys = cut(rows.select("id", F.monotonically_increasing_id().alias("row"), h.alias("h"), F.octet_length("body").cast("long").alias("bytes")))
+    keys = _keys(df.select(F.col(f"`{id_col}`").alias("id"), whole(text_col).alias("body")), F.col("id"), F.col("body"))
+    rows = cut(keys.select("id", "row", "h", "bytes"))
+    return _assigned(rows, *_directory(rows, limit_bytes), limit_bytes).select("id", "bytes", "shard_id", "shard_depth", "shard_bytes")
+
+
+def _keys(rows: DataFrame, id_: Column, body: Column) -> DataFrame:
+    return rows.withColumns({"row": F.monotonically_increasing_id(), "h": row_hash(id_, body), "bytes": F.octet_length(body).cast("long")})
+
+
+def _directory(keys: DataFrame, limit_bytes: int) -> tuple[DataFrame, list[int]]:
     directory, depths = shard_directory(keys.select("h", "bytes"), limit_bytes)
-    directory = cut(directory.withColumnRenamed("bytes", "bucket_bytes"))
-    if not depths:
-        depths = [0]
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _lead(d).alias("prefix")) for d in depths])).alias("at")
-    rows = keys.select("id", "row", "bytes", at).select("id", "row", "bytes", "at.depth", "at.prefix").join(small(directory, 200_000), ["depth", "prefix"])
+    return cut(directory.withColumnsRenamed({"bytes": "bucket_bytes", "n": "bucket_rows"})), depths
+
+
+def _assigned(rows: DataFrame, directory: DataFrame, depths: list[int], limit_bytes: int) -> DataFrame:
+    """rows (row, h, bytes and others) with shard_id, shard_depth, shard_bytes."""
+    own = [c for c in rows.columns if c not in ("row", "h", "bytes")]
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _lead(d).alias("prefix")) for d in depths or [0]])).alias("at")
+    rows = rows.select("*", at).select(*own, "row", "bytes", "at.depth", "at.prefix").join(small(directory, 200_000), ["depth", "prefix"])
     name = F.concat(F.col("depth").cast("string"), F.lit("-"), F.lower(F.hex("prefix")))
-    fits = rows.filter((F.col("bucket_bytes") <= limit_bytes) | (F.col("bytes") == F.col("bucket_bytes")))
-    full = rows.filter((F.col("bucket_bytes") > limit_bytes) & (F.col("bytes") < F.col("bucket_bytes")))
-    fits = fits.select("id", "bytes", name.alias("shard_id"), F.col("depth").alias("shard_depth"), F.col("bucket_bytes").alias("shard_bytes"))
-    # equal hashes are equal texts, so the rows of a full bucket have one size and deal evenly; the window's input has no texts
-    same = Window.partitionBy("depth", "prefix")
+    over = (F.col("bucket_bytes") > limit_bytes) & (F.col("bucket_rows") > 1)
+    fits = rows.filter(~over).select(*own, "bytes", name.alias("shard_id"), F.col("depth").alias("shard_depth"), F.col("bucket_bytes").alias("shard_bytes"))
+    # equal hashes are equal texts, so the rows of a full bucket have one size and deal evenly
+    full = rows.filter(over).withColumn("part", F.call_function("shiftright", F.col("row"), F.lit(33)))
+    counts = full.groupBy("depth", "prefix", "part").agg(F.count(F.lit(1)).alias("m"))
+    earlier = Window.partitionBy("depth", "prefix").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("depth", "prefix", "part", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("depth", "prefix", "part").orderBy("row"))
+    full = full.withColumn("nth", nth).join(counts, ["depth", "prefix", "part"], "left")
     per = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.greatest(F.col("bytes"), F.lit(1))))
-    full = full.withColumn("k", F.floor((F.row_number().over(same.orderBy("row")) - 1) / per))
-    full = full.withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("depth", "prefix", "k")))
-    full = full.select("id", "bytes", F.concat(name, F.lit("."), F.col("k").cast("string")).alias("shard_id"), F.col("depth").alias("shard_depth"), "shard_bytes")
+    k = F.floor((F.coalesce("before", F.lit(0)) + F.col("nth") - 1) / per)
+    in_part = F.least(per, F.col("bucket_rows") - k * per)
+    full = full.select(*own, "bytes", F.concat(name, F.lit("."), k.cast("string")).alias("shard_id"), F.col("depth").alias("shard_depth"), (in_part * F.col("bytes")).cast("long").alias("shard_bytes"))
     return fits.unionByName(full)
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = 128 << 20) -> DataFrame:
-    """Write df's rows as Parquet, a folder per shard, and return assign_shards(). Ids must be unique and not null here."""
-    shards = cut(assign_shards(df, id_col, text_col, limit_bytes))
-    joined = df.join(shards.select(F.col("id").alias("__id"), "shard_id"), F.col(f"`{id_col}`") == F.col("__id")).drop("__id")
-    joined.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
-    return shards
+    """Write df's rows as Parquet, a folder per shard, and return assign_shards().
+
+    Every row is written once, with its columns as they were, null and repeated ids too; an empty table
+    gives an empty folder. A column named shard_id, in whatever case, can't be kept beside the folders'
+    own and is refused.
+    """
+    if any(c.lower() == "shard_id" for c in df.columns):
+        raise ValueError("a column named shard_id")
+    keys = cut(_keys(df.select(F.col(f"`{id_col}`").alias("id"), whole(text_col).alias("body")), F.col("id"), F.col("body")).select("id", "row", "h", "bytes"))
+    directory = _directory(keys, limit_bytes)
+    rows = _assigned(_keys(packed(df), field(id_col), whole(field(text_col))), *directory, limit_bytes)
+    rows.select("r.*", "shard_id").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    return _assigned(keys, *directory, limit_bytes).select("id", "bytes", "shard_id", "shard_depth", "shard_bytes")
