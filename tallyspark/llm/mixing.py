@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, small
+from ._common import cut, field, packed, small
 
 #: Hash seeds tried per source; the one whose Bernoulli copies come closest to the target is used.
 SEEDS = 16
@@ -23,7 +23,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     sizes by weight; a target stops at ``most`` times its source's size and the excess goes to the
     others by weight. That ends where every target is min(cap, weight * level): with sources by
     ascending cap / weight, the level is the largest (budget - caps so far) / (weights still open).
-    The windows run over one row per source.
+    The windows run over one row per source, in one task: sources are named by hand, not one per row.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -58,9 +58,8 @@ def source_rates(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     return cut(rates.join(tried, F.col("source").eqNullSafe(F.col("of"))).drop("of"))
 
 
-def _copies(id_: Column, rates: str = "") -> Column:
-    full, part, seed = (F.col(f"{rates}{c}") for c in ("full", "part", "seed"))
-    return (full + F.when(_draw(id_, seed) < part, 1).otherwise(0)).cast("int")
+def _copies(id_: Column) -> Column:
+    return (F.col("full") + F.when(_draw(id_, F.col("seed")) < F.col("part"), 1).otherwise(0)).cast("int")
 
 
 def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -79,10 +78,12 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """df's rows, each as many times as mix_plan() says; columns as they were. Texts are not shuffled."""
+    """df's rows, each as many times as mix_plan() says; columns as they were, whatever their names. Texts are not shuffled.
+
+    Nulls, repeated rows and empty tables as in mix_plan().
+    """
     sizes = cut(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words(F.col(f"`{text_col}`")).alias("size")))
-    rates = source_rates(sizes, weights, share, most).select(*[F.col(c).alias(f"__{c}") for c in ("source", "full", "part", "seed")])
-    out = df.join(small(rates, 50_000), F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
-    copies = _copies(F.col(f"`{id_col}`"), "__")
-    out = out.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    rates = source_rates(sizes, weights, share, most).select("source", "full", "part", "seed")
+    out = packed(df).join(small(rates, 50_000), field(source_col).eqNullSafe(F.col("source")))
+    copies = _copies(field(id_col))
+    return out.filter(copies > 0).select("r", F.explode(F.sequence(F.lit(1), copies))).select("r.*")
