@@ -91,51 +91,53 @@ def pack(lengths: list[int], capacity: int, linear: float, last: bool) -> tuple[
     return out + bins, left
 
 
-SCHEMA = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+SCHEMA = "id string, row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
 def pack_documents(df: DataFrame, model: str, ranks: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, linear: float = 6144.0, window: int = 1 << 20, with_ids: bool = True) -> DataFrame:
-    """One row per piece: id (as a string), start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+    """One row per piece: id (as a string), row, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     Each scan partition packs windows of about ``window`` tokens and hands what is left over to its
     next window, so there is no shuffle and a task holds one window, whatever the table's size; with
     some 500 sequences in a window, choosing among more gains nothing. ``linear`` is the linear cost of
     a token in units of one token pair of attention. sequence_id is the partition's number shifted by
-    33 bits plus a count; a task run again gives the same pieces.
+    33 bits plus a count; a task run again gives the same pieces. row numbers the input rows likewise,
+    so pieces of copies that share an id are told apart.
 
     Null or empty text is the end id alone. Null ids stay null; repeated rows are packed as rows of
-    their own; a text longer than a sequence is cut; an empty table gives no rows; other columns are
+    their own, with a row number each; a text longer than a sequence is cut; an empty table gives no rows; other columns are
     ignored. ids is null unless ``with_ids``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number, base = encoder(model, ranks), 0, TaskContext.get().partitionId() << 33
-        docs: list[tuple[object, np.ndarray, int, int]] = []  # id, ids of a span, its start, the document's tokens
+        docs: list[tuple[tuple, np.ndarray, int, int]] = []  # id and row, ids of a span, its start, the document's tokens
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal docs, number
             done, left = pack([len(x[1]) for x in docs], capacity, linear, last)
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for pieces in done:
                 at = 0
                 for d, s, n in pieces:
-                    id_, ids, start, total = docs[d]
+                    (id_, row), ids, start, total = docs[d]
                     span = ids[s : s + n]
-                    for c, v in zip(cols, (id_, start + s, n, zlib.crc32(span.tobytes()), total, base + number, at, span.astype(np.int32) if with_ids else None), strict=True):
+                    for c, v in zip(cols, (id_, row, start + s, n, zlib.crc32(span.tobytes()), total, base + number, at, span.astype(np.int32) if with_ids else None), strict=True):
                         c.append(v)
                     at += n
                 number += 1
             docs = [(docs[d][0], docs[d][1][s : s + n].copy(), docs[d][2] + s, docs[d][3]) for d, s, n in left]
-            kinds = [pa.string(), *[pa.int64()] * 6, pa.list_(pa.int32())]
-            names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+            kinds = [pa.string(), *[pa.int64()] * 7, pa.list_(pa.int32())]
+            names = ["id", "row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-        held = 0
+        held = rows = 0
         for batch in batches:
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encode(text.as_py()), end_id], dtype="<u4")
-                docs.append((id_, ids, 0, len(ids)))
+                docs.append(((id_, base + rows), ids, 0, len(ids)))
+                rows += 1
                 held += len(ids)
                 if held >= window:
                     yield from flush(False)
