@@ -15,8 +15,10 @@ from ._common import WHITE, cut, whole
 
 _FOLD = bytes.maketrans(WHITE, b" " * len(WHITE))
 _ZSTD = pa.Codec("zstd", 3)
-#: Bytes of text that a task turns into arrays at once, and of one block of the word exchange.
-CHUNK, BLOCK = 1 << 20, 8 << 20
+#: Bytes of text that a task turns into arrays at once, of one block of texts, and of text per owner of grams or words.
+CHUNK, BLOCK, SHARE = 1 << 20, 8 << 20, 32 << 20
+#: Depth down to which the tree is one table of at most 256 ** (TOP + 1) keys; each subtree below it has an owner.
+TOP = 1
 
 
 def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,45 +40,36 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key[coded], np.r_[0, np.cumsum(sizes + 1)[:-1]]
 
 
-def squeeze(of: np.ndarray, place: np.ndarray) -> bytes:
-    """Ranges and places in them, compressed by byte planes."""
-    return _ZSTD.compress(of.view(np.uint8).reshape(-1, 2).T.tobytes() + place.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+def compressed(data: bytes) -> bytes:
+    return _ZSTD.compress(data, asbytes=True)
 
 
-def unsqueeze(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(_ZSTD.decompress(data, 6 * n, asbytes=True), np.uint8).reshape(6, n) if n else np.zeros((6, 0), np.uint8)
-    return planes[:2].T.copy().view(np.uint16).ravel(), planes[2:].T.copy().view(np.uint32).ravel()
+def decompressed(data: bytes, size: int) -> bytes:
+    return _ZSTD.decompress(data, size, asbytes=True) if size else b""
 
 
-def count_grams(df: DataFrame, depth: int) -> DataFrame:
-    """gram, n over all rows of df (text); a task adds up its own before the shuffle."""
+def squeeze(values: np.ndarray) -> bytes:
+    """An array compressed by byte planes."""
+    return compressed(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held, size = [], 0
 
-        def add() -> None:
-            nonlocal keys, counts, held, size
-            new, n = np.unique(grams(held, depth)[0], return_counts=True)
-            both, where = np.unique(np.r_[keys, new], return_inverse=True)
-            keys, counts = both, np.bincount(where, np.r_[counts, n], len(both)).astype(np.int64)
-            held, size = [], 0
+def unsqueeze(data: bytes, n: int, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.frombuffer(decompressed(data, width * n), np.uint8).reshape(width, n).T.copy().view(dtype).ravel()
+
+
+def squeeze_keys(ascending: np.ndarray) -> bytes:
+    return squeeze(np.diff(ascending, prepend=ascending.dtype.type(0)))
 
-        for batch in batches:
-            for text in batch.column(0):
-                held.append(text.as_py().encode("utf-8", "surrogatepass").lower())
-                size += len(held[-1])
-                if size > CHUNK:
-                    add()
-                    if len(keys) > 1 << 20:
-                        yield pa.RecordBatch.from_pydict({"gram": keys, "n": counts})
-                        keys, counts = keys[:0], counts[:0]
-        if held:
-            add()
-        if len(keys):
-            yield pa.RecordBatch.from_pydict({"gram": keys, "n": counts})
-
-    return df.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+def unsqueeze_keys(data: bytes, n: int, dtype: type) -> np.ndarray:
+    return np.cumsum(unsqueeze(data, n, dtype), dtype=dtype)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sums of their counts."""
+    unique, where = np.unique(keys, return_inverse=True)
+    return unique, np.bincount(where, n, len(unique)).astype(np.int64)
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -101,79 +94,76 @@ def distinct(ordered: np.ndarray) -> np.ndarray:
     return ordered[np.r_[True, ordered[1:] != ordered[:-1]]] if len(ordered) else ordered
 
 
+class Level:
+    """One depth of the tree: its keys, context and byte, ascending, with their counts; a decision's counts are sums over a range."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.keys, self.sums = keys, np.r_[0, np.cumsum(n)]
+
+    def nodes(self, bit: int) -> np.ndarray:
+        """Contexts with the first ``bit`` bits of a byte after them."""
+        return distinct(self.keys >> (8 - bit))
+
+    def counts(self, nodes: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones that followed each node."""
+        width = 8 - bit
+        low = nodes << width
+        a, b, c = (np.searchsorted(self.keys, x) for x in (low, low + (1 << (width - 1)), low + (1 << width)))
+        return self.sums[b] - self.sums[a], self.sums[c] - self.sums[b]
+
+
+def levels_of(keys: np.ndarray, n: np.ndarray, low: int, depth: int) -> list[Level]:
+    """The levels from ``low`` to ``depth`` of distinct grams of that depth."""
+    return [Level(*(summed(keys & ((1 << (8 * (d + 1))) - 1), n) if d < depth else (keys, n))) for d in range(low, depth + 1)]
+
+
+Below = tuple[np.ndarray, np.ndarray]
+
+
+def weigh(levels: list[Level], low: int, bit: int, below: Below | None = None) -> tuple[list[np.ndarray], Below]:
+    """Weights of the decisions on one bit, from the deepest of these levels up to that of depth ``low``.
+
+    A node's weighted probability of what followed it is the mean of its own estimate and the product of
+    its children's. Given are, per level but a deepest without ``below``, the nodes' log odds of the own
+    estimate against the children's, and the logs for the level above: its nodes, repeated, each with
+    one child's. ``below`` has the same for the deepest level here.
+    """
+    odds: list[np.ndarray] = []
+    for k in range(len(levels) - 1, -1, -1):
+        nodes = levels[k].nodes(bit)
+        own = log_kt(*levels[k].counts(nodes, bit))
+        if below is None:
+            weighted = own
+        else:
+            children = np.bincount(np.searchsorted(nodes, below[0]), below[1], len(nodes))
+            weighted = np.logaddexp(own, children) - np.log(2)
+            odds.insert(0, np.clip(own - children, -60, 60).astype(np.float32))
+        below = nodes & ((1 << (8 * max(0, low + k - 1) + bit)) - 1), weighted
+    return odds, below
+
+
 class Tree:
-    """A context tree with its weights.
+    """A context tree with its weights: a whole one, or the top and one owner's subtrees.
 
     Each byte is eight binary decisions, and every decision, known by the bits before it, has a context
-    tree of its own over the preceding bytes. keys[d] and cumulated[d] hold the counts of depth d by
-    (context, byte); a decision's counts are sums over a range of them. odds[d] is, per node, the log
-    odds that weighting gives to its own estimate against its children's, from the whole training text.
-    Coding mixes, from the deepest context in the tree upward, the estimates of all depths by them.
-
-    Pickled are counts, odds and the deepest grams' probabilities; nodes and hash table are made again.
+    tree of its own over the preceding bytes. odds[d][bit] has, per node, the log odds that weighting
+    gives to its own estimate against its children's, from the whole training text. Coding mixes, from
+    the deepest context seen upward, the estimates of all depths by them.
     """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """levels[d]: keys in ascending order, context and byte of depth d, and their counts."""
-        self._index([k for k, _ in levels], [n for _, n in levels])
-        self.odds: list[list[np.ndarray]] = [[] for _ in levels]
-        for bit in range(8):
-            below: tuple[np.ndarray, np.ndarray] | None = None
-            for d in range(self.depth, -1, -1):
-                nodes = self.nodes[d][bit] if d < self.depth else distinct(self.keys[d] >> (8 - bit))
-                n0, n1 = self._counts(d, nodes, bit)
-                own = log_kt(n0, n1)
-                if below is None:
-                    weighted = own
-                else:
-                    at = np.searchsorted(nodes, below[0])
-                    children = np.bincount(at, below[1], len(nodes)) + self._uncovered(d, nodes, bit, n0 + n1)
-                    bare = np.bincount(at, minlength=len(nodes)) == 0  # a leaf of a pruned tree
-                    weighted = np.where(bare, own, np.logaddexp(own, children) - np.log(2))
-                    self.odds[d].append(np.where(bare, 60.0, np.clip(own - children, -60, 60)).astype(np.float32))
-                if d:
-                    below = (nodes & ((1 << (8 * (d - 1) + bit)) - 1), weighted)
-        self.found = [np.concatenate([np.zeros(0, np.float32), *[self.slow(k[at : at + (1 << 16)], d).astype(np.float32) for at in range(0, len(k), 1 << 16)]]) for d, k in enumerate(self.keys)]
-
-    def _index(self, keys: list[np.ndarray], counts: list[np.ndarray]) -> None:
-        self.depth, self.keys, self.counts = len(keys) - 1, keys, counts
-        self.cumulated = [np.r_[0, np.cumsum(n)] for n in counts]
-        self.nodes = [[distinct(k >> (8 - bit)) for bit in range(8)] for k in keys[:-1]]
-        self.contexts = [distinct(k >> 8) for k in keys]
-
-    def __getstate__(self) -> dict:
-        return {"keys": self.keys, "counts": self.counts, "odds": self.odds, "found": self.found}
-
-    def __setstate__(self, state: dict) -> None:
-        self._index(state["keys"], state["counts"])
-        self.odds, self.found = state["odds"], state["found"]
-
-    def _uncovered(self, d: int, nodes: np.ndarray, bit: int, total: np.ndarray) -> np.ndarray:
-        """Log estimate of what children outside a pruned tree saw: nothing is known, so a half each bit."""
-        deeper = np.zeros(len(nodes), np.int64)
-        mask = (1 << (8 * d + bit)) - 1
-        inner = distinct(self.keys[d + 1] >> (8 - bit))
-        n0, n1 = self._counts(d + 1, inner, bit)
-        np.add.at(deeper, np.searchsorted(nodes, inner & mask), n0 + n1)
-        return (total - deeper) * np.log(0.5)
-
-    def _counts(self, d: int, nodes: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Zeros and ones after each node; a node is context and the first ``bit`` bits of the byte."""
-        width = 8 - bit
-        low, high = nodes << width, (nodes + 1) << width
-        a, b, c = (np.searchsorted(self.keys[d], x) for x in (low, low + (1 << (width - 1)), high))
-        s = self.cumulated[d]
-        return s[b] - s[a], s[c] - s[b]
+    def __init__(self, levels: list[Level], odds: list[list[np.ndarray]]) -> None:
+        self.levels, self.odds, self.depth = levels, odds, len(levels) - 1
+        self.nodes = [[level.nodes(bit) for bit in range(8)] for level in levels[:-1]]
 
-    def slow(self, key: np.ndarray, top: int | None = None) -> np.ndarray:
-        """Log10 probability of each gram's byte after its context, of which the last ``top`` bytes count."""
+    def log10(self, key: np.ndarray) -> np.ndarray:
+        """Log10 probability of each gram's byte after its context."""
         total = np.zeros(len(key))
         for bit in range(8):
             p = np.full(len(key), -1.0)
             one = (key >> (7 - bit)) & 1 == 1
-            for d in range(self.depth if top is None else top, -1, -1):
+            for d in range(self.depth, -1, -1):
                 node = (key & ((1 << (8 * (d + 1))) - 1)) >> (8 - bit)
-                n0, n1 = self._counts(d, node, bit)
+                n0, n1 = self.levels[d].counts(node, bit)
                 own = (np.where(one, n1, n0) + 0.5) / (n0 + n1 + 1.0)
                 if d < self.depth:
                     nodes, odds = self.nodes[d][bit], self.odds[d][bit]
@@ -184,214 +174,246 @@ class Tree:
             total += np.log10(np.where(p < 0, 0.5, p))
         return total
 
+
+def owner(key: np.ndarray, top: int, parts: int) -> np.ndarray:
+    """The part that has a gram's subtree, by the last top + 1 bytes of its context."""
+    cell = ((key >> 8) & ((1 << (8 * (top + 1))) - 1)).astype(np.uint64)
+    return (((cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+
+
+class Lookup:
+    """An open-addressed hash table from distinct grams to numbers; every gram asked for must be there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.mask = 2 ** max(4, (2 * len(keys)).bit_length()) - 1
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.float32)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of several for one slot, the last stays
+            won = self.keys[slot] == keys
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & self.mask
+
     def _slots(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & self.mask
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """An open-addressed hash table from the deepest grams to their probabilities, made at first use."""
-        if not hasattr(self, "_table"):
-            self.mask = 2 ** max(4, (2 * len(self.keys[-1])).bit_length()) - 1
-            table, values = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.float32)
-            key, value = self.keys[-1], self.found[-1]
-            slot = self._slots(key)
-            while len(key):
-                free = table[slot] < 0
-                table[slot[free]] = key[free]  # of several for one slot, the last stays
-                won = table[slot] == key
-                values[slot[won]] = value[won]
-                key, value, slot = key[~won], value[~won], (slot[~won] + 1) & self.mask
-            self._table = (table, values)
-        return self._table
-
-    def score(self, key: np.ndarray) -> np.ndarray:
-        """As slow(), from the table where it has the gram."""
-        table, values = self.table()
+    def get(self, key: np.ndarray) -> np.ndarray:
         slot = self._slots(key)
-        found = table[slot]
-        out = values[slot].astype(np.float64)
-        left = np.flatnonzero(found != key)
-        missing = [left[found[left] < 0]]
-        left = left[found[left] >= 0]
+        out = self.values[slot].astype(np.float64)
+        left = np.flatnonzero(self.keys[slot] != key)
         slot = slot[left]
         while len(left):
             slot = (slot + 1) & self.mask
-            found = table[slot]
-            hit = found == key[left]
-            out[left[hit]] = values[slot[hit]]
-            missing.append(left[found < 0])
-            go = ~hit & (found >= 0)
-            left, slot = left[go], slot[go]
-        rest = np.concatenate(missing)
-        for d in range(self.depth, -1, -1):  # the deepest context in the tree codes; where it never saw the byte, slowly
-            if not len(rest):
-                return out
-            own = key[rest] & ((1 << (8 * (d + 1))) - 1)
-            if d < self.depth and len(self.keys[d]):
-                at = np.minimum(np.searchsorted(self.keys[d], own), len(self.keys[d]) - 1)
-                hit = self.keys[d][at] == own
-                out[rest[hit]] = self.found[d][at[hit]]
-                rest, own = rest[~hit], own[~hit]
-            contexts = self.contexts[d]
-            inside = contexts[np.minimum(np.searchsorted(contexts, own >> 8), len(contexts) - 1)] == own >> 8 if len(contexts) else np.zeros(len(own), bool)
-            if inside.any():
-                unique, where = np.unique(own[inside], return_inverse=True)
-                out[rest[inside]] = self.slow(unique, d)[where]
-            rest = rest[~inside]
-        out[rest] = 8 * np.log10(0.5)
+            hit = self.keys[slot] == key[left]
+            out[left[hit]] = self.values[slot[hit]]
+            left, slot = left[~hit], slot[~hit]
         return out
 
 
-def train_tree(training: DataFrame, depth: int = 5) -> Tree:
-    """A Tree from all rows of training (text).
+def held_out(id_: Column, parts: int = 7, part: int = 2) -> Column:
+    """Whether crc32(id as text) mod parts is part; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % parts == part
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in raw.translate(_FOLD).split(b" ") if w], np.uint64)
+
+
+_ROW = "block long, part int, n int, keys binary, counts binary, texts binary, ids array<string>, held array<boolean>, sizes array<long>"
+
+
+def text_blocks(base: DataFrame, depth: int, top: int, parts: int) -> DataFrame:
+    """Blocks of texts and, per block and owner, the distinct grams (part from 0) and word hashes (part from ``parts``) with their training counts.
 
-    Counts cover the whole text of every row, and the tree has every context counted, so it grows with
-    the distinct grams of the training text; the driver and each scoring task hold it.
+    base: id, held_out, text. A block's own row has part -1 and its texts, compressed.
     """
-    counted = cut(count_grams(training, depth))
-    levels = []
-    for d in range(depth + 1):
-        level = counted if d == depth else counted.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        table = level.toArrow()
-        keys, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        order = np.argsort(keys)
-        levels.append((keys[order], n[order]))
-    return Tree(levels)
+    kinds = {"block": pa.int64(), "part": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "texts": pa.binary(), "ids": pa.list_(pa.string()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64())}
 
+    def dealt(keys: np.ndarray, counts: np.ndarray, of: np.ndarray, first: int) -> Iterator[tuple]:
+        order = np.lexsort((keys, of))
+        keys, counts, of = keys[order], counts[order].astype(np.uint32), of[order]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+        for a, b in zip(starts, [*starts[1:], len(of)], strict=True):
+            yield int(of[a]) + first, int(b - a), squeeze_keys(keys[a:b]), squeeze(counts[a:b]), None, None, None, None
 
-def held_out(id_: Column, parts: int = 7, part: int = 2) -> Column:
-    """Whether crc32(id as text) mod parts is part; a null id counts as an empty text."""
-    return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % parts == part
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, docs, size = TaskContext.get().partitionId() << 33, [], 0
+        chunks: dict[bool, list[bytes]] = {False: [], True: []}
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        words: list[np.ndarray] = []
+
+        def count(held: bool) -> None:
+            if chunks[held]:
+                unique, n = np.unique(grams(chunks[held], depth)[0], return_counts=True)
+                seen.append((unique, n * (not held)))
+                chunks[held].clear()
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, size
+            count(False), count(True)
+            keys, n = summed(np.concatenate([k for k, _ in seen]), np.concatenate([c for _, c in seen]))
+            trained = np.repeat(np.array([not held for _, held, _ in docs]), [len(h) for h in words])
+            hashes, m = summed(np.concatenate(words), trained)
+            texts = compressed(b"".join(raw for _, _, raw in docs))
+            rows = [(-1, 0, None, None, texts, [d[0] for d in docs], [d[1] for d in docs], [len(d[2]) for d in docs])]
+            rows += dealt(keys, n, owner(keys, top, parts), 0)
+            rows += dealt(hashes, m, (hashes >> np.uint64(32)).astype(np.int64) % parts, parts)
+            columns = [[number] * len(rows), *zip(*rows, strict=True)]
+            number, size = number + 1, 0
+            docs.clear(), seen.clear(), words.clear()
+            return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, t), v in zip(kinds.items(), columns, strict=True)})
+
+        pending = {False: 0, True: 0}
+        for batch in batches:
+            for id_, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                raw = text.as_py().encode("utf-8", "surrogatepass").lower()
+                docs.append((id_, held, raw))
+                words.append(_word_hashes(raw))
+                chunks[held].append(raw)
+                size, pending[held] = size + len(raw) + 64, pending[held] + len(raw)
+                if pending[held] > CHUNK:
+                    count(held)
+                    pending[held] = 0
+                if size > BLOCK:
+                    yield flush()
+                    pending = {False: 0, True: 0}
+        if docs:
+            yield flush()
+
+    return base.select("id", "held_out", "text").mapInArrow(run, _ROW)
+
+
+def _counted(rows: pa.Table, dtype: type) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys that blocks sent an owner, the sums of their training counts, and each block's keys."""
+    n = rows.column("n").to_pylist()
+    keys = [unsqueeze_keys(k, m, dtype) for k, m in zip(rows.column("keys").to_pylist(), n, strict=True)]
+    counts = [unsqueeze(c, m, np.uint32) for c, m in zip(rows.column("counts").to_pylist(), n, strict=True)]
+    return *summed(np.concatenate(keys), np.concatenate(counts)), keys
+
+
+def _subtrees(keys: np.ndarray, n: np.ndarray, top: int, depth: int) -> list[Level]:
+    """An owner's levels below the top, of the grams that training has."""
+    return levels_of(keys[n > 0], n[n > 0], top + 1, depth)
+
+
+def train_top(blocks: DataFrame, depth: int, top: int, parts: int) -> tuple[list[Level], list[list[np.ndarray]]]:
+    """The levels down to depth ``top`` with their odds; at most 256 ** (top + 1) keys reach the driver.
 
+    Owners weigh their subtrees and send, per node of depth ``top``, the sum of the logs of its children
+    there; the sums are of decimals, so they don't depend on order.
+    """
+    mask = (1 << (8 * (top + 1))) - 1
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, depth: int = 5) -> DataFrame:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, n, _ = _counted(rows, np.int64)
+        levels = _subtrees(keys, n, top, depth)
+        out = [(-1, *summed(levels[-1].keys & mask, np.diff(levels[-1].sums)))]
+        for bit in range(8):
+            nodes, logs = weigh(levels, top + 1, bit)[1]
+            unique, where = np.unique(nodes, return_inverse=True)
+            out.append((bit, unique, np.bincount(where, logs, len(unique))))
+        return pa.table({"bit": np.repeat(np.array([b for b, _, _ in out], np.int32), [len(k) for _, k, _ in out]), "node": np.concatenate([k for _, k, _ in out]), "value": np.concatenate([v for _, _, v in out]).astype(np.float64)})
+
+    some = blocks.filter(F.col("part").between(0, parts - 1)).select("part", "n", "keys", "counts").groupBy("part").applyInArrow(run, "bit int, node long, value double")
+    table = some.groupBy("bit", "node").agg(F.sum(F.col("value").cast("decimal(28,8)")).cast("double").alias("value")).toArrow()
+    bits, nodes, values = (table.column(c).to_numpy() for c in ("bit", "node", "value"))
+    order = np.lexsort((nodes, bits))
+    bits, nodes, values = bits[order], nodes[order], values[order]
+    levels = levels_of(nodes[bits < 0], values[bits < 0].astype(np.int64), 0, top)
+    odds = [weigh(levels, 0, bit, (nodes[bits == bit], values[bits == bit]))[0] for bit in range(8)]
+    return levels, [[odds[bit][d] for bit in range(8)] for d in range(top + 1)]
+
+
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, depth: int = 5, share: int = SHARE) -> DataFrame:
     """One row per input row: id (as a string), held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Learns from rows that are not held_out(). score is the log10 probability that the context tree gives
     to the text, A-Z lower-cased, with its end. base_score adds log10((c+1)/(N+V+1)) over words and one end.
 
-    The base needs each word's count in the whole corpus. Words are exchanged as 64-bit hashes in
-    blocks: a task sends the distinct words of a block of text once, by hash range; a range adds up the
-    counts and answers each block. So a frequent word is one entry per block, no task holds more than a
-    block or a range, and nothing but the tree, which has all counted contexts, is broadcast.
+    The tree has every context counted in the training text, whatever its size, and no task has it whole:
+    its subtrees below depth TOP, known by the bytes before a position, are dealt to owners, one per
+    ``share`` bytes of text, as are the words, known by 64-bit hashes. A task turns its texts into
+    blocks and sends each owner a block's distinct grams and words once, with their training counts.
+    Owners sum the counts, weigh their subtrees and answer each block with probabilities and counts; the
+    top of the tree, at most 65,536 keys, is broadcast. The blocks' texts, compressed, meet the answers in the end.
 
     Null text counts as empty: one token, the end. Without training rows every word has count 0 and the
     tree is empty, each bit a half. Repeated rows are scored, and learnt from, as rows. An empty table
     gives no rows; other columns are ignored.
     """
     base = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), held_out(F.col(f"`{id_col}`"), parts, part).alias("held_out"), whole(text_col).alias("text"))
-    training = base.filter("not held_out")
-    sent = df.sparkSession.sparkContext.broadcast(train_tree(training.select("text"), depth))
-    ends = training.count()
-    ranges = 1 << max(4, min(16, int(base.rdd.getNumPartitions()).bit_length()))
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, base_number, number = sent.value, TaskContext.get().partitionId() << 33, 0
-        docs: list[tuple] = []
-        chunk: list[bytes] = []
-        scores: list[float] = []
-        hashes: list[np.ndarray] = []
-        size = done = 0
-
-        def score() -> None:
-            nonlocal chunk, done
-            key, starts = grams(chunk, depth)
-            scores.extend(np.add.reduceat(tree.score(key), starts).tolist())
-            chunk, done = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal docs, scores, hashes, size, number
-            if chunk:
-                score()
-            lengths = [len(h) for h in hashes]
-            unique, where = np.unique(np.concatenate(hashes), return_inverse=True)
-            hashes = []
-            trained = np.repeat(np.array([not d[1] for d in docs]), lengths)
-            counts = np.bincount(where[trained], minlength=len(unique)).astype(np.uint32)
-            block = base_number + number
-            of = (unique >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64)
-            cuts = np.searchsorted(of, np.arange(ranges + 1))
-            order = np.lexsort((-np.bincount(where, minlength=len(unique)), of))  # frequent words first in each range
-            unique, counts = unique[order], counts[order]
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order)) - cuts[of]
-            tokens = squeeze(of.astype(np.uint16)[where], place[where])
-            some = np.flatnonzero(cuts[1:] > cuts[:-1])
-            n = len(some) + 1
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([block] * n, pa.int64()),
-                    "range": pa.array([-1, *some], pa.int32()),
-                    "hashes": pa.array([None, *[unique[cuts[k] : cuts[k + 1]].tobytes() for k in some]], pa.binary()),
-                    "counts": pa.array([None, *[counts[cuts[k] : cuts[k + 1]].tobytes() for k in some]], pa.binary()),
-                    "tokens": pa.array([tokens, *[None] * len(some)], pa.binary()),
-                    "ids": pa.array([[d[0] for d in docs], *[None] * len(some)], pa.list_(pa.string())),
-                    "held": pa.array([[d[1] for d in docs], *[None] * len(some)], pa.list_(pa.bool_())),
-                    "bytes": pa.array([[d[2] for d in docs], *[None] * len(some)], pa.list_(pa.int64())),
-                    "lengths": pa.array([lengths, *[None] * len(some)], pa.list_(pa.int64())),
-                    "scores": pa.array([scores, *[None] * len(some)], pa.list_(pa.float64())),
-                }
-            )
-            docs, scores, hashes, size, number = [], [], [], 0, number + 1
-
-        for batch in batches:
-            for id_, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = text.as_py().encode("utf-8", "surrogatepass").lower()
-                words = raw.translate(_FOLD).split(b" ")
-                hashes.append(np.array([xxhash.xxh64_intdigest(w) for w in words if w], np.uint64))
-                docs.append((id_, held, len(raw)))
-                chunk.append(raw)
-                size, done = size + len(raw) + 64, done + len(raw)
-                if done > CHUNK:
-                    score()
-                if size > BLOCK:
-                    yield from flush()
-        if docs:
-            yield from flush()
-
-    schema = "block long, range int, hashes binary, counts binary, tokens binary, ids array<string>, held array<boolean>, bytes array<long>, lengths array<long>, scores array<double>"
-    table = cut(base.mapInArrow(blocks, schema))
-
-    def total(key: tuple, asked: pa.Table) -> pa.Table:
-        parts_ = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32)) for h, c in zip(asked.column("hashes").to_pylist(), asked.column("counts").to_pylist(), strict=True)]
-        unique, where = np.unique(np.concatenate([h for h, _ in parts_]), return_inverse=True)
-        sums = np.bincount(where, np.concatenate([c for _, c in parts_]), len(unique)).astype(np.int64)
-        at = np.r_[0, np.cumsum([len(h) for h, _ in parts_])]
-        n = asked.num_rows
-        answers = [sums[where[at[k] : at[k + 1]]].tobytes() for k in range(n)]
-        once = [int(sums.sum()), int((sums > 0).sum())]
-        return pa.table({"block": asked.column("block"), "range": asked.column("range"), "answer": pa.array(answers, pa.binary()), "n": pa.array([once[0], *[0] * (n - 1)], pa.int64()), "v": pa.array([once[1], *[0] * (n - 1)], pa.int64())})
-
-    answers = cut(table.filter("range >= 0").select("block", "range", "hashes", "counts").groupBy("range").applyInArrow(total, "block long, range int, answer binary, n long, v long"))
-    n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
+    size, ends = base.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
+    top, owners = min(TOP, depth - 1), max(16, -(-(size or 0) // share))
+    blocks = cut(text_blocks(base, depth, top, owners))
+    sent = df.sparkSession.sparkContext.broadcast(train_top(blocks, depth, top, owners))
+
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        words = key[0].as_py() >= owners
+        keys, n, asked = _counted(rows, np.uint64 if words else np.int64)
+        if words:
+            values, totals = n, (int(n.sum()), int((n > 0).sum()))
+        else:
+            levels, odds = sent.value
+            below = _subtrees(keys, n, top, depth)
+            more = [weigh(below, top + 1, bit)[0] for bit in range(8)]
+            tree = Tree(levels + below, odds + [[more[bit][d] for bit in range(8)] for d in range(len(below) - 1)])
+            values, totals = np.concatenate([tree.log10(keys[at : at + CHUNK // 16]) for at in range(0, len(keys), CHUNK // 16)]).astype(np.float32), (0, 0)
+        out = [squeeze(values[np.searchsorted(keys, k)]) for k in asked]
+        once = [pa.array([x, *[0] * (len(out) - 1)], pa.int64()) for x in totals]
+        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "n": rows.column("n"), "keys": rows.column("keys"), "answer": pa.array(out, pa.binary()), "tokens": once[0], "types": once[1]})
+
+    asked = blocks.filter("part >= 0").select("block", "part", "n", "keys", "counts").groupBy("part")
+    answers = cut(asked.applyInArrow(answer, "block long, part int, n int, keys binary, answer binary, tokens long, types long"))
+    n, v = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
     n, v = n + ends, v + (ends > 0)
     log_total, log_end = float(np.log10(n + v + 1)), float(np.log10(ends + 1))
 
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
-        number = rows.column("range").to_numpy()
-        order = np.argsort(number)
-        doc = rows.slice(int(order[0]), 1).to_pylist()[0]
-        answer = [np.frombuffer(rows.column("answer")[int(k)].as_py(), np.int64) for k in order[1:]]
-        base = np.zeros(ranges, np.int64)
-        base[number[order[1:]]] = np.cumsum([0, *map(len, answer)])[:-1]
-        lengths = np.array(doc["lengths"], np.int64)
-        of, place = unsqueeze(doc["tokens"], int(lengths.sum()))
-        each = np.concatenate([*answer, np.zeros(0, np.int64)])[base[of] + place]
-        ends_at = np.cumsum(lengths)
-        starts, known = ends_at - lengths, np.r_[0, np.cumsum(each > 0)]
-        sums = np.array([np.log10(each[a:b] + 1.0).sum() for a, b in zip(starts, ends_at, strict=True)])
+        of, sizes = rows.column("part").to_numpy(), rows.column("n").to_pylist()
+        (own,) = np.flatnonzero(of < 0)
+        doc = rows.select(["texts", "ids", "held", "sizes"]).slice(int(own), 1).to_pylist()[0]
+        raw, texts = decompressed(doc["texts"], sum(doc["sizes"])), []
+        for end, size in zip(np.cumsum(doc["sizes"]).tolist(), doc["sizes"], strict=True):
+            texts.append(raw[end - size : end])
+
+        def answered(some: np.ndarray, key_type: type, value_type: type) -> tuple[np.ndarray, np.ndarray]:
+            some = np.flatnonzero(some).tolist()
+            keys = [unsqueeze_keys(rows.column("keys")[k].as_py(), sizes[k], key_type) for k in some]
+            values = [unsqueeze(rows.column("answer")[k].as_py(), sizes[k], value_type) for k in some]
+            return np.concatenate([np.zeros(0, key_type), *keys]), np.concatenate([np.zeros(0, value_type), *values])
+
+        hashes, counts = answered(of >= owners, np.uint64, np.int64)
+        order = np.argsort(hashes)
+        hashes, logs, known = hashes[order], np.log10(counts[order] + 1.0), counts[order] > 0
+        found, probabilities = [], Lookup(*answered((of >= 0) & (of < owners), np.int64, np.float32))
+        first = 0
+        while first < len(texts):
+            last, held = first, 0
+            while last < len(texts) and held <= CHUNK:
+                held, last = held + len(texts[last]), last + 1
+            gram, starts = grams(texts[first:last], depth)
+            found += np.add.reduceat(probabilities.get(gram), starts).tolist()
+            first = last
+        n_words, n_known, base_score = [], [], []
+        for text in texts:
+            at = np.searchsorted(hashes, _word_hashes(text))
+            n_words.append(len(at) + 1)
+            n_known.append(int(known[at].sum()) + (ends > 0))
+            base_score.append(float(logs[at].sum()) + log_end - (len(at) + 1) * log_total)
         return pa.table(
             {
                 "id": pa.array(doc["ids"], pa.string()),
                 "held_out": pa.array(doc["held"], pa.bool_()),
-                "n_tokens": pa.array(lengths + 1, pa.int64()),
-                "n_known": pa.array(known[ends_at] - known[starts] + (ends > 0), pa.int64()),
-                "train_tokens": pa.array([n] * len(lengths), pa.int64()),
-                "base_score": pa.array(sums + log_end - (lengths + 1) * log_total, pa.float64()),
-                "score": pa.array(doc["scores"], pa.float64()),
-                "bits_per_byte": pa.array(-np.array(doc["scores"]) * np.log2(10) / (np.array(doc["bytes"]) + 1), pa.float64()),
+                "n_tokens": pa.array(n_words, pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
+                "train_tokens": pa.array([n] * len(texts), pa.int64()),
+                "base_score": pa.array(base_score, pa.float64()),
+                "score": pa.array(found, pa.float64()),
+                "bits_per_byte": pa.array(-np.array(found) * np.log2(10) / (np.array(doc["sizes"]) + 1), pa.float64()),
             }
         )
 
-    docs = table.filter("range < 0").select("block", "range", "tokens", "ids", "held", "bytes", "lengths", "scores", F.lit(None).cast("binary").alias("answer"))
-    both = docs.unionByName(answers.select("block", "range", "answer"), allowMissingColumns=True)
+    texts = blocks.filter("part < 0").select("block", "part", "n", "keys", F.lit(None).cast("binary").alias("answer"), "texts", "ids", "held", "sizes")
+    both = texts.unionByName(answers.select("block", "part", "n", "keys", "answer"), allowMissingColumns=True)
     return both.groupBy("block").applyInArrow(finish, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
