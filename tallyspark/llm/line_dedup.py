@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ._common import WHITE, cut, whole
 
-#: Bits of one segment of a filter; filters are merged segment by segment.
-SEGMENT = 1 << 20
+#: Lines of one segment of the hashes, whose owner holds two filters of 16 bits a line; distinct lines that a task sends at once.
+SEGMENT, CHUNK = 1 << 18, 1 << 20
 
 
 def keys_of(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -39,68 +39,115 @@ def put(bloom: np.ndarray, at: np.ndarray) -> None:
         bloom[byte[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (flat & np.uint64(7)).astype(np.uint8), first)
 
 
-def _hashes(keys: set[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    """63 bits each; the lowest bit is left for whether several rows hold the key."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys)) & ~np.uint64(1)
 
 
-def twice_seen(texts: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The filter of keys that more than one row may hold; no key of two rows is missing.
+def _long_enough(key: bytes, min_chars: int) -> bool:
+    return len(key) >= min_chars and (min_chars <= 1 or key.isascii() or len(key.decode("utf-8", "surrogatepass")) >= min_chars)
 
-    Each task fills both filters, once seen and twice seen, and sends the segments that aren't empty;
-    the merge ors them and adds to the second what both sides of the first have.
-    """
-    segment = min(bits, SEGMENT)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return positions(hashes >> np.uint64(1), bits)
+
+
+def line_hashes(texts: DataFrame, min_chars: int) -> DataFrame:
+    """hashes (ascending, distinct), n: the lines of blocks of rows, CHUNK distinct lines a block; a line counts once a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros(0, np.uint64), 0
+        parts: list[np.ndarray] = []
+
+        def merge() -> np.ndarray:
+            both = np.sort(np.concatenate([held, *parts]))
+            key = both & ~np.uint64(1)
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            again = (np.diff(np.r_[first, len(key)]) > 1) | (both[np.r_[first[1:], len(key)] - 1] != key[first]) if len(key) else np.zeros(0, bool)
+            parts.clear()
+            return key[first] | again.astype(np.uint64)
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"hashes": pa.array([held.tobytes()], pa.binary()), "n": pa.array([len(held)], pa.int64())})
+
         for batch in batches:
-            parts, n = [], 0
-            for text in [*batch.column(0), None]:
-                if text is not None:
-                    parts.append(_hashes({k for k in keys_of(text.as_py())[1] if len(k) >= min_chars}))
-                    n += len(parts[-1])
-                if parts and (text is None or n > 200_000):
-                    hashes, counts = np.unique(np.concatenate(parts), return_counts=True)
-                    at = positions(hashes, bits)
-                    put(twice, at[(counts > 1) | has(once, at)])
-                    put(once, at)
-                    parts, n = [], 0
-        a, b = once.reshape(-1, segment // 8), twice.reshape(-1, segment // 8)
-        for k in np.flatnonzero(a.any(axis=1)):
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "once": [a[k].tobytes()], "twice": [b[k].tobytes()]})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for text in batch.column(0):
+                parts.append(_hashes([k for k in dict.fromkeys(keys_of(text.as_py())[1]) if _long_enough(k, min_chars)]))
+                n += len(parts[-1])
+                if n > CHUNK // 4:
+                    held, n = merge(), 0
+                    if len(held) > CHUNK:
+                        yield block()
+                        held = held[:0]
+        held = merge()
+        if len(held):
+            yield block()
+
+    return texts.select("text").mapInArrow(run, "hashes binary, n long")
+
+
+def twice_seen(texts: DataFrame, min_chars: int, max_bits: int, segment_lines: int) -> tuple[np.ndarray, int]:
+    """A filter of the lines that several rows may hold, in parts by the hash's first bits, and how many bits those are.
+
+    Lines' hashes go to segments by their first bits, as many segments as the lines need. A segment's
+    owner fills its two filters, once seen and twice seen, with the blocks that come in, and what the second holds is
+    suspected; no line of two rows is missing. Of the suspects, not of all lines, a filter goes to all
+    tasks: 16 bits each up to ``max_bits``, beyond which more lines pass than need to.
+    """
+    blocks = cut(line_hashes(texts, min_chars))
+    lines = blocks.agg(F.sum("n")).first()[0] or 0
+    lead = min(16, int(lines // segment_lines).bit_length())
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                if k in held:
-                    once, twice = held[k]
-                    twice |= y | (once & x)
-                    once |= x
-                else:
-                    held[k] = (x.copy(), y.copy())
-        for k, (_, twice) in held.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "twice": [twice.tobytes()]})
-
-    filled = texts.mapInArrow(fill, "segment int, once binary, twice binary")
-    merged = filled.repartition(min(bits // segment, 64), "segment").mapInArrow(merge, "segment int, twice binary")
-    bloom = np.zeros(bits // 8, np.uint8)
-    for k, twice in merged.collect():  # at most the filter's size, 16 MB
-        bloom[k * segment // 8 : (k + 1) * segment // 8] = np.frombuffer(twice, np.uint8)
-    return bloom
-
-
-def repeated_keys(texts: DataFrame, min_docs: int, min_chars: int = 1, max_bits: int = 1 << 27) -> DataFrame:
+            for data in batch.column(0):
+                hashes = np.frombuffer(data.as_buffer(), np.uint64)
+                of = (hashes >> np.uint64(64 - lead)).astype(np.int64) if lead else np.zeros(len(hashes), np.int64)
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                yield pa.RecordBatch.from_pydict({"segment": pa.array(of[first], pa.int32()), "hashes": pa.array([x.tobytes() for x in np.split(hashes, first[1:])], pa.binary())})
+
+    def own(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        bits = 1 << max(10, int(16 * sum(map(len, parts))).bit_length())
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for part in parts:
+            at = _positions(part, bits)
+            put(twice, at[(part & np.uint64(1) == 1) | has(once, at)])
+            put(once, at)
+        found = np.unique(np.concatenate([part[has(twice, _positions(part, bits))] & ~np.uint64(1) for part in parts]))
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "hashes": pa.array([found.tobytes()], pa.binary()), "n": pa.array([len(found)], pa.int64())})
+
+    suspects = cut(blocks.select("hashes").mapInArrow(split, "segment int, hashes binary").groupBy("segment").applyInArrow(own, "segment int, hashes binary, n long"))
+    n, few = suspects.agg(F.sum("n")).first()[0] or 0, min(lead, 8)
+    bits = max(64, min(max_bits, 1 << int(16 * n).bit_length()) >> few)
+
+    def fill(key: tuple, table: pa.Table) -> pa.Table:
+        bloom = np.zeros(bits // 8, np.uint8)
+        for x in table.column("hashes").to_pylist():
+            put(bloom, _positions(np.frombuffer(x, np.uint64), bits))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bloom": pa.array([bloom.tobytes()], pa.binary())})
+
+    parts = suspects.withColumn("part", F.call_function("shiftright", F.col("segment"), F.lit(lead - few))).groupBy("part").applyInArrow(fill, "part int, bloom binary")
+    out = np.zeros((1 << few, bits // 8), np.uint8)
+    for part, bloom in parts.collect():  # max_bits at most
+        out[part] = np.frombuffer(bloom, np.uint8)
+    return out.ravel(), few
+
+
+def repeated_keys(texts: DataFrame, min_docs: int, min_chars: int = 1, max_bits: int = 1 << 28, segment_lines: int = SEGMENT) -> DataFrame:
     """key (binary), docs, first_id of the keys that at least min_docs rows hold. texts: text, id.
 
-    The filters have 16 bits per line, up to ``max_bits``; a fuller filter only lets more suspects
-    through, and the count of those is exact. A task sends a suspect once per 100,000 distinct ones
-    with the number of rows that hold it, so a line of a third of all rows costs a row per task.
+    Only lines that twice_seen() suspects are shuffled, and the count of those is exact. A task sends a
+    suspect once per 100,000 distinct ones with the number of rows that hold it, so a line of a third of
+    all rows costs a row per task.
     """
-    lines = texts.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = max(1 << 16, min(max_bits, 1 << int(16 * lines).bit_length()))
-    bloom = texts.sparkSession.sparkContext.broadcast(twice_seen(texts.select("text"), bits, min_chars))
+    found, few = twice_seen(texts, min_chars, max_bits, segment_lines)
+    bits = len(found) * 8 >> few
+    bloom = texts.sparkSession.sparkContext.broadcast(found)
+
+    def suspected(hashes: np.ndarray) -> np.ndarray:
+        part = hashes >> np.uint64(64 - few) if few else np.zeros(len(hashes), np.uint64)
+        return has(bloom.value, _positions(hashes, bits) + (part * np.uint64(bits))[:, None])
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list] = {}
@@ -112,11 +159,10 @@ def repeated_keys(texts: DataFrame, min_docs: int, min_chars: int = 1, max_bits:
 
         for batch in batches:
             for text, id_ in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                keys = [k for k in dict.fromkeys(keys_of(text.as_py())[1]) if len(k) >= min_chars]
+                keys = [k for k in dict.fromkeys(keys_of(text.as_py())[1]) if _long_enough(k, min_chars)]
                 if not keys:
                     continue
-                hits = has(bloom.value, positions(np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys)), bits))
-                for k in np.flatnonzero(hits):
+                for k in np.flatnonzero(suspected(_hashes(keys))):
                     x = seen.setdefault(keys[k], [0, None])
                     x[0] += 1
                     if id_ is not None and (x[1] is None or id_ < x[1]):
@@ -134,7 +180,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per input row: id, text without the dropped lines, n_lines, n_dropped.
 
     A line's key is the line stripped of the six ASCII white-space characters with A-Z lower-cased;
-    ids must be integers. Keys of at least ``min_chars`` bytes (1: not empty) that ``min_docs`` rows or more hold lose all
+    ids must be integers. Keys of at least ``min_chars`` code points (1: not empty) that ``min_docs`` rows or more hold lose all
     their lines, or with ``keep_first`` all but the first line in the row of the smallest id. The keys
     to drop are broadcast up to ``max_broadcast_bytes``; beyond, each row gets its own by a join.
 
