@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, whole
+from ._common import cut, field, packed, whole
 
 # Look-alike letters and digits or signs used for letters.
 HOMOGLYPHS = {
@@ -27,21 +27,27 @@ JOINERS = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 _SIMPLE = str.maketrans(HOMOGLYPHS | dict.fromkeys(JOINERS))
 _SIGNS = str.maketrans(SUBSTITUTES)
-_MIXED = re.compile(r"[\w@$!]*[^\W\d_][\w@$!]*")
+_RUN = re.compile(r"[\w@$!]+")
 _SIGNED = re.compile(r"[013457@$!]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _plain(run: re.Match) -> str:
+    """A run of letters, digits and signs; if it has letters, its digits and signs stand for some."""
+    text = run[0]
+    return text.rstrip("!").translate(_SIGNS) if _SIGNED.search(text) and _WORD.search(text) else text
+
+
 def fold(text: str) -> str:
     """Lower case, look-alikes as Latin letters, digits and signs inside words as letters, one blank before and after each word.
 
-    A trailing run of ! stays outside the word.
+    A trailing run of ! stays outside the word. Time is linear in the text's length.
     """
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).translate(_SIMPLE)
     if _SIGNED.search(text):
-        text = _MIXED.sub(lambda m: m[0].rstrip("!").translate(_SIGNS) if _SIGNED.search(m[0]) else m[0], text)
+        text = _RUN.sub(_plain, text)
     return " " + " ".join(_WORD.findall(text)) + " "
 
 
@@ -61,20 +67,22 @@ def machine(entries: dict[str, float]) -> ahocorasick.Automaton:
     return out
 
 
-def features(text: str, lexicon: ahocorasick.Automaton, exceptions: ahocorasick.Automaton | None) -> tuple[float, float, float]:
-    """log(1 + matched weight), log(1 + weight per 100 words), log(1 + distinct entries).
+def features(folded: str, lexicon: ahocorasick.Automaton, exceptions: ahocorasick.Automaton | None) -> tuple[float, float, float]:
+    """log(1 + matched weight), log(1 + weight per 100 words), log(1 + distinct entries) of a folded text.
 
-    A match counts once per word, with its largest weight, and not inside a match of an exception.
+    A match counts once per word, with its largest weight, and not if it begins inside a match of an exception.
     """
-    folded = fold(text)
     at: dict[int, tuple[float, int]] = {}
     for end, (k, n, weight) in lexicon.iter(folded):
         start = end - n + 1
         if start not in at or at[start][0] < weight:
             at[start] = (weight, k)
     if at and exceptions is not None:
-        for end, (_, n, _) in exceptions.iter(folded):
-            for start in [s for s in at if end - n + 1 <= s < end]:
+        spans, reach, k = sorted((end - n + 1, end) for end, (_, n, _) in exceptions.iter(folded)), 0, 0
+        for start in sorted(at):
+            while k < len(spans) and spans[k][0] <= start:
+                reach, k = max(reach, spans[k][1]), k + 1
+            if start < reach:
                 del at[start]
     mass = sum(w for w, _ in at.values())
     return math.log1p(mass), math.log1p(100 * mass / folded.count(" ")), math.log1p(len({k for _, k in at.values()}))
@@ -95,17 +103,17 @@ class Model:
             self._machines = machine(self.lexicon) if self.lexicon else None, machine(dict.fromkeys(self.exceptions, 0.0)) if self.exceptions else None
         return self._machines
 
-    def features(self, text: str) -> tuple[float, float, float]:
+    def features(self, folded: str) -> tuple[float, float, float]:
         lexicon, exceptions = self.machines()
-        return features(text, lexicon, exceptions) if lexicon else (0.0, 0.0, 0.0)
+        return features(folded, lexicon, exceptions) if lexicon else (0.0, 0.0, 0.0)
 
     def score(self, text: str) -> float:
-        z = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], self.features(text), strict=True))
+        z = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], self.features(fold(text)), strict=True))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
 def _counts(sample: DataFrame, count, schema: str) -> DataFrame:
-    """Sums of what count(texts, toxic) -> Counter gives per batch."""
+    """Over all rows of sample, folded and toxic, the sums of the entries that count(folded, toxic) gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -118,7 +126,7 @@ def _counts(sample: DataFrame, count, schema: str) -> DataFrame:
         if total:
             yield pa.RecordBatch.from_pydict({"entry": list(total), "n": pa.array(total.values(), pa.int64())})
 
-    return sample.select("text", "toxic").mapInArrow(run, schema).groupBy("entry").agg(F.sum("n").alias("n"))
+    return sample.select("folded", "toxic").mapInArrow(run, schema).groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def _sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
@@ -128,45 +136,51 @@ def _sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
 
 
 def labelled_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000) -> DataFrame:
-    """text, toxic of about ``max_rows`` labelled rows that are not held_out(); the sampled labels, so bounded, are broadcast."""
-    some = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").alias("__toxic")).filter(F.col("__toxic").isNotNull() & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
-    some = F.broadcast(_sample(some, F.col("__id"), max_rows))
-    return df.join(some, F.col(f"`{id_col}`") == F.col("__id")).select(F.col(f"`{text_col}`").alias("text"), F.col("__toxic").alias("toxic"))
+    """text, toxic of about ``max_rows`` labelled rows that are not held_out(); the sampled labels, so bounded, are broadcast.
+
+    An id that is labelled more than once counts once, as toxic if any of its labels says so. Null ids
+    and labels are left out, as are labels without a row; rows repeated with one id count as rows.
+    """
+    some = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    some = F.broadcast(_sample(some.groupBy("id").agg(F.max("toxic").alias("toxic")), F.col("id"), max_rows))
+    return packed(df).join(some, field(id_col) == F.col("id")).select(field(text_col).alias("text"), "toxic")
 
 
-def _copy_key(texts: pa.Array) -> pa.Array:
+def _copy_key(folded: str) -> int:
     """The smallest hash of a folded text's four-word runs, which near copies mostly share."""
-    out = []
-    for text in texts:
-        words = fold(text.as_py()).split()
-        out.append(min(xxhash.xxh64_intdigest(" ".join(words[k : k + 4])) for k in range(max(1, len(words) - 3))))
-    return pa.array(np.array(out, np.uint64).view(np.int64))
+    words = folded.split()
+    return min(xxhash.xxh64_intdigest(" ".join(words[k : k + 4])) for k in range(max(1, len(words) - 3)))
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    folded = [fold(t.as_py()) for t in texts]
+    return pa.StructArray.from_arrays([pa.array(np.array([_copy_key(t) for t in folded], np.uint64).view(np.int64)), pa.array(folded, pa.string())], names=["copy", "folded"])
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_candidates: int = 50_000, shortest: int = 4, longest: int = 10) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, shortest: int = 4, longest: int = 10) -> Model:
     """A Model from rows with a 0/1 label.
 
     The fit uses a bounded sample: about ``max_rows`` rows, chosen by a hash of the text, all of them where there
     are fewer; of near copies with one label, one row counts, as copies would make every word of a text
-    look telling. Candidate entries are words and word beginnings of ``shortest`` to ``longest`` letters,
-    the ``max_candidates`` that most toxic rows of the sample hold; an entry stays if its likelihood
+    look telling. All else follows from the whole sample. Candidate entries are words and word beginnings of
+    ``shortest`` to ``longest`` letters that three or more toxic rows hold; an entry stays if its likelihood
     ratio against the base rate beats chance among so many candidates, and if it is no extension of an
-    entry that does as well. Its weight is the smoothed log odds, log(10) at least. Exceptions are an entry's word with a
-    neighbour that only clean rows hold. Null labels are left out; null texts count as empty; with one
-    class only, every score is that class's rate.
+    entry that does as well. Its weight is the smoothed log odds, log(10) at least. Exceptions are an entry's
+    word with a neighbour that five or more clean rows hold and no toxic one. Other labels than 0 and 1 are left
+    out; null texts count as empty; with one class only, every score is that class's rate, without any row 0.
     """
     rows = cut(labelled.select(whole(text_col).alias("text"), F.col(f"`{label_col}`").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1)))
-    rows = _sample(rows, F.col("text"), max_rows)
-    rows = cut(rows.groupBy(F.arrow_udf(_copy_key, "long")(F.col("text")).alias("copy"), "toxic").agg(F.min("text").alias("text")))
+    rows = _sample(rows, F.col("text"), max_rows).select(F.arrow_udf(_folded, "copy long, folded string")("text").alias("f"), "toxic")
+    rows = cut(rows.groupBy("f.copy", "toxic").agg(F.min("f.folded").alias("folded")))
     totals = dict(rows.groupBy("toxic").count().collect())
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
-        return Model({}, [], [60.0 if bad else -60.0 if good else 0.0, 0.0, 0.0, 0.0])
+        return Model({}, [], [60.0 if bad else -60.0, 0.0, 0.0, 0.0])
 
-    found = _counts(rows.filter("toxic = 1"), lambda text, _: _starts(set(_WORD.findall(fold(text))), shortest, longest), "entry string, n long")
-    positive = dict(found.filter("n >= 3").orderBy(F.col("n").desc(), "entry").limit(max_candidates).collect())
+    found = _counts(rows.filter("toxic = 1"), lambda folded, _: _starts(set(folded.split()), shortest, longest), "entry string, n long")
+    positive = dict(found.filter("n >= 3").collect())
     sent = labelled.sparkSession.sparkContext.broadcast(frozenset(positive))
-    found = _counts(rows.filter("toxic = 0"), lambda text, _: _starts(set(_WORD.findall(fold(text))), shortest, longest) & sent.value, "entry string, n long")
+    found = _counts(rows.filter("toxic = 0"), lambda folded, _: _starts(set(folded.split()), shortest, longest) & sent.value, "entry string, n long")
     negative = dict(found.collect())
 
     rate, chance = bad / (bad + good), math.log(max(2, len(positive)) * 20)
@@ -189,18 +203,18 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     if lexicon:
         model = labelled.sparkSession.sparkContext.broadcast(Model(lexicon, [], [0.0] * 4))
 
-        def around(text: str, _: int) -> set[str]:
-            folded, out = fold(text), set()
+        def around(folded: str, _: int) -> set[str]:
+            out = set()
             for end, (_, n, _) in model.value.machines()[0].iter(folded):
                 start, stop = end - n + 1, folded.find(" ", end - n + 2)
                 before, after = folded.rfind(" ", 0, start), folded.find(" ", stop + 1)
                 out.update(folded[a : b + 1] for a, b in ((before, stop), (start, after)) if a >= 0 and b >= 0)
             return out
 
-        clean = [r.entry for r in _counts(rows.filter("toxic = 0"), around, "entry string, n long").filter("n >= 5").orderBy(F.col("n").desc(), "entry").collect()]
+        clean = [r.entry for r in _counts(rows.filter("toxic = 0"), around, "entry string, n long").filter("n >= 5").collect()]
         asked = labelled.sparkSession.sparkContext.broadcast(frozenset(clean))
-        held = {r.entry for r in _counts(rows.filter("toxic = 1"), lambda text, y: around(text, y) & asked.value, "entry string, n long").collect()}
-        exceptions = [x for x in clean if x not in held]
+        held = {r.entry for r in _counts(rows.filter("toxic = 1"), lambda folded, y: around(folded, y) & asked.value, "entry string, n long").collect()}
+        exceptions = sorted(set(clean) - held)
 
     model = Model(lexicon, exceptions, [0.0] * 4)
     sent_model = labelled.sparkSession.sparkContext.broadcast(model)
@@ -210,7 +224,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
             seen = Counter((y, *(round(x, 2) for x in sent_model.value.features(t.as_py()))) for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True))
             yield pa.RecordBatch.from_pydict({"y": [s[0] for s in seen], **{f"f{k}": [s[k + 1] for s in seen] for k in range(3)}, "n": list(seen.values())})
 
-    points = np.array([list(r) for r in rows.select("text", "toxic").mapInArrow(measure, "y long, f0 double, f1 double, f2 double, n long").collect()])
+    points = np.array([list(r) for r in rows.select("folded", "toxic").mapInArrow(measure, "y long, f0 double, f1 double, f2 double, n long").collect()])
     x, y, n_each = np.c_[np.ones(len(points)), points[:, 1:4]], points[:, 0], points[:, 4]
     curve, ridge = np.zeros(4), np.array([1e-3, 0.1, 0.1, 0.1])
     for _ in range(50):  # Newton steps of ridge regression
