@@ -1,31 +1,45 @@
-"""SimHash near-duplicates: binary-trie self-join of fingerprints, then connected components."""
+"""SimHash near-duplicates: binary-trie self-joins of fingerprints, then connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE, cut, whole
+from ._common import WHITE, cut, field, packed, small, whole
 
 _FOLD = bytes.maketrans(WHITE, b" " * len(WHITE))
 #: Node pairs held at once in a traversal, and leaf pairs compared at once.
 FRONTIER, LEAVES = 1 << 14, 1 << 17
+#: The wide fingerprint of near copies: 64-bit words, tables cut from it, bits of a table's key, bits by which keys may differ.
+WORDS, TABLES, KEY_BITS, KEY_MOST = 6, 8, 24, 2
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, A-Z lower-cased; bytes.lower() folds A-Z only."""
+    return [w for w in text.encode("utf-8", "surrogatepass").lower().translate(_FOLD).split(b" ") if w]
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """Per bit, how many of the hashes (rows of 64-bit words) have it."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    full = len(bits) // 255 * 255  # so many ones fit a byte
+    out = bits[full:].sum(axis=0, dtype=np.int64)
+    return out + bits[:full].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
 
 
 def fingerprint(text: str, shingle: int) -> int:
     """The 64-bit SimHash of a text's word shingles, repeats included.
 
-    bytes.lower() folds A-Z only. A bit is 1 if it is set in over half the XXH64 values (seed 42) of the
-    shingles; a text of fewer words has one shingle, one without words the fingerprint 0.
+    A bit is 1 if it is set in over half the XXH64 values (seed 42) of the shingles; a text of fewer
+    words has one shingle, one without words the fingerprint 0.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().translate(_FOLD).split(b" ")
-    words = [w for w in words if w]
+    words = words_of(text)
     if not words:
         return 0
     body = b" ".join(words)
@@ -33,11 +47,10 @@ def fingerprint(text: str, shingle: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.r_[0, ends[:-1]][:n].tolist()
     stops = (ends[len(words) - n :] - 1).tolist()
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, 65_536):
-        hashes = np.array([digest(body[a:b], 42) for a, b in zip(starts[at : at + 65_536], stops[at : at + 65_536], strict=True)], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+        total += votes(np.array([digest(body[a:b], 42) for a, b in zip(starts[at : at + 65_536], stops[at : at + 65_536], strict=True)], "<u8"))
+    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -50,41 +63,79 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return df.select(F.col(f"`{id_col}`").alias("id"), of(whole(text_col)).alias("fingerprint"))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles_of(text: str, shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's word shingles, ascending; a text of fewer words has one, one without words none."""
+    words = words_of(text)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = min(shingle, len(each))
+    out = np.zeros(len(each) - n + 1 if n else 0, np.uint64)
+    for j in range(n):
+        out = _mix(out + each[j : len(each) - n + 1 + j])
+    return np.unique(out)
+
+
+def wide_fingerprint(shingles: np.ndarray, words: int = WORDS) -> bytes:
+    """The SimHash of a set of shingles in so many 64-bit words; zero bytes for an empty set."""
+    total = np.zeros(64 * words, np.int64)
+    for at in range(0, len(shingles), 65_536):
+        part = shingles[at : at + 65_536]
+        total += votes(np.stack([_mix(part + np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(words)], axis=1))
+    return np.packbits(2 * total > len(shingles), bitorder="little").tobytes()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets given as ascending arrays; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
 class Sets:
-    """Union-find over positions, the smallest of a set its root."""
+    """Union-find over positions, the smallest of a set its root; edges are the links that joined two sets."""
 
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join the sets of a[k] and b[k]; of several links between two sets the first becomes an edge."""
         while len(a):
             x, y = self.root[a], self.root[b]
             apart = x != y
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
-            self.flatten()
-
-    def flatten(self) -> None:
-        while (self.root[self.root] != self.root).any():
-            self.root = self.root[self.root]
-
-
-def trie_links(keys: np.ndarray, halves: tuple[tuple[int, int], tuple[int, int]], depth: int, distance: int, most: int) -> Sets:
-    """Sets of keys that chains of pairs at most ``most`` bits apart connect, a pair having one key in either half.
-
-    keys: sorted within either half, whose keys share their first ``depth`` bits; ``distance`` is the
-    number of bits by which those differ. The trie is implicit: a node is a range of keys that share
-    their first bits. Pairs of nodes are descended together, level by level in blocks of a stack; a
-    pair is dropped when its differing bits exceed the budget or both its nodes lie in one set already,
-    which keeps a dense group of near copies from costing the square of its size.
+            hooked, first = np.unique(np.maximum(x, y), return_index=True)
+            self.root[hooked] = np.minimum(x, y)[first]
+            self.edges.append((a[first], b[first]))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def trie_links(keys: np.ndarray, depth: int, bits: int, most: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: int, orders: list[np.ndarray]) -> Sets:
+    """Sets of keys that links connect: pairs at a distance up to ``limit`` whose keys share ``depth`` bits and differ in at most ``most``.
+
+    keys: ascending, ``bits`` bits each, from the highest down. The trie is implicit: a node is a range
+    of keys that share their first bits. Every node at ``depth`` is paired with itself, and pairs of
+    nodes are descended together, level by level in blocks of a stack, adding up the bits by which they
+    differ; a pair is dropped when that exceeds ``most`` or when both its nodes lie in one set already,
+    which keeps a dense group of near copies from costing the square of its size. For the same reason
+    neighbours in each of ``orders`` are looked at first.
     """
     sets = Sets(len(keys))
-    for lo, hi in set(halves):  # neighbours in the order of some rotations, so that dense groups are sets early
-        for turn in (0, 16, 32, 48):
-            turned = (keys[lo:hi] << np.uint64(turn)) | (keys[lo:hi] >> np.uint64(64 - turn)) if turn else keys[lo:hi]
-            order = np.argsort(turned, kind="stable") + lo
-            near = np.bitwise_count(keys[order[1:]] ^ keys[order[:-1]]) <= most
-            sets.link(order[1:][near], order[:-1][near])
+
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        far = distance(x, y)
+        near = np.flatnonzero(far <= limit)
+        near = near[np.argsort(far[near], kind="stable")]
+        sets.link(x[near], y[near])
+
+    for values in orders:
+        order = np.argsort(values, kind="stable")
+        link(order[1:], order[:-1])
     zeros: dict[int, np.ndarray] = {}
 
     def middle(lo: np.ndarray, hi: np.ndarray, level: int) -> np.ndarray:
@@ -93,41 +144,51 @@ def trie_links(keys: np.ndarray, halves: tuple[tuple[int, int], tuple[int, int]]
         return lo + zeros[level][hi] - zeros[level][lo]
 
     def joined(pairs: np.ndarray) -> np.ndarray:
-        """Whether all keys of both nodes are in one set, for nodes of some size."""
-        out = np.zeros(len(pairs), bool)
-        root = sets.root
-        change = np.r_[0, np.cumsum(root[1:] != root[:-1])] if len(root) else root
+        """Whether all keys of both nodes are in one set."""
+        out, root = np.zeros(len(pairs), bool), sets.root
+        change = np.r_[0, np.cumsum(root[1:] != root[:-1])]
         one = (change[pairs[:, 1] - 1] == change[pairs[:, 0]]) & (change[pairs[:, 3] - 1] == change[pairs[:, 2]])
         out[one] = root[pairs[one, 0]] == root[pairs[one, 2]]
         return out
 
-    (a, b), (c, d) = halves
-    if a == b or c == d:
-        return sets
-    stack = [(depth, np.array([[a, b, c, d, distance]], np.int64))]
+    def compare(leaves: np.ndarray) -> None:
+        width = leaves[:, 3] - leaves[:, 2]
+        size = (leaves[:, 1] - leaves[:, 0]) * width
+        ends, first = np.cumsum(size), 0
+        while first < len(leaves):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + LEAVES, "right")))
+            if size[first] > LEAVES:  # equal keys, too many for one block
+                a, b, c, d = leaves[first, :4]
+                step = max(1, LEAVES // int(d - c))
+                for lo in range(a, b, step):
+                    rows = np.arange(lo, min(b, lo + step))
+                    link(np.repeat(rows, d - c), np.tile(np.arange(c, d), len(rows)))
+                last = first + 1
+            else:
+                some, n = leaves[first:last], size[first:last]
+                row = np.repeat(np.arange(len(some)), n)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                wide = width[first:last][row]
+                x, y = some[row, 0] + k // wide, some[row, 2] + k % wide
+                link(x[x != y], y[x != y])
+            first = last
+
+    head = keys >> np.uint64(64 - depth) if depth else np.zeros(len(keys), np.uint64)
+    starts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    stops = np.r_[starts[1:], len(keys)]
+    several = stops - starts > 1
+    starts, stops = starts[several], stops[several]
+    stack = [(depth, np.c_[starts, stops, starts, stops, np.zeros(len(starts), np.int64)])]
     while stack:
         level, pairs = stack.pop()
         if len(pairs) > FRONTIER:
             stack += [(level, pairs[k : k + FRONTIER]) for k in range(0, len(pairs), FRONTIER)]
             continue
         pairs = pairs[~joined(pairs)]
-        work = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
-        leaf = (work <= 64) | (level == 64)
-        leaves, pairs = pairs[leaf], pairs[~leaf]
-        if len(leaves):
-            work = work[leaf]
-            ends = np.cumsum(work)
-            first = 0
-            while first < len(leaves):
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + LEAVES, "right")))
-                some, size = leaves[first:last], work[first:last]
-                row = np.repeat(np.arange(len(some)), size)
-                k = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                wide = (some[:, 3] - some[:, 2])[row]
-                x, y = some[row, 0] + k // wide, some[row, 2] + k % wide
-                near = (x != y) & (np.bitwise_count(keys[x] ^ keys[y]) <= most)
-                sets.link(x[near], y[near])
-                first = last
+        leaf = ((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= 64) | (level == bits)
+        if leaf.any():
+            compare(pairs[leaf])
+        pairs = pairs[~leaf]
         if len(pairs):
             lo, hi, lo2, hi2, off = pairs.T
             mid, mid2 = middle(lo, hi, level), middle(lo2, hi2, level)
@@ -143,61 +204,95 @@ def trie_links(keys: np.ndarray, halves: tuple[tuple[int, int], tuple[int, int]]
     return sets
 
 
-def near_links(distinct: DataFrame, most: int, rows: int, block_rows: int = 1 << 14) -> DataFrame:
-    """u, v (v < u) of distinct fingerprints: stars that connect what links of at most ``most`` bits connect.
+def turned(words: np.ndarray, table: int, block: int, bits: int, most: int) -> tuple[np.ndarray, int]:
+    """Keys of a table from the highest bit down, turned so that a block comes first, and the block's bits.
 
-    distinct: fingerprint. The trie's first levels are the partitioning: a pair of subtrees under
-    prefixes that differ in at most ``most`` bits is one group. A fingerprint goes to the groups of its
-    prefix, so longer prefixes send more copies: subtrees have about ``block_rows`` keys, or the number
-    of keys to the power 2/3 where that is more; there are sixteen at least.
+    words: rows of 64-bit words, of which table k has the bits from k * bits on. A key's bits fall into
+    ``most`` + 1 blocks; keys that differ in at most ``most`` bits agree in one block at least.
+    """
+    at, shift = divmod(table * bits, 64)
+    key = words[:, at] << np.uint64(shift)
+    if shift + bits > 64:
+        key = key | (words[:, at + 1] >> np.uint64(64 - shift))
+    edges = [bits * k // (most + 1) for k in range(most + 2)]
+    first, size = edges[block], edges[block + 1] - edges[block]
+    key = key >> np.uint64(64 - bits)
+    if first:
+        key = (key << np.uint64(first)) | (key >> np.uint64(bits - first))
+    return key << np.uint64(64 - bits) if bits < 64 else key, size
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words)
+
+
+def near_links(nodes: DataFrame, rows: int, words: int, tables: int, bits: int, most: int, limit: int, stars: bool, block_rows: int = 1 << 14) -> DataFrame:
+    """u, v (v < u): links of nodes whose fingerprints differ in at most ``limit`` bits and one table's keys in at most ``most``.
+
+    nodes: node, words (binary). A table's trie is partitioned by block: nodes that share the block's
+    bits meet in one subtree, so a fingerprint is sent ``most`` + 1 times per table, however many there
+    are. Subtrees under a block's first bits are one group of about ``block_rows`` keys, sixteen groups a
+    block at least. With ``stars`` each set's nodes are linked to its smallest; else the links are those
+    found, as few as connect the same.
     """
-    bits = max(4, min(20, int(np.ceil(np.log2(max(1, rows / max(block_rows, rows ** (2 / 3))))))))
-    flips = [sum(1 << b for b in at) for n in range(min(most, bits) + 1) for at in combinations(range(bits), n)]
+    blocks, least = most + 1, bits // (most + 1)
+    lead = min(least, max(4, int(np.ceil(np.log2(max(1, rows / block_rows))))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.array(flips, np.int64)
         for batch in batches:
-            key = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(key), 4096):
-                part = key[at : at + 4096]
-                own = (part >> np.uint64(64 - bits)).astype(np.int64)
-                other = own[:, None] ^ masks
-                group = np.minimum(own[:, None], other) << bits | np.maximum(own[:, None], other)
-                yield pa.RecordBatch.from_pydict({"pair": group.ravel(), "fingerprint": np.repeat(part.view(np.int64), len(masks))})
+            matrix = _matrix(batch.column(1), words)
+            for table in range(tables):
+                for block in range(blocks):
+                    key, _ = turned(matrix, table, block, bits, most)
+                    group = (key >> np.uint64(64 - lead)).astype(np.int64) | (table * blocks + block) << 32
+                    yield pa.RecordBatch.from_arrays([pa.array(group), batch.column(0), batch.column(1)], names=["part", "node", "words"])
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        pair = key[0].as_py()
-        low, high = pair >> bits, pair & ((1 << bits) - 1)
-        keys = np.sort(table.column("fingerprint").to_numpy().view(np.uint64))
-        cut_at = int(np.searchsorted(keys >> np.uint64(64 - bits), np.uint64(high), "left")) if low != high else 0
-        halves = ((0, cut_at), (cut_at, len(keys))) if low != high else ((0, len(keys)),) * 2
-        root = trie_links(keys, halves, bits, (low ^ high).bit_count(), most).root
-        at = np.flatnonzero(root != np.arange(len(root)))
-        u, v = keys[at].view(np.int64), keys[root[at]].view(np.int64)
-        return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
-
-    return distinct.mapInArrow(deal, "pair long, fingerprint long").groupBy("pair").applyInArrow(join, "u long, v long").distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
+        place = key[0].as_py() >> 32
+        matrix, node = _matrix(table.column("words"), words), table.column("node").to_numpy()
+        keys, depth = turned(matrix, *divmod(place, blocks), bits, most)
+        order = np.lexsort((node, keys))
+        keys, matrix, node = keys[order], matrix[order], node[order]
+
+        def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(x), np.int64)
+            for at in range(0, len(x), LEAVES):
+                out[at : at + LEAVES] = np.bitwise_count(matrix[x[at : at + LEAVES]] ^ matrix[y[at : at + LEAVES]]).sum(axis=1, dtype=np.int64)
+            return out
+
+        orders = [matrix[:, k] for k in range(words)] if words > 1 else [(keys << np.uint64(k)) | (keys >> np.uint64(64 - k)) if k else keys for k in (0, 16, 32, 48)]
+        sets = trie_links(keys, depth, bits, most, distance, limit, orders)
+        if stars:
+            a = np.flatnonzero(sets.root != np.arange(len(keys)))
+            b = sets.root[a]
+        else:
+            a, b = (np.concatenate([np.zeros(0, np.int64), *[e[k] for e in sets.edges]]) for k in (0, 1))
+        return pa.table({"u": np.maximum(node[a], node[b]), "v": np.minimum(node[a], node[b])})
+
+    return nodes.select("node", "words").mapInArrow(deal, "part long, node long, words binary").groupBy("part").applyInArrow(join, "u long, v long").distinct()
+
+
+def components(links: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
     """node, root (the smallest node reachable) of every node in links (u, v; v < u).
 
-    Alternating large-star and small-star rounds until nothing changes; each is an aggregate and a join
-    whose larger side Spark can split, and each round's links are written to the shared folder.
+    Alternating large-star and small-star rounds until nothing changes, each written to the shared
+    folder. A round is two aggregates and two joins with what they give; where there are at most
+    ``max_broadcast`` links, that is broadcast, so that a hub's links stay where they are; beyond, Spark
+    shuffles the links and can split a hub's.
     """
     links = cut(links)
-    state = None
+    state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while True:
+        hint = F.broadcast if state[0] <= max_broadcast else (lambda df: df)
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.filter("u != v").groupBy("u").agg(F.min("v").alias("m"))
-        small_ = large.filter("u != v").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        links = cut(small_.union(least.select("u", F.col("m").alias("v"))).distinct())
-        seen = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
+        large = both.filter("v > u").join(hint(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = large.join(hint(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        links = cut(near.union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, state = state, links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = seen
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
@@ -213,20 +308,74 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = cut(fingerprints(df, id_col, text_col, shingle))
     classes = cut(rows.groupBy("fingerprint").agg(F.min("id").alias("least")))
-    n = classes.count()
-    members = components(near_links(classes.select("fingerprint"), most, n))
+
+    @F.arrow_udf("binary")
+    def as_bytes(values: pa.Array) -> pa.Array:
+        return pa.array([v.tobytes() for v in values.to_numpy().astype("<i8")], pa.binary())
+
+    nodes = classes.select(F.col("fingerprint").alias("node"), as_bytes("fingerprint").alias("words"))
+    members = components(near_links(nodes, classes.count(), 1, 1, 64, most, most, stars=True))
     labelled = classes.join(members, classes.fingerprint == members.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     roots = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(roots, "root").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select("id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, max_broadcast: int = 1_000_000) -> DataFrame:
-    """df with one document of each component, that of the smallest id; columns as they were.
+def _row_key(id_: Column, text: Column) -> list[Column]:
+    """128 bits that stand for an id and text."""
+    return [F.xxhash64(id_, whole(text)).alias("a"), F.xxhash64(F.lit(7), id_, whole(text)).alias("b")]
+
 
-    Rows that share the smallest id (repeated rows) all stay, as does a component without ids.
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_broadcast: int = 1_000_000) -> DataFrame:
+    """df with one row of each group of near copies, that of the smallest id; columns as they were, whatever their names.
+
+    Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word shingles is
+    ``similarity`` or more; a group is what such links connect. Candidates come from trie self-joins of
+    a wide SimHash (WORDS 64-bit words of the set): texts of that similarity differ in a known share of
+    bits, so the budget is that share and three standard deviations; each of TABLES tables joins keys of
+    KEY_BITS bits at a Hamming budget of KEY_MOST. Every link is confirmed by the shingles themselves, so
+    no others are dropped; a pair is missed where no table finds it (about one in twenty just at 0.8,
+    fewer above), and its texts may still be connected by others.
+
+    Null text counts as empty; texts without words are one group, shorter ones have one shingle. Of a
+    group the row of the smallest id stays, null after all others, ties by a hash of the text; rows
+    repeated with one id and text lose all but one. An empty table gives no rows.
     """
-    found = near_duplicates(df, id_col, text_col, shingle, most)
-    gone = cut(found.filter("id != component_id").select(F.col("id").alias("__gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+
+    @F.arrow_udf("binary")
+    def print_of(texts: pa.Array) -> pa.Array:
+        return pa.array([wide_fingerprint(shingles_of(t.as_py(), shingle)) for t in texts], pa.binary())
+
+    @F.arrow_udf("binary")
+    def set_of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles_of(t.as_py(), shingle).astype("<u8").tobytes() for t in texts], pa.binary())
+
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([jaccard(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= similarity for x, y in zip(a, b, strict=True)], pa.bool_())
+
+    rows = packed(df)
+    keyed = rows.select("r", *_row_key(field(id_col), field(text_col)))
+    prints = cut(rows.select(field(id_col).alias("id"), *_row_key(field(id_col), field(text_col)), print_of(whole(field(text_col))).alias("words")))
+    classes = prints.groupBy("words").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "a", "b")).alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+
+    share, width = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WORDS
+    limit = math.ceil(width * (share + 3 * math.sqrt(share * (1 - share) / width)))
+    links = cut(near_links(classes, classes.count(), WORDS, TABLES, KEY_BITS, KEY_MOST, limit, stars=False))
+    ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
+    asked = cut(classes.join(ends, "node", "left_semi").select("node", F.col("least.a").alias("a"), F.col("least.b").alias("b")))
+    sets = cut(keyed.join(small(asked, max_broadcast), ["a", "b"]).dropDuplicates(["node"]).select("node", set_of(whole(field(text_col))).alias("set")))
+    pairs = links.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+    members = components(pairs.filter(alike("x", "y")).select("u", "v"))
+
+    labelled = classes.join(members, "node", "left").select("words", "least", "n", F.coalesce("root", "node").alias("root"))
+    best = labelled.groupBy("root").agg(F.min("least").alias("best"), F.sum("n").alias("all")).filter(F.col("all") > 1).drop("all")
+    best = labelled.join(best, "root").select("words", F.col("best.a").alias("own_a"), F.col("best.b").alias("own_b"))
+    gone = cut(prints.join(small(cut(best), max_broadcast // 4), "words").filter("a != own_a OR b != own_b").select("a", "b").distinct())
+    again = cut(prints.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b"))
+    out = keyed.join(small(gone, max_broadcast), ["a", "b"], "left_anti")
+    if not again.isEmpty():
+        again = small(again, max_broadcast)
+        out = out.join(again, ["a", "b"], "left_anti").select("r").unionByName(out.join(again, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select("r"))
+    return out.select("r.*")
