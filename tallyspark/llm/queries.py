@@ -14,6 +14,8 @@ from . import toxicity as toxic
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: A score from here on counts as toxic.
 TOXIC = 0.3
+#: Bytes of text in a shard: small ones, that a reader holds in memory, and that the smallest test table has to split.
+SHARD = 256 << 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +28,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(_table(spark, sf_dir, "documents"), limit_bytes=8 << 20).withColumnRenamed("id", "doc_id")
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), limit_bytes=SHARD).withColumnRenamed("id", "doc_id")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM t""",
+    "op2_sharding": f"""
+        WITH t AS (SELECT row_number() OVER () AS row, doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+        e AS (SELECT row, doc_id, bytes, d.range::INTEGER AS depth, h >> (60 - d.range)::INTEGER AS prefix FROM t, range(61) AS d),
+        g AS (SELECT depth, prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS n FROM e GROUP BY depth, prefix),
+        f AS (SELECT e.*, shard_bytes FROM e JOIN g USING (depth, prefix) WHERE shard_bytes <= {SHARD} OR n = 1)
+        SELECT doc_id, bytes, depth || '-' || lower(to_hex(prefix)) AS shard_id, depth AS shard_depth, shard_bytes
+        FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY depth) = 1""",
     "op3_source_mix": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
