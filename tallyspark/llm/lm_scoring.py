@@ -16,7 +16,7 @@ from ._common import WHITE, cut, whole
 _FOLD = bytes.maketrans(WHITE, b" " * len(WHITE))
 _ZSTD = pa.Codec("zstd", 3)
 #: Bytes of text that a task turns into arrays at once, of one block of texts, and of text per owner of grams or words.
-CHUNK, BLOCK, SHARE = 1 << 20, 8 << 20, 32 << 20
+CHUNK, BLOCK, SHARE = 1 << 20, 8 << 20, 16 << 20
 #: Depth down to which the tree is one table of at most 256 ** (TOP + 1) keys; each subtree below it has an owner.
 TOP = 1
 
@@ -181,6 +181,10 @@ def owner(key: np.ndarray, top: int, parts: int) -> np.ndarray:
     return (((cell + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
 
 
+def word_owner(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.int64) % parts
+
+
 class Lookup:
     """An open-addressed hash table from distinct grams to numbers; every gram asked for must be there."""
 
@@ -258,7 +262,7 @@ def text_blocks(base: DataFrame, depth: int, top: int, parts: int) -> DataFrame:
             texts = compressed(b"".join(raw for _, _, raw in docs))
             rows = [(-1, 0, None, None, texts, [d[0] for d in docs], [d[1] for d in docs], [len(d[2]) for d in docs])]
             rows += dealt(keys, n, owner(keys, top, parts), 0)
-            rows += dealt(hashes, m, (hashes >> np.uint64(32)).astype(np.int64) % parts, parts)
+            rows += dealt(hashes, m, word_owner(hashes, parts), parts)
             columns = [[number] * len(rows), *zip(*rows, strict=True)]
             number, size = number + 1, 0
             docs.clear(), seen.clear(), words.clear()
@@ -361,7 +365,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             values, totals = np.concatenate([tree.log10(keys[at : at + CHUNK // 16]) for at in range(0, len(keys), CHUNK // 16)]).astype(np.float32), (0, 0)
         out = [squeeze(values[np.searchsorted(keys, k)]) for k in asked]
         once = [pa.array([x, *[0] * (len(out) - 1)], pa.int64()) for x in totals]
-        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "n": rows.column("n"), "keys": rows.column("keys"), "answer": pa.array(out, pa.binary()), "tokens": once[0], "types": once[1]})
+        back = pa.nulls(len(out), pa.binary()) if words else rows.column("keys")  # a block knows its words' order
+        return pa.table({"block": rows.column("block"), "part": rows.column("part"), "n": rows.column("n"), "keys": back, "answer": pa.array(out, pa.binary()), "tokens": once[0], "types": once[1]})
 
     asked = blocks.filter("part >= 0").select("block", "part", "n", "keys", "counts").groupBy("part")
     answers = cut(asked.applyInArrow(answer, "block long, part int, n int, keys binary, answer binary, tokens long, types long"))
@@ -377,16 +382,18 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for end, size in zip(np.cumsum(doc["sizes"]).tolist(), doc["sizes"], strict=True):
             texts.append(raw[end - size : end])
 
-        def answered(some: np.ndarray, key_type: type, value_type: type) -> tuple[np.ndarray, np.ndarray]:
-            some = np.flatnonzero(some).tolist()
-            keys = [unsqueeze_keys(rows.column("keys")[k].as_py(), sizes[k], key_type) for k in some]
-            values = [unsqueeze(rows.column("answer")[k].as_py(), sizes[k], value_type) for k in some]
-            return np.concatenate([np.zeros(0, key_type), *keys]), np.concatenate([np.zeros(0, value_type), *values])
-
-        hashes, counts = answered(of >= owners, np.uint64, np.int64)
-        order = np.argsort(hashes)
-        hashes, logs, known = hashes[order], np.log10(counts[order] + 1.0), counts[order] > 0
-        found, probabilities = [], Lookup(*answered((of >= 0) & (of < owners), np.int64, np.float32))
+        def answered(some: np.ndarray, dtype: type) -> tuple[list[int], np.ndarray]:
+            some = np.flatnonzero(some)
+            some = some[np.argsort(of[some])].tolist()
+            return some, np.concatenate([np.zeros(0, dtype), *[unsqueeze(rows.column("answer")[k].as_py(), sizes[k], dtype) for k in some]])
+
+        each = [_word_hashes(text) for text in texts]
+        hashes, where = np.unique(np.concatenate(each), return_inverse=True)
+        counts = np.zeros(len(hashes), np.int64)
+        counts[np.lexsort((hashes, word_owner(hashes, owners)))] = answered(of >= owners, np.int64)[1]
+        logs, known = np.log10(counts + 1.0), counts > 0
+        some, values = answered((of >= 0) & (of < owners), np.float32)
+        probabilities, found = Lookup(np.concatenate([np.zeros(0, np.int64), *[unsqueeze_keys(rows.column("keys")[k].as_py(), sizes[k], np.int64) for k in some]]), values), []
         first = 0
         while first < len(texts):
             last, held = first, 0
@@ -396,8 +403,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found += np.add.reduceat(probabilities.get(gram), starts).tolist()
             first = last
         n_words, n_known, base_score = [], [], []
-        for text in texts:
-            at = np.searchsorted(hashes, _word_hashes(text))
+        for at in np.split(where, np.cumsum([len(h) for h in each])[:-1]):
             n_words.append(len(at) + 1)
             n_known.append(int(known[at].sum()) + (ends > 0))
             base_score.append(float(logs[at].sum()) + log_end - (len(at) + 1) * log_total)
