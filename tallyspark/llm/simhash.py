@@ -89,10 +89,10 @@ def wide_fingerprint(shingles: np.ndarray, words: int = WORDS) -> bytes:
     return np.packbits(2 * total > len(shingles), bitorder="little").tobytes()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sets given as ascending arrays; two empty ones are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+def alike(x: Column, y: Column, similarity: float) -> Column:
+    """Whether the Jaccard similarity of two sets, given as arrays, reaches ``similarity``; two empty ones are alike."""
+    both = F.size(F.array_intersect(x, y))
+    return both >= similarity * (F.size(x) + F.size(y) - both)
 
 
 class Sets:
@@ -346,13 +346,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     def print_of(texts: pa.Array) -> pa.Array:
         return pa.array([wide_fingerprint(shingles_of(t.as_py(), shingle)) for t in texts], pa.binary())
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("array<long>")
     def set_of(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles_of(t.as_py(), shingle).astype("<u8").tobytes() for t in texts], pa.binary())
-
-    @F.arrow_udf("boolean")
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([jaccard(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= similarity for x, y in zip(a, b, strict=True)], pa.bool_())
+        return pa.array([shingles_of(t.as_py(), shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
     rows = packed(df)
     keyed = rows.select("r", *_row_key(field(id_col), field(text_col)))
@@ -367,7 +363,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = cut(classes.join(ends, "node", "left_semi").select("node", F.col("least.a").alias("a"), F.col("least.b").alias("b")))
     sets = cut(keyed.join(small(asked, max_broadcast), ["a", "b"]).dropDuplicates(["node"]).select("node", set_of(whole(field(text_col))).alias("set")))
     pairs = links.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
-    members = components(pairs.filter(alike("x", "y")).select("u", "v"))
+    members = components(pairs.filter(alike(F.col("x"), F.col("y"), similarity)).select("u", "v"))
 
     labelled = classes.join(members, "node", "left").select("words", "least", "n", F.coalesce("root", "node").alias("root"))
     best = labelled.groupBy("root").agg(F.min("least").alias("best"), F.sum("n").alias("all")).filter(F.col("all") > 1).drop("all")
