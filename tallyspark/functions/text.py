@@ -7,24 +7,28 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Chamber and resolution words of bill citations.
-_KINDS = ("J RES", "CON RES", "RES")
+from .core import small
 
+# Fixed value: citations, resolutions before plain bills, so that H.J.Res. 5 isn't read as a bill of the House.
+BILL = (
+    r"(?iU)\b(H\.?\s*J\.?\s*RES\.?|S\.?\s*J\.?\s*RES\.?|H\.?\s*CON\.?\s*RES\.?|S\.?\s*CON\.?\s*RES\.?"
+    r"|H\.?\s*RES\.?|S\.?\s*RES\.?|H\.?\s*R\.?|S\.?)\s*(\d{1,5})\b"
+)
 
-def _letters(words: str) -> str:
-    return r"\s*".join(rf"{w}\.?" for w in words.split())
 
+def cited(text: Column) -> Column:
+    """Every citation in order, as written; repeats stay."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(BILL), F.lit(0))
 
-def bill_pattern() -> str:
-    """Resolutions before plain bills, so that H.J.Res. 5 isn't read as a bill of the House."""
-    long = [_letters(f"{chamber} {kind}") for kind in _KINDS for chamber in "HS"]
-    return r"(?iU)\b(" + "|".join([*long, _letters("H R"), _letters("S")]) + r")\s*(\d{1,5})\b"
+
+def bill_key(citation: Column) -> Column:
+    """A citation's letters and number."""
+    return F.regexp_replace(F.upper(citation), r"[^A-Z0-9]", "")
 
 
 def bills(text: Column) -> Column:
     """Every citation in order, as letters and number without punctuation; repeats stay."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(bill_pattern()), F.lit(0))
-    return F.transform(found, lambda m: F.regexp_replace(F.upper(m), r"[^A-Z0-9]", ""))
+    return F.transform(cited(text), bill_key)
 
 
 def phrase_pattern(phrases: list[str], unicode: bool = True) -> str:
@@ -42,11 +46,25 @@ def phrases_in(text: Column, phrases: list[str], unicode: bool = True) -> Column
 def tag(df: DataFrame, text_col: str, lexicon: DataFrame, phrases: list[str], unicode: bool = True) -> DataFrame:
     """df's other columns with keyword and tag, one row per distinct pair. lexicon: keyword, tag; a keyword may have several tags."""
     found = df.withColumn("keyword", F.explode(phrases_in(F.col(text_col), phrases, unicode))).drop(text_col)
-    return found.join(F.broadcast(lexicon), "keyword").distinct()
+    return found.join(small(lexicon, 100_000), "keyword").distinct()
 
 
 # Words left out of term statistics.
-STOPWORDS = "a an and are as at be been being by for from in is it its not of on or that the their they this to was were will with".split()
+STOPWORDS = """
+a an the and or of to in on for with by from as at is are be been being this that
+these those it its their his her our your they them we you he she i not no any all
+some more most other such than then so if but into over under about above below up
+down out off only own same too very can will just should now
+issues issue related relating regarding concerning pertaining matters matter act
+bill bills legislation legislative law laws house senate congress congressional
+federal policy policies regulation regulations regulatory rule rules proposed
+implementation support supporting oppose monitor monitoring general provisions
+provision including include includes potential various affecting affect impact
+efforts effort discussion discussions administration agency agencies department
+committee reform reforms amendment amendments section funding appropriations
+program programs national united states government public private sector industry
+company companies inc llc corp corporation service services
+""".split()
 TOKEN = r"[a-z0-9][a-z0-9.\-]{1,28}[a-z0-9]"
 
 
@@ -69,20 +87,31 @@ def document_frequency(df: DataFrame, text_col: str, by: list[str] | None = None
     return terms.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def keyness(counts: DataFrame, least_docs: int = 8) -> DataFrame:
+def keyness(counts: DataFrame, sizes: DataFrame, covered: list[str] = (), least_docs: int = 8) -> DataFrame:
     """term, docs, background_docs, z: log odds with the background as prior, over its standard error.
 
-    counts: term, docs, background_docs; totals are their sums. Totals and terms come from one
-    aggregate, whose shuffle is reused, so texts are read once.
+    counts: term, docs, background_docs, numbers of texts that have the term; sizes: one row, n_docs and
+    n_background, numbers of texts. The prior's mass is the background's document frequencies and one per
+    term it has. Terms of fewer than ``least_docs`` texts are left out, and those all of whose words are ``covered``.
     """
-    totals = counts.agg(F.sum("docs").alias("nt"), F.sum("background_docs").alias("nb"), (F.sum("background_docs") + F.count_if(F.col("background_docs") > 0)).alias("a0"))
-    joined = counts.filter(F.col("docs") >= least_docs).crossJoin(F.broadcast(totals))
+    prior_mass = counts.agg((F.coalesce(F.sum("background_docs"), F.lit(0)) + F.count_if(F.col("background_docs") > 0)).alias("a0"))
+    joined = counts.filter(F.col("docs") >= least_docs).crossJoin(F.broadcast(prior_mass)).crossJoin(F.broadcast(sizes))
+    if covered:
+        joined = joined.filter(~F.forall(F.split("term", " "), lambda w: w.isin(list(covered))))
     x, y = F.col("docs").cast("double"), F.col("background_docs").cast("double")
     prior = y + 1
-    gap = F.ln((x + prior) / (F.col("nt") + F.col("a0") - x - prior)) - F.ln((y + prior) / (F.col("nb") + F.col("a0") - y - prior))
+    gap = F.ln((x + prior) / (F.col("n_docs") + F.col("a0") - x - prior)) - F.ln((y + prior) / (F.col("n_background") + F.col("a0") - y - prior))
     return joined.select("term", "docs", "background_docs", (gap / F.sqrt(1 / (x + prior) + 1 / (y + prior))).alias("z"))
 
 
+def compared(df: DataFrame, text_col: str, own: Column) -> tuple[DataFrame, DataFrame]:
+    """counts and sizes for keyness(): of the texts that are ``own`` against all others."""
+    texts = df.withColumn("own", F.coalesce(own, F.lit(False)))
+    side = lambda mine: F.coalesce(F.sum(F.when(F.col("own") if mine else ~F.col("own"), F.col("docs"))), F.lit(0))
+    counts = document_frequency(texts, text_col, ["own"]).groupBy("term").agg(side(True).alias("docs"), side(False).alias("background_docs"))
+    return counts, texts.agg(F.count_if("own").alias("n_docs"), F.count_if(~F.col("own")).alias("n_background"))
+
+
 def bm25(df: DataFrame, id_col: str, text_col: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """id, score of texts with any query word. One scan: only counts of the query's words leave it."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.core import latest_by
 from ..functions.names import filler_key
 
+# The three ways a period's spend is told.
 IN_HOUSE, OVER, OUTSIDE = "in-house total (outside firms subsumed)", "outside sum (in-house filing under-reported)", "outside sum (no in-house filing)"
 
 
 def canonical_spend(filings: DataFrame, keys: list[str], group: list[str], order: list[Column]) -> DataFrame:
     """Per client and period: in-house and outside sums of the latest filings, the larger one, and what a plain sum counts twice.
 
-    filings has amount and self_filed; keys identify a filing's versions, group a client's period.
+    filings has amount and self_filed; keys identify a filing's versions, group a client's period. A filing
+    of which isn't known whether it is the client's own counts as an outside firm's; a null amount adds nothing.
     """
-    once = latest_by(filings, keys, order)
+    once = latest_by(filings, keys, order).withColumn("self_filed", F.coalesce("self_filed", F.lit(False)))
     sums = once.groupBy(*group).agg(
         F.bool_or("self_filed").alias("has_inhouse"),
         F.coalesce(F.sum(F.when(F.col("self_filed"), F.col("amount"))), F.lit(0)).alias("inhouse"),
@@ -27,35 +29,33 @@ def canonical_spend(filings: DataFrame, keys: list[str], group: list[str], order
     return sums.withColumns({"canonical": F.greatest("inhouse", "outside"), "naive": F.col("inhouse") + F.col("outside"), "counted_twice": F.least("inhouse", "outside"), "method": method})
 
 
+# Names of the flags, whose meaning other tools know.
+FLAGS = "registration_or_termination quarter_number is_amendment has_quarter has_amendment is_duplicate any_change checkme".split()
+
+
 def flag_versions(filings: DataFrame, keep: str = "latest", drop_registrations: bool = True, clean: bool = True) -> DataFrame:
-    """Flags of doubtful filings, then one filing per registrant, client, year and period.
+    """FLAGS of doubtful filings, then one filing per registrant, client, year and period.
 
     filings: filing_type, registrant, client, filing_year, filing_period, income, expenses, posted and
-    filing_uuid, which breaks ties. keep: 'latest' or 'earliest' by posted.
+    filing_uuid, which breaks ties. A filing's like are those of its registrant, client, year and quarter,
+    the digits of its type. It needs a look (CHECK) if it is an amendment or repeats an amount of its like,
+    if any of its like registers or terminates, or if its like have both a quarter's own report and an
+    amendment, or neither. keep: 'latest' or 'earliest' by posted.
     """
-    group = Window.partitionBy("registrant", "client", "filing_year", "quarter_number")
-
-    def repeated(c: str) -> Column:
-        return F.count(F.lit(1)).over(Window.partitionBy("registrant", "client", "filing_year", "quarter_number", c)) > 1
-
     kind = F.col("filing_type")
-    out = filings.withColumns({"registration_or_termination": kind.rlike("(?i)(RR|T)$"), "quarter_number": F.nullif(F.regexp_extract(kind, r"\d+", 0), F.lit("")).try_cast("int"), "is_amendment": kind.rlike(r"\d+A$")})
-    out = out.withColumns(
-        {
-            "has_quarter": F.max(~F.col("is_amendment") & F.col("quarter_number").isNotNull()).over(group),
-            "has_amendment": F.max("is_amendment").over(group),
-            "is_duplicate": repeated("income") | repeated("expenses"),
-            "any_change": F.max("registration_or_termination").over(group),
-        }
-    )
-    doubtful = (F.col("has_quarter") & F.col("has_amendment")) | (~F.col("has_quarter") & ~F.col("has_amendment")) | F.col("any_change") | F.col("is_amendment") | F.col("is_duplicate")
-    out = out.withColumn("checkme", F.when(doubtful, "CHECK").otherwise("PASS CHECK"))
+    own = {"registration_or_termination": kind.rlike("(?i)(RR|T)$"), "quarter_number": F.nullif(F.regexp_extract(kind, r"\d+", 0), F.lit("")).try_cast("int"), "is_amendment": kind.rlike(r"\d+A$")}
+    flagged = filings.withColumns(own)
+    like = ["registrant", "client", "filing_year", "quarter_number"]
+    among, times = Window.partitionBy(*like), lambda c: F.count(F.lit(1)).over(Window.partitionBy(*like, c))
+    report = F.col("quarter_number").isNotNull() & ~F.col("is_amendment")
+    flagged = flagged.withColumns({"has_quarter": F.bool_or(report).over(among), "has_amendment": F.bool_or("is_amendment").over(among), "is_duplicate": F.greatest(times("income"), times("expenses")) > 1, "any_change": F.bool_or("registration_or_termination").over(among)})
+    look = F.col("is_amendment") | F.col("is_duplicate") | F.col("any_change") | (F.col("has_quarter") == F.col("has_amendment"))
+    flagged = flagged.withColumn("checkme", F.when(look, "CHECK").otherwise("PASS CHECK"))
     if not clean:
-        return out
-    if drop_registrations:
-        out = out.filter(~kind.rlike("(?i)RR$"))
+        return flagged
+    kept = flagged.filter(~kind.rlike("(?i)RR$")) if drop_registrations else flagged
     posted = F.col("posted").desc_nulls_last() if keep == "latest" else F.col("posted").asc_nulls_last()
-    return latest_by(out, ["registrant", "client", "filing_year", "filing_period"], [posted, F.col("filing_uuid")])
+    return latest_by(kept, ["registrant", "client", "filing_year", "filing_period"], [posted, F.col("filing_uuid")])
 
 
 def drop_conflicts(filings: DataFrame, registrant: str = "registrant", client: str = "client") -> DataFrame:

@@ -22,4 +22,4 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-from . import analytics, packages, relational, text  # noqa: E402, F401
+from . import analytics, domain, files, packages, people, relational, text  # noqa: E402, F401

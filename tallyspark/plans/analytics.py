@@ -70,53 +70,53 @@ def crosswalk(spark: SparkSession, d: str) -> DataFrame:
     return en.crosswalk(senate, f.filter("ln % 2 = 0").select(F.concat_ws("-", "registrant", "client").alias("senate_id")))
 
 
-_PAIRS = f"""{FILINGS}, pq AS (SELECT registrant, c_nationkey AS client, qidx, sum(amount) AS amount, max((flag = 'R')::INTEGER) AS ended FROM filings JOIN customer ON client = c_custkey GROUP BY 1, 2, 3),
-    fq AS (SELECT registrant, client, min(qidx) AS qidx FROM pq GROUP BY 1, 2)"""
+_TERM = "regexp_matches(filing_type, '^[1-4](T|TY|@|@Y)$')"
+_PAIRS = f"""{FILINGS}, f AS (SELECT f.* EXCLUDE (client), c_nationkey AS client FROM filings f JOIN customer ON client = c_custkey),
+    rep AS (SELECT registrant, client, qidx, amount, uuid AS paid_by FROM f WHERE filing_type NOT IN ('RR', 'RA') QUALIFY row_number() OVER (PARTITION BY registrant, client, qidx ORDER BY posted DESC, uuid) = 1),
+    ev AS (SELECT registrant, client, qidx, bool_or({_TERM}) AS ended, min(uuid) FILTER (WHERE {_TERM}) AS cite, min(uuid) AS first FROM f GROUP BY 1, 2, 3),
+    pq AS (SELECT ev.*, amount, paid_by FROM ev LEFT JOIN rep USING (registrant, client, qidx)),
+    fq AS (SELECT registrant, client, min(qidx) AS qidx, arg_min(first, qidx) AS hire FROM pq GROUP BY 1, 2)"""
 #: A quarter in which pairs still begin in every test table.
 AT = 7984
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("client"), "c_nationkey")
-    f = filings(spark, d).join(c, "client").drop("client").withColumnRenamed("c_nationkey", "client")
-    return turnover.pair_quarters(f.withColumn("ended", F.col("flag") == "R"))
+    f = filings(spark, d).join(c, "client").drop("client").withColumnsRenamed({"c_nationkey": "client", "uuid": "filing_uuid"})
+    return turnover.pair_quarters(f, [F.col("posted").desc(), F.col("filing_uuid")])
 
 
-@query(f"{_PAIRS}, a AS (SELECT qidx, count(*) AS terminations FROM pq WHERE ended = 1 GROUP BY 1), b AS (SELECT qidx, count(*) AS new_engagements FROM fq GROUP BY 1) SELECT qidx, coalesce(terminations, 0) AS terminations, coalesce(new_engagements, 0) AS new_engagements FROM a FULL JOIN b USING (qidx)")
+@query(f"{_PAIRS}, a AS (SELECT qidx, count(*) AS terminations FROM pq WHERE ended GROUP BY 1), b AS (SELECT qidx, count(*) AS new_engagements FROM fq GROUP BY 1) SELECT qidx, coalesce(terminations, 0) AS terminations, coalesce(new_engagements, 0) AS new_engagements FROM a FULL JOIN b USING (qidx)")
 def turnover_counts(spark: SparkSession, d: str) -> DataFrame:
     """Ends and beginnings by quarter."""
     return turnover.counts(_pairs(spark, d))
 
 
-@query(f"{_PAIRS}, b AS (SELECT registrant, client, sum(amount) AS s FROM pq WHERE qidx BETWEEN {AT} - 3 AND {AT} GROUP BY 1, 2) SELECT registrant, client, round(s, 2)::DOUBLE AS trail4 FROM pq JOIN b USING (registrant, client) WHERE qidx = {AT} AND ended = 1 ORDER BY trail4 DESC, registrant, client LIMIT 30")
+@query(f"""{_PAIRS}, h AS (SELECT registrant, client, min(qidx) AS first_q, count(*) AS n_quarters, sum(amount) FILTER (WHERE qidx > {AT} - 4 AND qidx <= {AT}) AS s, count(*) FILTER (WHERE qidx > {AT}) AS re_engaged FROM pq WHERE paid_by IS NOT NULL GROUP BY 1, 2)
+    SELECT registrant, client, round(s, 2)::DOUBLE AS trail4, n_quarters, first_q, first_q = {AT} AS new_this_q, re_engaged, cite FROM pq JOIN h USING (registrant, client) WHERE qidx = {AT} AND ended""")
 def terminations(spark: SparkSession, d: str) -> DataFrame:
-    """D1, J9, J17."""
-    return turnover.trailing(_pairs(spark, d), AT).select("registrant", "client", money("trailing").alias("trail4")).orderBy(F.col("trail4").desc(), "registrant", "client").limit(30)
+    """Every pair that ends in a quarter, with its history."""
+    return turnover.terminations(_pairs(spark, d), AT).select("registrant", "client", money("trailing").alias("trail4"), "n_quarters", "first_q", "new_this_q", "re_engaged", "cite")
 
 
-@query(f"{_PAIRS} SELECT registrant, client, qidx, round(amount, 2)::DOUBLE AS first_amount FROM fq JOIN pq USING (registrant, client, qidx)")
+@query(f"{_PAIRS} SELECT registrant, client, round(amount, 2)::DOUBLE AS first_amount, coalesce(paid_by, hire) AS cite, paid_by IS NULL AS registration_only, ended AS term_same_q FROM fq JOIN pq USING (registrant, client, qidx) WHERE qidx = {AT}")
 def new_engagements(spark: SparkSession, d: str) -> DataFrame:
-    """A pair's first quarter and its amount."""
-    p = _pairs(spark, d)
-    return p.groupBy(*turnover.PAIR).agg(F.min(F.struct("qidx", money("amount").alias("first_amount"))).alias("m")).select(*turnover.PAIR, "m.qidx", "m.first_amount")
+    """Pairs that begin in a quarter."""
+    return turnover.new_engagements(_pairs(spark, d), AT).select("registrant", "client", money("amount").alias("first_amount"), "cite", "registration_only", "term_same_q")
 
 
-@query(f"{_PAIRS} SELECT e.client, e.registrant AS lost_by, n.registrant AS won_by, n.qidx FROM pq e JOIN fq n ON e.client = n.client AND e.registrant <> n.registrant WHERE e.qidx = {AT} AND e.ended = 1 AND n.qidx BETWEEN {AT} - 1 AND {AT} + 1 ORDER BY 1, 2, 3 LIMIT 200")
+@query(f"""{_PAIRS} SELECT e.client, e.registrant AS lost_by, n.registrant AS won_by, n.qidx, n.qidx - {AT} AS hire_dq, CASE WHEN n.registrant = e.client THEN 'to-inhouse' WHEN e.registrant = e.client THEN 'from-inhouse' ELSE '' END AS move, cite, hire
+    FROM pq e JOIN fq n ON e.client = n.client AND e.registrant <> n.registrant WHERE e.qidx = {AT} AND e.ended AND n.qidx BETWEEN {AT} - 1 AND {AT} + 1""")
 def swaps(spark: SparkSession, d: str) -> DataFrame:
-    """D1, J8, J9."""
-    return turnover.swaps(_pairs(spark, d), AT).orderBy("client", "lost_by", "won_by").limit(200)
+    """Who lost a client beside who won it, every pair of them."""
+    return turnover.swaps(_pairs(spark, d).withColumn("own", F.col("client").cast("long")), AT).select("client", "lost_by", "won_by", "qidx", "hire_dq", "move", "cite", "hire")
 
 
-@query(f"{_PAIRS} SELECT e.client, e.registrant AS lost_by, n.registrant AS won_by, n.qidx FROM pq e JOIN fq n ON e.client = n.client AND e.registrant <> n.registrant WHERE e.qidx = {AT} AND e.ended = 1 AND n.qidx BETWEEN {AT} - 1 AND {AT} + 1")
-def all_swaps(spark: SparkSession, d: str) -> DataFrame:
-    """Every row of which swaps has the first 200."""
-    return turnover.swaps(_pairs(spark, d), AT)
-
-
-@query(f"{_PAIRS}, u AS (SELECT registrant, 1 AS l, 0 AS s FROM pq WHERE ended = 1 AND qidx BETWEEN 7980 AND 7990 UNION ALL SELECT registrant, 0, 1 FROM fq WHERE qidx BETWEEN 7980 AND 7990) SELECT registrant, sum(l)::BIGINT AS lost, sum(s)::BIGINT AS signed, (sum(s) - sum(l))::BIGINT AS net FROM u GROUP BY 1")
+@query(f"""{_PAIRS}, t AS (SELECT registrant, client, sum(amount) AS t FROM pq WHERE paid_by IS NOT NULL AND qidx BETWEEN {AT} - 3 AND {AT} GROUP BY 1, 2), l AS (SELECT registrant, count(*) AS lost, sum(t) AS lt FROM pq LEFT JOIN t USING (registrant, client) WHERE qidx = {AT} AND ended GROUP BY 1), w AS (SELECT registrant, count(*) AS signed FROM fq WHERE qidx = {AT} GROUP BY 1)
+    SELECT registrant, coalesce(lost, 0) AS lost, round(lt, 2)::DOUBLE AS lost_trail4, coalesce(signed, 0) AS signed, coalesce(signed, 0) - coalesce(lost, 0) AS net FROM l FULL JOIN w USING (registrant)""")
 def firm_churn(spark: SparkSession, d: str) -> DataFrame:
     """D1, D17, U1."""
-    return turnover.churn(_pairs(spark, d), 7980, 7990)
+    return turnover.churn(_pairs(spark, d), AT).select("registrant", "lost", money("lost_trailing").alias("lost_trail4"), "signed", "net")
 
 
 _IDENT = "registrant, client, yr, q, issue, flag, status"
@@ -148,12 +148,16 @@ def concentration(spark: SparkSession, d: str) -> DataFrame:
     return s.select("registrant", "n", money("total").alias("total"), F.round(F.col("top") / F.col("total"), 6).alias("top_share"))
 
 
-@query(f"""{FILINGS}, s AS (SELECT client, CASE WHEN registrant % 3 = 0 THEN 'core' ELSE 'ambient' END AS slice, round(sum(amount), 2)::DOUBLE AS total, count(*) AS items FROM filings WHERE yr = 1996 GROUP BY 1, 2)
-    SELECT client, coalesce(max(total) FILTER (WHERE slice = 'core'), 0) AS core_total, coalesce(max(items) FILTER (WHERE slice = 'core'), 0) AS core_items, coalesce(max(total) FILTER (WHERE slice = 'ambient'), 0) AS ambient_total, coalesce(max(items) FILTER (WHERE slice = 'ambient'), 0) AS ambient_items FROM s GROUP BY 1""")
+_SLICES = {0: "core", 1: "ambient", 2: "legacy"}
+
+
+@query(f"""{FILINGS}, s AS (SELECT client, CASE registrant % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'ambient' ELSE 'legacy' END AS slice, round(sum(amount), 2)::DOUBLE AS total, count(*) AS items FROM filings GROUP BY 1, 2)
+    SELECT client, {', '.join(f"coalesce(max({v}) FILTER (WHERE slice = '{x}'), 0) AS {x}_{v}" for x in _SLICES.values() for v in ("total", "items"))} FROM s GROUP BY 1""")
 def giving_split(spark: SparkSession, d: str) -> DataFrame:
-    """Recipients over giver slices."""
-    s = filings(spark, d).filter("yr = 1996").withColumn("slice", F.when(F.col("registrant") % 3 == 0, "core").otherwise("ambient"))
-    out = s.groupBy("client").pivot("slice", ["core", "ambient"]).agg(money(F.sum("amount")).alias("total"), F.count(F.lit(1)).alias("items"))
+    """Recipients over several slices of givers, merged on the recipient's key."""
+    rest = F.col("registrant") % 3
+    s = filings(spark, d).withColumn("slice", F.when(rest == 0, _SLICES[0]).when(rest == 1, _SLICES[1]).otherwise(_SLICES[2]))
+    out = s.groupBy("client").pivot("slice", list(_SLICES.values())).agg(money(F.sum("amount")).alias("total"), F.count(F.lit(1)).alias("items"))
     return out.na.fill(0)
 
 
@@ -216,28 +220,33 @@ def turnover_slices(spark: SparkSession, d: str) -> DataFrame:
     return top_per_group(t, ["qidx"], [F.col("n").desc(), F.col("registrant")], 5).withColumn("rk", F.col("rk").cast("long"))
 
 
-@query(f"""{FILINGS}, v AS (SELECT registrant, client, yr, q, ok, ln, pk, amount, posted, flag, count(*) OVER (PARTITION BY registrant, client, yr, q, flag) > 1 AS dup, bool_or(flag = 'R') OVER (PARTITION BY registrant, client, yr, q) AS any_r FROM filings)
-    SELECT yr, q, count(*) AS n, count(*) FILTER (WHERE dup OR any_r) AS check_rows FROM v GROUP BY 1, 2""")
+_FLAGGED = f"""{FILINGS}, v AS (SELECT *, amount / 2 AS half, regexp_matches(filing_type, '(?i)(RR|T)$') AS reg, TRY_CAST(nullif(regexp_extract(filing_type, '\\d+'), '') AS INTEGER) AS qn, regexp_matches(filing_type, '\\d+A$') AS am FROM filings),
+    w AS (SELECT *, bool_or(NOT am AND qn IS NOT NULL) OVER g AS hq, bool_or(am) OVER g AS ha, bool_or(reg) OVER g AS ch,
+            count(*) OVER (PARTITION BY registrant, client, yr, qn, amount) > 1 OR count(*) OVER (PARTITION BY registrant, client, yr, qn, half) > 1 AS dup FROM v WINDOW g AS (PARTITION BY registrant, client, yr, qn))"""
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as the filings that flag_versions() reads."""
+    return filings(spark, d).withColumn("expenses", F.col("amount") / 2).withColumnsRenamed({"yr": "filing_year", "q": "filing_period", "amount": "income", "uuid": "filing_uuid"})
+
+
+@query(f"{_FLAGGED} SELECT yr, q, count(*) AS n, count(*) FILTER (WHERE (hq AND ha) OR (NOT hq AND NOT ha) OR ch OR am OR dup) AS check_rows, count(*) FILTER (WHERE dup) AS repeated FROM w GROUP BY 1, 2")
 def doubtful_filings(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that need a look, by quarter."""
-    group = Window.partitionBy("registrant", "client", "yr", "q")
-    doubtful = (F.count(F.lit(1)).over(Window.partitionBy("registrant", "client", "yr", "q", "flag")) > 1) | F.bool_or(F.col("flag") == "R").over(group)
-    v = filings(spark, d).withColumn("doubtful", doubtful)
-    return v.groupBy("yr", "q").agg(F.count(F.lit(1)).alias("n"), F.count_if("doubtful").alias("check_rows"))
+    """Rows that need a look, by quarter."""
+    v = spend.flag_versions(_versions(spark, d), clean=False)
+    return v.groupBy(F.col("filing_year").alias("yr"), F.col("filing_period").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("checkme") == "CHECK").alias("check_rows"), F.count_if("is_duplicate").alias("repeated"))
 
 
-@query(f"{_SELF}, o AS (SELECT DISTINCT client FROM own WHERE self_filed) SELECT yr, count(*) AS kept, round(sum(amount), 2)::DOUBLE AS total FROM own WHERE self_filed OR client NOT IN (SELECT client FROM o) GROUP BY 1")
-def without_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Outside firms' filings go where a client files for itself anywhere."""
-    own = _own(spark, d)
-    selves = own.filter("self_filed").select("client").distinct()
-    kept = own.filter("self_filed").unionByName(own.filter("NOT self_filed").join(selves, "client", "left_anti"))
-    return kept.groupBy("yr").agg(F.count(F.lit(1)).alias("kept"), money(F.sum("amount")).alias("total"))
+@query(f"{FILINGS} SELECT registrant, client, yr, q, uuid FROM filings WHERE filing_type <> 'RR' QUALIFY row_number() OVER (PARTITION BY registrant, client, yr, q ORDER BY posted DESC, uuid) = 1")
+def kept_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Of a period's filings the latest, registrations left out."""
+    return spend.flag_versions(_versions(spark, d)).select("registrant", "client", F.col("filing_year").alias("yr"), F.col("filing_period").alias("q"), F.col("filing_uuid").alias("uuid"))
 
 
-@query(f"""{FILINGS} SELECT registrant, count(*) FILTER (WHERE flag <> 'N') AS items, round(coalesce(sum(amount) FILTER (WHERE flag = 'A'), 0), 2)::DOUBLE AS organisations, round(coalesce(sum(amount) FILTER (WHERE flag = 'R'), 0), 2)::DOUBLE AS individuals, round(coalesce(sum(amount) FILTER (WHERE flag <> 'N'), 0), 2)::DOUBLE AS itemised FROM (SELECT DISTINCT registrant, client, flag, ok, amount FROM filings) GROUP BY 1""")
-def receipts_reconciled(spark: SparkSession, d: str) -> DataFrame:
-    """Memo rows left out, transactions once, organisations and people apart."""
-    once = filings(spark, d).select("registrant", "client", "flag", "ok", "amount").distinct()
-    part = lambda cond: money(F.coalesce(F.sum(F.when(cond, F.col("amount"))), F.lit(0)))
-    return once.groupBy("registrant").agg(F.count_if(F.col("flag") != "N").alias("items"), part(F.col("flag") == "A").alias("organisations"), part(F.col("flag") == "R").alias("individuals"), part(F.col("flag") != "N").alias("itemised"))
+@query(f"""{FILINGS}, k AS (SELECT *, 'ORG ' || registrant % 20 AS r, 'ORG ' || client % 37 AS c FROM filings), o AS (SELECT DISTINCT c FROM k WHERE r = c)
+    SELECT yr, count(*) AS kept, round(sum(amount), 2)::DOUBLE AS total FROM k WHERE r = c OR c NOT IN (SELECT c FROM o) GROUP BY 1""")
+def without_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Outside firms' filings go where a client files for itself anywhere."""
+    names = {"registrant_name": F.concat(F.lit("Org, "), (F.col("registrant") % 20).cast("string"), F.lit(" LLC")), "client_name": F.concat(F.lit("The Org "), (F.col("client") % 37).cast("string"), F.lit(" Inc."))}
+    kept = spend.drop_conflicts(filings(spark, d).withColumns(names), "registrant_name", "client_name")
+    return kept.groupBy("yr").agg(F.count(F.lit(1)).alias("kept"), money(F.sum("amount")).alias("total"))

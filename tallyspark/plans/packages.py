@@ -9,6 +9,8 @@ from ..functions import text as tx
 from ..functions.core import latest_by, numbered
 from ..operators import entities, filters, members
 from ..operators import packages as pk
+from ..sources import scratch, sinks
+from ..sources.reference_data import read_roster, write_roster
 from . import query
 from .tables import FILINGS, LATEST_SQL, filings, latest_order, money, table
 
@@ -38,23 +40,16 @@ def player_tiers(spark: SparkSession, d: str) -> DataFrame:
     return p.filter("tagged > 0").select("client", "tagged", "n_all", F.round(100.0 * F.col("tagged") / F.col("n_all"), 3).alias("share_pct"), pk.tier(F.col("tagged")).alias("tier"), "first_year", "last_year", "total")
 
 
-@query(f"""{FILINGS}, tagged AS (SELECT DISTINCT client FROM filings WHERE issue LIKE '1-%' AND yr = 1996)
+@query(f"""{FILINGS}, tagged AS (SELECT client FROM filings GROUP BY 1 HAVING count(*) FILTER (WHERE issue LIKE '1-%') >= 2)
     SELECT 'Q' || q || ' ' || yr AS quarter, CASE 'Q' || q WHEN 'Q1' THEN 1 WHEN 'Q2' THEN 2 WHEN 'Q3' THEN 3 ELSE 4 END + yr * 4 AS pos, count(*) FILTER (WHERE issue LIKE '1-%') AS n_tagged, count(DISTINCT client) AS n_clients, round(sum(amount), 2)::DOUBLE AS spend
-    FROM filings WHERE client IN (SELECT client FROM tagged) GROUP BY 1, 2""")
-def whole_package_trend(spark: SparkSession, d: str) -> DataFrame:
-    """Every quarter of the tagged clients, with its place in the order."""
+    FROM filings WHERE client IN (SELECT client FROM tagged) GROUP BY 1, 2 ORDER BY pos""")
+def package_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Every quarter of the clients with two or more tagged filings, in the order of a mapped label."""
     f = filings(spark, d)
-    own = f.join(f.filter("issue LIKE '1-%' AND yr = 1996").select("client").distinct(), "client", "left_semi")
+    own = f.join(f.groupBy("client").agg(F.count_if(F.col("issue").startswith("1-")).alias("m")).filter("m >= 2").select("client"), "client", "left_semi")
     label, pos = F.concat(F.lit("Q"), F.col("q"), F.lit(" "), F.col("yr")), F.when(F.col("q") == 1, 1).when(F.col("q") == 2, 2).when(F.col("q") == 3, 3).otherwise(4) + F.col("yr") * 4
-    return own.groupBy(label.alias("quarter"), pos.alias("pos")).agg(F.count_if(F.col("issue").startswith("1-")).alias("n_tagged"), F.count_distinct("client").alias("n_clients"), money(F.sum("amount")).alias("spend"))
-
-
-@query(f"""{FILINGS}, tagged AS (SELECT DISTINCT client FROM filings WHERE issue LIKE '1-%' AND yr = 1996)
-    SELECT 'Q' || q || ' ' || yr AS quarter, CASE 'Q' || q WHEN 'Q1' THEN 1 WHEN 'Q2' THEN 2 WHEN 'Q3' THEN 3 ELSE 4 END + yr * 4 AS pos, count(*) FILTER (WHERE issue LIKE '1-%') AS n_tagged, count(DISTINCT client) AS n_clients, round(sum(amount), 2)::DOUBLE AS spend
-    FROM filings WHERE client IN (SELECT client FROM tagged) GROUP BY 1, 2 ORDER BY pos LIMIT 12""")
-def package_trend(spark: SparkSession, d: str) -> DataFrame:
-    """The tagged clients' first 12 quarters in the order of a mapped label; whole_package_trend has all."""
-    return whole_package_trend(spark, d).orderBy("pos").limit(12)
+    out = own.groupBy(label.alias("quarter"), pos.alias("pos")).agg(F.count_if(F.col("issue").startswith("1-")).alias("n_tagged"), F.count_distinct("client").alias("n_clients"), money(F.sum("amount")).alias("spend"))
+    return out.orderBy("pos")
 
 
 @query(f"""{FILINGS}, g AS (SELECT registrant, count(*) AS items, sum(amount) AS total FROM filings WHERE client = 7 GROUP BY 1),
@@ -66,37 +61,52 @@ def member_map(spark: SparkSession, d: str) -> DataFrame:
     f = filings(spark, d)
     giver = F.concat(F.lit("Supplier#"), F.lpad(F.col("registrant").cast("string"), 9, "0"))
     items = f.select(F.col("client").alias("recipient"), F.col("registrant").alias("giver_key"), giver.alias("giver"), "amount")
-    tags = f.select(F.col("client").alias("name_key"), F.lit("client").alias("side"), F.col("issue").alias("tag")).unionByName(f.filter("flag = 'R'").select(F.col("registrant").alias("name_key"), F.lit("registrant").alias("side"), F.col("issue").alias("tag")))
+    sides = F.array(F.struct(F.col("client").alias("name_key"), F.lit("client").alias("side")), F.struct(F.when(F.col("flag") == "R", F.col("registrant")).alias("name_key"), F.lit("registrant").alias("side")))
+    tags = f.select(F.col("issue").alias("tag"), F.explode(sides).alias("s")).select("s.name_key", "s.side", "tag").filter("name_key IS NOT NULL")
     return pk.givers_of(items, 7, tags).withColumn("total", money("total"))
 
 
-_ROSTER = ["supplier#000000003", "Supplier#00000000", "Customer#000000002", "Nobody & Sons", "Supplier#000000001"]
+_ROSTER = ["supplier#000000003", "Supplier#00000000", "Customer#00000000", "Nobody & Sons", "Supplier#000000001", "mer#00000000", "s"]
 
 
-@query(f"""WITH r(name) AS (VALUES {', '.join(f"('{n}')" for n in _ROSTER)}), h AS (SELECT r.name, count(*) FILTER (WHERE upper(s_name) = upper(r.name)) AS same, count(DISTINCT s_name) FILTER (WHERE contains(upper(s_name), upper(r.name))) AS within FROM r, supplier GROUP BY 1)
-    SELECT name, CASE WHEN same > 0 THEN 'exact' WHEN within > 0 THEN 'substring' WHEN upper(name) IN (SELECT upper(c_name) FROM customer) THEN 'client-only' ELSE 'none' END AS status, CASE WHEN same > 0 THEN 1 ELSE within END AS n_hits FROM h""")
+@query(f"""WITH r(name) AS (VALUES {', '.join(f"('{n}')" for n in _ROSTER)}), h AS (SELECT r.name, count(*) FILTER (WHERE upper(s_name) = upper(r.name)) AS same, count(DISTINCT upper(s_name)) FILTER (WHERE contains(upper(s_name), upper(r.name))) AS within FROM r, supplier GROUP BY 1)
+    SELECT name, CASE WHEN same > 0 THEN 'exact' WHEN within > 0 THEN 'substring' WHEN EXISTS (SELECT 1 FROM customer WHERE contains(upper(c_name), upper(name))) THEN 'client-only' ELSE 'none' END AS status, CASE WHEN same > 0 THEN 1 ELSE within END AS n_hits FROM h""")
 def roster_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """How each roster name is found, or that it isn't."""
-    roster = spark.createDataFrame([(n,) for n in _ROSTER], "name string")
-    return entities.resolve_roster(roster, table(spark, d, "supplier").select(F.col("s_name").alias("name")), table(spark, d, "customer").select(F.col("c_name").alias("name")))
+    """How each name of a roster file is found, or that it isn't."""
+    path = scratch.folder(spark, "roster")
+    write_roster(spark.createDataFrame([(n,) for n in [*_ROSTER, "# a remark", None]], "name string"), "name", path)
+    return entities.resolve_roster(read_roster(spark, path), table(spark, d, "supplier").select(F.col("s_name").alias("name")), table(spark, d, "customer").select(F.col("c_name").alias("name")))
+
+
+@query("""WITH k AS (SELECT DISTINCT upper(p_name || ' ' || p_type) AS key, p_brand FROM part), a AS (SELECT DISTINCT upper(left(p_name, 7)) AS asked FROM part)
+    SELECT asked, key AS name FROM a JOIN k ON contains(key, asked) GROUP BY ALL""")
+def loose_filers(spark: SparkSession, d: str) -> DataFrame:
+    """filers' names that hold what is asked, past any resolution; found by shared pieces, not by a loop over pairs."""
+    part = table(spark, d, "part")
+    return entities.loose_names(part.select(F.upper(F.left("p_name", F.lit(7))).alias("name")), part.select(F.upper(F.concat_ws(" ", "p_name", "p_type")).alias("name"))).select("asked", "name")
 
 
-@query("""WITH k AS (SELECT DISTINCT p_name AS name FROM part), a AS (SELECT DISTINCT left(p_name, 6) AS asked FROM part UNION SELECT DISTINCT p_name || ' fund' FROM part WHERE p_size < 5)
-    SELECT asked, min(name) AS name FROM a JOIN k ON starts_with(name, asked) OR starts_with(asked, name) GROUP BY asked HAVING count(*) = 1""")
+@query("""WITH k AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT left(p_name, 5) FROM part WHERE p_size = 1), a AS (SELECT DISTINCT left(p_name, 10) AS asked FROM part UNION SELECT DISTINCT p_name || ' fund' FROM part WHERE p_size < 5)
+    SELECT asked, min(name) AS name FROM a JOIN k ON starts_with(name, asked) OR starts_with(asked, name) WHERE length(asked) >= 10 GROUP BY asked HAVING count(*) = 1""")
 def unique_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    """Names by their beginnings, where only one fits."""
+    """Names by their beginnings, of ten letters or more, where only one fits."""
     part = table(spark, d, "part")
-    asked = part.select(F.left("p_name", F.lit(6)).alias("asked")).unionByName(part.filter("p_size < 5").select(F.concat("p_name", F.lit(" fund")).alias("asked")))
-    return entities.unique_prefix(asked, part.select(F.col("p_name").alias("name")))
+    asked = part.select(F.left("p_name", F.lit(10)).alias("asked")).unionByName(part.filter("p_size < 5").select(F.concat("p_name", F.lit(" fund")).alias("asked")))
+    known = part.select(F.col("p_name").alias("name")).unionByName(part.filter("p_size = 1").select(F.left("p_name", F.lit(5)).alias("name")))
+    return entities.unique_prefix(asked, known)
 
 
-_PLAYERS = ["RING", "Bolt", "blue widget pac", "red gear", "hot"]
+_PLAYERS = ["RING", "Bolt", "blue widget pac", "red gear", "hot", "WIDGET", "the small", "gear red", "plate steel small"]
+_TOKENS = "list_sort(list_distinct(list_filter(string_split_regex(upper({}), '[^A-Z0-9]+'), lambda w: w <> '')))"
 
 
-@query(f"""WITH r(player) AS (VALUES {', '.join(f"('{n}')" for n in _PLAYERS)}), n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, player, list_distinct(string_split(upper(name), ' ')) AS a, list_distinct(string_split(upper(player), ' ')) AS b FROM n, r)
-    SELECT name, player FROM w WHERE (list_has_all(a, b) OR list_has_all(b, a)) AND len(a) <> len(b)""")
+@query(f"""WITH r(player) AS (VALUES {', '.join(f"('{n}')" for n in _PLAYERS)}), n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, player, {_TOKENS.format('name')} AS a, {_TOKENS.format('player')} AS b FROM n, r),
+    l AS (SELECT *, CASE WHEN len(a) <= len(b) THEN a ELSE b END AS less FROM w),
+    m AS (SELECT name, player, CASE WHEN a = b THEN 'exact' ELSE 'candidate' END AS confidence, CASE WHEN a = b THEN 1000000 ELSE len(less) END AS score FROM l
+          WHERE a = b OR ((list_has_all(a, b) OR list_has_all(b, a)) AND len(a) <> len(b) AND NOT list_has_all([{', '.join(f"'{w}'" for w in members.GENERIC)}], less) AND (len(less) > 1 OR length(less[1]) >= 5)))
+    SELECT name, player, confidence FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, player) = 1""")
 def token_subsets(spark: SparkSession, d: str) -> DataFrame:
-    """Names one of whose word sets properly holds the other."""
+    """A name's player by the same words, else by words that properly hold the other's."""
     return members.token_subset_matches(table(spark, d, "part").select(F.col("p_name").alias("name")), spark.createDataFrame([(n,) for n in _PLAYERS], "player string"))
 
 
@@ -131,7 +141,9 @@ def code_filter(spark: SparkSession, d: str) -> DataFrame:
 def text_ids(spark: SparkSession, d: str) -> DataFrame:
     """Texts numbered in a global order, without a task that holds them all."""
     t = table(spark, d, "documents").filter("text IS NOT NULL").groupBy(F.md5(F.col("text").cast("binary")).alias("hash")).agg(F.count(F.lit(1)).alias("docs"))
-    return numbered(t, "hash", "text_id").withColumn("text_id", F.col("text_id").cast("long"))
+    folder = scratch.folder(spark, "text_ids")
+    sinks.save({"text_ids": numbered(t, "hash", "text_id").withColumn("text_id", F.col("text_id").cast("long"))}, folder)
+    return spark.read.parquet(f"{folder}/text_ids")
 
 
 @query("""SELECT c_mktsegment, sum(TRY_CAST(regexp_replace('$ ' || c_acctbal::DECIMAL(12, 2)::VARCHAR || ' USD', '[^0-9.-]', '', 'g') AS DECIMAL(12, 2)))::DOUBLE AS total, count(*) AS n FROM customer GROUP BY 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import correlation, half_even, latest_by, top_per_group
+from ..functions.core import correlation, half_even, latest_by, small, top_per_group
 from ..operators.intervals import as_of
 from . import query
 from .tables import FILINGS, LATEST_SQL, filings, latest_order, money, table
@@ -73,12 +73,12 @@ def full_outer_quarter(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "qidx", "full").na.fill(0, ["returned", "open"])
 
 
-@query(f"{FILINGS}, c AS (SELECT issue, qidx, count(*) AS n FROM filings WHERE flag = 'R' AND amount >= 100000 GROUP BY 1, 2) SELECT i.issue, x.qidx, coalesce(n, 0) AS n FROM (SELECT DISTINCT issue FROM filings) i CROSS JOIN (SELECT DISTINCT qidx FROM filings) x LEFT JOIN c USING (issue, qidx)")
+@query(f"{FILINGS}, c AS (SELECT p_brand || '/' || p_size AS code, qidx, count(*) AS n FROM filings JOIN part ON pk = p_partkey GROUP BY 1, 2) SELECT i.code, x.qidx, coalesce(n, 0) AS n FROM (SELECT DISTINCT code FROM c) i CROSS JOIN (SELECT DISTINCT qidx FROM c) x LEFT JOIN c USING (code, qidx)")
 def spine_cross_join(spark: SparkSession, d: str) -> DataFrame:
-    """A dense grid of issue and quarter; both sides are code lists."""
-    f = filings(spark, d)
-    cells = f.filter("flag = 'R' AND amount >= 100000").groupBy("issue", "qidx").agg(F.count(F.lit(1)).alias("n"))
-    return f.select("issue").distinct().crossJoin(f.select("qidx").distinct()).join(cells, ["issue", "qidx"], "left").na.fill(0, ["n"])
+    """A dense grid of code and quarter; both lists come from the counted cells, the quarters are broadcast if few."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("pk"), F.concat_ws("/", "p_brand", "p_size").alias("code"))
+    cells = filings(spark, d).join(p, "pk").groupBy("code", "qidx").agg(F.count(F.lit(1)).alias("n"))
+    return cells.select("code").distinct().crossJoin(small(cells.select("qidx").distinct(), 10_000)).join(cells, ["code", "qidx"], "left").na.fill(0, ["n"])
 
 
 @query(f"{FILINGS}, m AS (SELECT registrant, qidx, sum(amount) AS a FROM filings GROUP BY 1, 2) SELECT x.registrant, x.qidx, round((SELECT sum(y.a) FROM m y WHERE y.registrant = x.registrant AND y.qidx > x.qidx - 4 AND y.qidx <= x.qidx), 2)::DOUBLE AS trail4 FROM m x")
@@ -219,11 +219,24 @@ def rank_and_change(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("pct", F.when(F.col("prev") != 0, F.round((F.col("total") - F.col("prev")) / F.col("prev") * 100, 4)))
 
 
-@query(f"{FILINGS} SELECT issue, round(sum(amount) FILTER (WHERE q = 1), 2)::DOUBLE AS q1, round(sum(amount) FILTER (WHERE q = 2), 2)::DOUBLE AS q2, round(sum(amount) FILTER (WHERE q = 3), 2)::DOUBLE AS q3, round(sum(amount) FILTER (WHERE q = 4), 2)::DOUBLE AS q4 FROM filings WHERE yr = 1996 GROUP BY issue")
+@query(f"{FILINGS} SELECT issue, yr, round(sum(amount) FILTER (WHERE q = 1), 2)::DOUBLE AS q1, round(sum(amount) FILTER (WHERE q = 2), 2)::DOUBLE AS q2, round(sum(amount) FILTER (WHERE q = 3), 2)::DOUBLE AS q3, round(sum(amount) FILTER (WHERE q = 4), 2)::DOUBLE AS q4 FROM filings GROUP BY 1, 2")
 def pivot_wide(spark: SparkSession, d: str) -> DataFrame:
-    """A wide table; the pivot's values are given, so no extra pass finds them."""
-    out = filings(spark, d).filter("yr = 1996").groupBy("issue").pivot("q", [1, 2, 3, 4]).agg(F.sum("amount"))
-    return out.select("issue", *[money(F.col(f"`{k}`")).alias(f"q{k}") for k in (1, 2, 3, 4)])
+    """A wide table; the pivot's values are given, so no extra pass finds them."""
+    out = filings(spark, d).groupBy("issue", "yr").pivot("q", [1, 2, 3, 4]).agg(F.sum("amount"))
+    return out.select("issue", "yr", *[money(F.col(f"`{k}`")).alias(f"q{k}") for k in (1, 2, 3, 4)])
+
+
+@query("""WITH o AS (SELECT o_custkey AS client, unnest(CASE WHEN o_orderstatus = 'P' THEN [NULL] ELSE [o_orderstatus, left(o_orderpriority, 1)] END) AS code, o_orderstatus AS status, o_orderkey FROM orders),
+    s AS (SELECT client, status, string_agg(DISTINCT coalesce(code, '-'), ';' ORDER BY coalesce(code, '-')) AS codes FROM o GROUP BY 1, 2)
+    SELECT client, max(codes) FILTER (WHERE status = 'F') AS f, max(codes) FILTER (WHERE status = 'O') AS o, max(codes) FILTER (WHERE status = 'P') AS p FROM s GROUP BY 1""")
+def pivot_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Nested codes unnested, rows without any kept, and pivoted to a list per status."""
+    o = table(spark, d, "orders")
+    nested = o.select(F.col("o_custkey").alias("client"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderstatus") != "P", F.array("o_orderstatus", F.left("o_orderpriority", F.lit(1)))).alias("codes"))
+    rows = nested.select("client", "status", F.explode_outer("codes").alias("code"))
+    out = rows.groupBy("client").pivot("status", ["F", "O", "P"]).agg(F.collect_set(F.coalesce("code", F.lit("-"))))
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(F.array_sort(c), ";"))
+    return out.select("client", *[listed(F.col(c)).alias(c.lower()) for c in ("F", "O", "P")])
 
 
 @query(f"{FILINGS} SELECT client, qidx, registrant, ok, ln, pk, count(*) OVER (PARTITION BY client) AS n_client, bool_or(flag = 'R') OVER (PARTITION BY client, qidx) AS any_r, count(*) OVER (PARTITION BY client, qidx, registrant) > 1 AS repeated, max(posted) OVER (PARTITION BY client, qidx) = posted AS is_last FROM filings")
@@ -244,12 +257,12 @@ def union_distinct(spark: SparkSession, d: str) -> DataFrame:
     return keys("customer", "c_nationkey").union(keys("supplier", "s_nationkey")).distinct().unionByName(nation)
 
 
-@query(f"{FILINGS}, a AS (SELECT DISTINCT client FROM filings WHERE flag = 'R' AND yr = 1996), b AS (SELECT DISTINCT client FROM filings WHERE issue LIKE '1-%' AND yr = 1996) SELECT coalesce(a.client, b.client) AS client, CASE WHEN a.client IS NULL THEN 'name' WHEN b.client IS NULL THEN 'number' ELSE 'both' END AS via FROM a FULL JOIN b ON a.client = b.client")
+@query(f"{FILINGS}, a AS (SELECT DISTINCT client FROM filings WHERE flag = 'R' AND q = 2), b AS (SELECT DISTINCT client FROM filings WHERE issue LIKE '1-%' AND q = 1) SELECT coalesce(a.client, b.client) AS client, CASE WHEN a.client IS NULL THEN 'name' WHEN b.client IS NULL THEN 'number' ELSE 'both' END AS via FROM a FULL JOIN b ON a.client = b.client")
 def key_set_via(spark: SparkSession, d: str) -> DataFrame:
     """How a key was found."""
-    f = filings(spark, d).filter("yr = 1996")
-    a, b = f.filter("flag = 'R'").select("client").distinct().withColumn("a", F.lit(1)), f.filter("issue LIKE '1-%'").select("client").distinct().withColumn("b", F.lit(1))
-    return a.join(b, "client", "full").select("client", F.when(F.col("a").isNull(), "name").when(F.col("b").isNull(), "number").otherwise("both").alias("via"))
+    f = filings(spark, d)
+    found = f.groupBy("client").agg(F.max(F.when((F.col("flag") == "R") & (F.col("q") == 2), 1)).alias("a"), F.max(F.when(F.col("issue").startswith("1-") & (F.col("q") == 1), 1)).alias("b"))
+    return found.filter("a IS NOT NULL OR b IS NOT NULL").select("client", F.when(F.col("a").isNull(), "name").when(F.col("b").isNull(), "number").otherwise("both").alias("via"))
 
 
 @query("""SELECT p_partkey, p_name, nullif(p_size, 1) AS size, coalesce(nullif(p_size, 1), -1) AS filled FROM part WHERE p_type ILIKE '%steel%' OR (p_brand LIKE 'Brand#1%' AND p_size BETWEEN 5 AND 20)
@@ -270,12 +283,12 @@ def scalar_subquery(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("registrant").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("qidx") == F.col("t")).alias("n_last"))
 
 
-@query(f"{FILINGS} SELECT DISTINCT a.client, a.qidx, a.registrant AS one, b.registrant AS other FROM filings a JOIN filings b ON a.client = b.client AND a.qidx = b.qidx AND a.registrant <> b.registrant AND a.registrant < b.registrant WHERE a.flag = 'R' AND b.flag = 'R'")
+@query(f"{FILINGS} SELECT DISTINCT a.client, a.qidx, a.registrant AS one, b.registrant AS other FROM filings a JOIN filings b ON a.client = b.client AND a.qidx = b.qidx AND a.registrant <> b.registrant")
 def theta_other_registrant(spark: SparkSession, d: str) -> DataFrame:
     """Equal keys and an inequality beside them."""
-    f = filings(spark, d).filter("flag = 'R'").select("client", "qidx", "registrant").distinct()
+    f = filings(spark, d).select("client", "qidx", "registrant").distinct()
     a, b = f.withColumnRenamed("registrant", "one"), f.withColumnRenamed("registrant", "other")
-    return a.join(b, ["client", "qidx"]).filter("one < other")
+    return a.join(b, ["client", "qidx"]).filter("one <> other")
 
 
 @query("""SELECT e.event_id, coalesce(c.c_name, s.s_name) AS who FROM (SELECT event_id, user_id, event_id % 2 = 0 AS senate FROM events) e

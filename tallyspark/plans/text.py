@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.names import committee_key, filler_key, name_key
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, usable
+from ..sources import scratch, sinks
 from . import query
 from .tables import table, texts
 
@@ -59,16 +60,20 @@ _TERMS = r"""WITH base AS (SELECT doc_id, lang, source, list_filter(regexp_extra
     terms AS (SELECT doc_id, lang, source, unnest(g) AS term FROM grams)""".replace("'STOP'", ", ".join(f"'{w}'" for w in tx.STOPWORDS))
 
 
-@query(f"""{_TERMS}, t AS (SELECT term, count(*) AS docs FROM terms WHERE source = 'src1' GROUP BY 1), b AS (SELECT term, count(*) AS docs FROM terms WHERE source <> 'src1' GROUP BY 1),
-    n AS (SELECT (SELECT sum(docs) FROM t)::DOUBLE AS nt, sum(docs)::DOUBLE AS nb, (sum(docs) + count(*))::DOUBLE AS a0 FROM b),
-    j AS (SELECT term, t.docs, coalesce(b.docs, 0) AS bd, t.docs::DOUBLE AS x, coalesce(b.docs, 0)::DOUBLE AS y, coalesce(b.docs, 0)::DOUBLE + 1 AS p, nt, nb, a0 FROM t LEFT JOIN b USING (term), n WHERE t.docs >= 4),
-    z AS (SELECT term, docs, bd AS background_docs, round((ln((x + p) / (nt + a0 - x - p)) - ln((y + p) / (nb + a0 - y - p))) / sqrt(1 / (x + p) + 1 / (y + p)), 6) AS z FROM j)
-    SELECT * FROM z ORDER BY z DESC, term LIMIT 40""")
+def _z(own: str, covered: str = "") -> str:
+    """Log odds of the terms of documents that are ``own`` against the others, from numbers of documents."""
+    hidden = f"AND NOT list_has_all([{covered}], string_split(term, ' '))" if covered else ""
+    return f"""t AS (SELECT term, count(*) AS docs FROM terms WHERE {own} GROUP BY 1), b AS (SELECT term, count(*) AS docs FROM terms WHERE NOT ({own}) GROUP BY 1),
+    n AS (SELECT (SELECT count(*) FROM documents WHERE {own})::DOUBLE AS nt, (SELECT count(*) FROM documents WHERE NOT ({own}))::DOUBLE AS nb, (SELECT coalesce(sum(docs), 0) + count(*) FROM b)::DOUBLE AS a0),
+    j AS (SELECT term, t.docs, coalesce(b.docs, 0) AS bd, t.docs::DOUBLE AS x, coalesce(b.docs, 0)::DOUBLE AS y, coalesce(b.docs, 0)::DOUBLE + 1 AS p, nt, nb, a0 FROM t LEFT JOIN b USING (term), n WHERE t.docs >= 4 {hidden}),
+    z AS (SELECT term, docs, bd AS background_docs, round((ln((x + p) / (nt + a0 - x - p)) - ln((y + p) / (nb + a0 - y - p))) / sqrt(1 / (x + p) + 1 / (y + p)), 6) AS z FROM j)"""
+
+
+@query(f"""{_TERMS}, {_z("source = 'src1'", "'die', 'der', 'und'")} SELECT * FROM z ORDER BY z DESC, term LIMIT 40""")
 def keyness(spark: SparkSession, d: str) -> DataFrame:
-    """Terms that one source uses more than the others."""
-    df = tx.document_frequency(texts(spark, d).withColumn("own", F.col("source") == "src1"), "text", ["own"])
-    side = lambda own: F.coalesce(F.sum(F.when(F.col("own") if own else ~F.col("own"), F.col("docs"))), F.lit(0))
-    out = tx.keyness(df.groupBy("term").agg(side(True).alias("docs"), side(False).alias("background_docs")), least_docs=4)
+    """Terms that one source's documents use more than the others', but for those a lexicon's words cover; the top forty."""
+    counts, sizes = tx.compared(texts(spark, d), "text", F.col("source") == "src1")
+    out = tx.keyness(counts, sizes, ["die", "der", "und"], least_docs=4)
     return out.withColumn("z", F.round("z", 6)).orderBy(F.col("z").desc(), "term").limit(40)
 
 
@@ -98,12 +103,33 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return tx.bm25(texts(spark, d), "doc_id", "text", ["the", "license"]).withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "id").limit(20)
 
 
+@query(f"""{_TERMS}, hits AS (SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'license|password')), tagged AS (SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\\b(?:apache\\s+license|license|version\\s+2\\.0)\\b')),
+    {_z("doc_id IN (SELECT doc_id FROM hits) AND doc_id NOT IN (SELECT doc_id FROM tagged)")} SELECT * FROM z ORDER BY z DESC, term LIMIT 40""")
+def untagged_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The words of search hits that a tag misses; the top forty."""
+    df = texts(spark, d)
+    own = F.lower("text").rlike("license|password") & ~F.lower("text").rlike(r"\b(?:apache\s+license|license|version\s+2\.0)\b")
+    return tx.keyness(*tx.compared(df, "text", own), least_docs=4).withColumn("z", F.round("z", 6)).orderBy(F.col("z").desc(), "term").limit(40)
+
+
 @query("SELECT md5(text) AS hash, min(doc_id) AS first_doc, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def text_md5_map(spark: SparkSession, d: str) -> DataFrame:
     """One row per distinct text, for a model to read once."""
     return table(spark, d, "documents").filter("text IS NOT NULL").groupBy(F.md5(F.col("text").cast("binary")).alias("hash")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("docs"))
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS first_doc FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, vec_id, len(v) AS dim, round(list_sum(v), 6) AS total FROM m JOIN v ON vec_id = first_doc WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0""")
+def text_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's vector by the map from documents to distinct texts; vectors with a gap are left out, and the others' length is checked on writing."""
+    path = scratch.folder(spark, "vectors")
+    sinks.save_vectors(usable(table(spark, d, "embeddings"), "embedding").select("vec_id", "embedding"), path, "embedding", 64)
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"))
+    first = docs.groupBy("hash").agg(F.min("doc_id").alias("vec_id"))
+    out = docs.join(first, "hash").join(spark.read.parquet(path), "vec_id")
+    return out.select("doc_id", "vec_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
 _COS = "list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
 
 

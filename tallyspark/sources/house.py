@@ -23,8 +23,8 @@ def folder_period(path: str) -> tuple[int, str] | None:
     return (int(m[1]), FOLDERS[m[2]]) if m and m[2] in FOLDERS else None
 
 
-def read_house(spark: SparkSession, folder: str, root: str = "LOBBYINGDISCLOSURE2") -> dict[str, DataFrame]:
-    """filings, alis, lobbyists and errors (documents that don't parse) of one folder.
+def read_house(spark: SparkSession, folder: str, root: str = "LOBBYINGDISCLOSURE2", max_records: int | None = None) -> dict[str, DataFrame]:
+    """filings, alis, lobbyists and errors (documents that don't parse) of one folder; of its first documents by name, if limited.
 
     A document with ali_info blocks gives one ali per block with its lobbyists; one without gives one
     from its flat fields, whose lobbyists have no ali_index. Empty lobbyist slots are left out.
@@ -33,6 +33,8 @@ def read_house(spark: SparkSession, folder: str, root: str = "LOBBYINGDISCLOSURE
     year, period = at if at else (None, None)
     raw = spark.read.format("xml").option("rowTag", root).option("mode", "PERMISSIVE").schema(_SCHEMA).load(folder)
     raw = raw.withColumn("filing_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1))
+    if max_records is not None:
+        raw = raw.orderBy("filing_id").limit(max_records)
     good, bad = raw.filter("_corrupt_record IS NULL"), raw.filter("_corrupt_record IS NOT NULL").select("filing_id", "_corrupt_record")
     clean = lambda c: blank_to_null(F.col(c))
     filings = good.select(

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bill_key, cited
+
 SCHEMA = "url string, title string, date string, date_source string, source string, domain string, scraper string, member struct<bioguide_id string, name string, party string, state string, chamber string>, text string"
 #: Month to the period names of filings.
 PERIODS = ("first_quarter", "second_quarter", "third_quarter", "fourth_quarter")
@@ -20,26 +22,40 @@ def period_of(month: Column) -> Column:
     return out
 
 
+def wanted(paths: list[str], years: list[int] | None = None, months: list[str] | None = None) -> list[str]:
+    """The files whose names (YYYY-MM.jsonl) lie in years and months; files named otherwise are kept."""
+    named = {p: re.search(r"(\d{4})-(\d{2})\.jsonl$", p) for p in paths}
+    return [p for p, m in named.items() if m is None or ((not years or int(m[1]) in years) and (not months or f"{m[1]}-{m[2]}" in months))]
+
+
 def read_press(spark: SparkSession, paths: list[str], years: list[int] | None = None, months: list[str] | None = None, max_records: int | None = None) -> DataFrame:
     """Typed rows with src_file and src_line; blank lines count as lines but give no row, bad lines keep their raw text.
 
-    Files whose names (YYYY-MM.jsonl) lie outside years or months aren't read. A line number needs its
-    file's order, so a file, a month of releases, is one row until it is split. pr_id numbers rows by
-    file and line over one sorted pass of (file, line) only.
+    Files outside years or months aren't read. A line number needs its file's order, so a file, a month of
+    releases, is one row until it is split. pr_id numbers rows by file and line: within each file, plus
+    the rows of the files before it, so no task sees them all.
     """
-    keep = [p for p in paths if (m := re.search(r"(\d{4})-(\d{2})\.jsonl$", p)) is None or ((not years or int(m[1]) in years) and (not months or f"{m[1]}-{m[2]}" in months))]
+    keep = wanted(paths, years, months)
     if not keep:
-        return spark.createDataFrame([], f"pr_id long, src_file string, src_line int, {SCHEMA}, bad_line string, quarter string")
-    files = spark.read.text(keep, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("src_file"), "value")
-    lines = files.select("src_file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).filter(F.trim("line") != "")
-    rows = lines.select("src_file", (F.col("at") + 1).alias("src_line"), "line", F.from_json("line", SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+        return spark.createDataFrame([], f"src_file string, src_line int, {SCHEMA}, bad_line string, quarter string, pr_id long")
+    files = spark.read.text(keep, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("src_file"), F.split("value", "\r?\n").alias("lines"))
+    filled = F.filter(F.transform("lines", lambda line, k: F.struct((k + 1).alias("src_line"), line.alias("line"))), lambda x: F.trim(x["line"]) != "")
+    files = files.select("src_file", filled.alias("filled"))
+    counts = files.select("src_file", F.size("filled").alias("n"))
+    before = counts.select("src_file", F.coalesce(F.sum("n").over(Window.orderBy("src_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a file
+    rows = files.select("src_file", F.posexplode("filled").alias("at", "x")).join(F.broadcast(before), "src_file")
+    rows = rows.select("src_file", "x.src_line", (F.col("before") + F.col("at") + 1).cast("long").alias("pr_id"), F.from_json("x.line", SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     if max_records is not None:
-        rows = rows.orderBy("src_file", "src_line").limit(max_records)
+        rows = rows.filter(F.col("pr_id") <= max_records)
     month = F.substr(F.col("date"), F.lit(6), F.lit(2)).try_cast("int")
-    out = rows.select("src_file", "src_line", "r.*").withColumnRenamed("_bad", "bad_line").withColumn("quarter", period_of(month))
-    return out.withColumn("pr_id", F.row_number().over(Window.orderBy("src_file", "src_line")).cast("long"))
+    return rows.select("src_file", "src_line", "r.*", "pr_id").withColumnRenamed("_bad", "bad_line").withColumn("quarter", period_of(month))
 
 
 def press_key() -> Column:
     """The citation of a release."""
     return F.concat_ws(":", "src_file", F.col("src_line").cast("string"))
+
+
+def press_mentions(press: DataFrame) -> DataFrame:
+    """record_key, bill, raw: every citation in a release's text."""
+    return press.select(press_key().alias("record_key"), F.explode(cited(F.col("text"))).alias("raw")).select("record_key", bill_key(F.col("raw")).alias("bill"), "raw")

@@ -2,28 +2,68 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def save(tables: dict[str, DataFrame], folder: str, partition: dict[str, str] | None = None) -> None:
-    """Each table as Parquet under its name; a rerun replaces it."""
+def save(tables: dict[str, DataFrame], folder: str, partition: dict[str, str] | None = None, append: bool = False) -> None:
+    """Each table as Parquet under its name; a rerun replaces it unless rows are appended."""
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("append" if append else "overwrite")
         (writer.partitionBy(partition[name]) if partition and name in partition else writer).parquet(f"{folder}/{name}")
 
 
-def save_csv(df: DataFrame, path: str, bom: bool = True) -> None:
-    """One CSV file with a header, its first field marked as UTF-8 for spreadsheets."""
+def _one_file(spark: SparkSession, folder: str, path: str) -> None:
+    """The only part file of a folder, moved to path, which is replaced."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    source, target = where(folder), where(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [s.getPath() for s in files.listStatus(source) if s.getPath().getName().startswith("part-")]
+    files.delete(target, True)
+    files.mkdirs(target.getParent())
+    if not files.rename(part, target):
+        raise OSError(f"{path} can't be written")
+    files.delete(source, True)
+
+
+def save_lines(df: DataFrame, path: str, column: str = "value", by: list[str] | None = None) -> None:
+    """One text file of a column's values, in the order of ``by``; for files that people open, not for whole corpora."""
+    folder = f"{path}.{uuid.uuid4().hex}"
+    one = df.coalesce(1)
+    (one.sortWithinPartitions(*by) if by else one).select(F.col(column).alias("value")).write.text(folder)
+    _one_file(df.sparkSession, folder, path)
+
+
+def save_csv(df: DataFrame, path: str, bom: bool = True, query: str | None = None, by: list[str] | None = None) -> None:
+    """One CSV file with a header, its first field marked as UTF-8 for spreadsheets; the query that made it goes to path.sql."""
     columns = [F.col(f"`{c}`") for c in df.columns]
-    named = df.select(*[c.alias(("\ufeff" if bom and k == 0 else "") + n) for k, (c, n) in enumerate(zip(columns, df.columns, strict=True))])
-    named.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    one = df.coalesce(1)
+    named = (one.sortWithinPartitions(*by) if by else one).select(*[c.alias(("\ufeff" if bom and k == 0 else "") + n) for k, (c, n) in enumerate(zip(columns, df.columns, strict=True))])
+    folder = f"{path}.{uuid.uuid4().hex}"
+    named.write.option("header", True).option("encoding", "UTF-8").csv(folder)
+    _one_file(df.sparkSession, folder, path)
+    if query is not None:
+        save_lines(df.sparkSession.createDataFrame([(query,)], "value string"), f"{path}.sql")
+
+
+def save_vectors(df: DataFrame, path: str, column: str, dim: int) -> None:
+    """Parquet of rows whose vectors have ``dim`` numbers each; any other vector fails the write."""
+    bad = F.raise_error(F.concat(F.lit(f"a vector of another length than {dim}: "), F.size(column).cast("string")))
+    df.withColumn(column, F.when(F.col(column).isNull() | (F.size(column) == dim), F.col(column)).otherwise(bad)).write.mode("overwrite").parquet(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+def as_text(df: DataFrame, width: int = 48) -> DataFrame:
+    """df as strings to print: at most ``width`` characters a field, a dot for null."""
+    text = lambda c: F.coalesce(F.left(F.col(f"`{c}`").cast("string"), F.lit(width)), F.lit("·"))
+    return df.select(*[text(c).alias(c) for c in df.columns])
+
+
 def sanity(tables: dict[str, DataFrame], expected: dict[str, int], tolerance: float = 0.1) -> DataFrame:
     """table, n, expected, off: rows against a manual's counts, off where they differ by the tolerance or more."""
     parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n", F.lit(expected.get(name)).cast("long").alias("expected")) for name, df in tables.items()]
@@ -34,6 +74,7 @@ def sanity(tables: dict[str, DataFrame], expected: dict[str, int], tolerance: fl
 
 
 def raw_record(spark: SparkSession, path: str, src_line: int) -> str | None:
-    """The line of a file that a row points to."""
-    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split("value", "\r?\n"), src_line).alias("line")).collect()
-    return rows[0].line if rows else None
+    """The line of a file that a row points to; no line after it is read."""
+    rows = spark.read.text(path).limit(src_line)
+    last = rows.tail(1)
+    return last[0].value if last and rows.count() == src_line else None

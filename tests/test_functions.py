@@ -1,5 +1,6 @@
 """What engines do differently, and the text and name keys."""
 
+import math
 import re
 
 import pytest
@@ -95,8 +96,20 @@ def test_entity_ids_stay_ambiguous(spark):
 
 
 def test_swap_needs_another_firm(spark):
-    df = spark.createDataFrame([("a", "x", 5, 1.0, False), ("a", "x", 6, 1.0, True), ("b", "x", 7, 1.0, False), ("a", "y", 6, 1.0, True)], "registrant string, client string, qidx int, amount double, ended boolean")
-    pairs = turnover.pair_quarters(df)
+    rows = [("a", "x", 5, 1.0, "Q1"), ("a", "x", 6, 1.0, "2T"), ("b", "x", 7, 1.0, "Q1"), ("a", "y", 6, 1.0, "2TY")]
+    df = spark.createDataFrame([(*r, str(k)) for k, r in enumerate(rows)], "registrant string, client string, qidx int, amount double, filing_type string, filing_uuid string")
+    pairs = turnover.pair_quarters(df, [F.col("filing_uuid")])
     assert [(r.client, r.lost_by, r.won_by) for r in turnover.swaps(pairs, 6).collect()] == [("x", "a", "b")]
     assert {r.qidx: (r.terminations, r.new_engagements) for r in turnover.counts(pairs).collect()} == {5: (0, 1), 6: (2, 1), 7: (0, 1)}
-    assert [(r.client, r.trailing) for r in turnover.trailing(pairs, 6).orderBy("client").collect()] == [("x", 2.0), ("y", 1.0)]
+    assert [(r.client, r.trailing) for r in turnover.terminations(pairs, 6).orderBy("client").collect()] == [("x", 2.0), ("y", 1.0)]
+
+
+def test_keyness_counts_documents(spark):
+    rows = [("own", "alpha beta")] * 5 + [("own", "alpha gamma")] * 3 + [("other", "beta gamma delta")] * 4 + [("other", "")] * 6
+    df = spark.createDataFrame(rows, "source string, text string")
+    out = {r.term: r for r in text.keyness(*text.compared(df, "text", F.col("source") == "own"), ["beta"], least_docs=3).collect()}
+    assert set(out) == {"alpha", "gamma", "alpha beta", "alpha gamma"}  # beta is covered, alpha beta isn't
+    background = {"beta": 4, "gamma": 4, "delta": 4, "beta gamma": 4, "gamma delta": 4}
+    a0, x, y = sum(background.values()) + len(background), 8, 0
+    gap = math.log((x + y + 1) / (8 + a0 - x - y - 1)) - math.log((y + y + 1) / (10 + a0 - y - y - 1))
+    assert out["alpha"].z == pytest.approx(gap / math.sqrt(1 / (x + y + 1) + 1 / (y + y + 1)))

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions.core import numbered
-from tallyspark.operators import entities, filters, packages
+from tallyspark.operators import checks, entities, filters, packages, spend, turnover
 from tallyspark.operators.intervals import as_of
+from tallyspark.plans import runner
 
 
 def test_as_of(spark):
@@ -40,8 +41,48 @@ def test_rosters(spark):
     out = entities.resolve_roster(names("acme", "Ac", "Beta", "Zed", "acme"), names("ACME", "Accent", None), names("BETA"))
     assert sorted(tuple(r) for r in out.collect()) == [("Ac", "substring", 2), ("Beta", "client-only", 0), ("Zed", "none", 0), ("acme", "exact", 1)]
     asked = names("ACM", "ACME FUND", "BO", "BET").withColumnRenamed("name", "asked")
-    assert sorted(tuple(r) for r in entities.unique_prefix(asked, names("ACME", "BETA", "BETTER")).collect()) == [("ACM", "ACME"), ("ACME FUND", "ACME")]
+    assert sorted(tuple(r) for r in entities.unique_prefix(asked, names("ACME", "BETA", "BETTER", "A"), 3).collect()) == []
+    assert sorted(tuple(r) for r in entities.unique_prefix(asked, names("ACME", "BETA", "BETTER", "B"), 3).collect()) == [("ACM", "ACME"), ("ACME FUND", "ACME")]
+    held = entities.held_by(names("an", "x", "anana", "").withColumnRenamed("name", "asked"), names("Banana", "ox", "Ann", None)).collect()
+    assert sorted(map(tuple, held)) == [("an", "Ann"), ("an", "Banana"), ("anana", "Banana"), ("x", "ox")]
 
 
 def test_congress(spark):
     assert [r[0] for r in spark.sql("SELECT explode(array(2019, 2020, 2021, 2024)) AS y").select(packages.congress_of_year(F.col("y"))).collect()] == [116, 116, 117, 118]
+
+
+def test_unknown_filers_count_as_outside(spark):
+    rows = spark.createDataFrame([("r", "c", 1, 5.0, None), ("c", "c", 1, 3.0, True), ("s", "c", 1, None, False)], "registrant string, client string, q int, amount double, self_filed boolean")
+    out = spend.canonical_spend(rows, ["registrant", "client", "q"], ["client", "q"], [F.col("amount")]).first()
+    assert (out.inhouse, out.outside, out.naive, out.canonical) == (3.0, 5.0, 8.0, 5.0)
+
+
+def test_terminations_and_moves(spark):
+    rows = [("A", "C", 10, 5.0, "Q1", "u1"), ("A", "C", 11, 6.0, "2TY", "u2"), ("A", "C", 12, 7.0, "Q3", "u3"), ("C", "C", 11, None, "RR", "u4"), ("B", "C", 12, 9.0, "Q3", "u5"), ("B", "D", 11, 1.0, "2A", "u6")]
+    df = spark.createDataFrame(rows, "registrant string, client string, qidx int, amount double, filing_type string, filing_uuid string")
+    p = turnover.pair_quarters(df, [F.col("filing_uuid")]).withColumn("own", F.col("client"))
+    (end,) = turnover.terminations(p, 11).collect()
+    assert (end.registrant, end.cite, end.trailing, end.n_quarters, end.first_q, end.new_this_q, end.re_engaged) == ("A", "u2", 11.0, 3, 10, False, 1)
+    assert sorted((r.registrant, r.client, r.registration_only, r.cite) for r in turnover.new_engagements(p, 11).collect()) == [("B", "D", False, "u6"), ("C", "C", True, "u4")]
+    assert sorted((r.lost_by, r.won_by, r.hire_dq, r.move) for r in turnover.swaps(p, 11).collect()) == [("A", "B", 1, ""), ("A", "C", 0, "to-inhouse")]
+    assert sorted(map(tuple, turnover.churn(p, 11).collect())) == [("A", 1, 11.0, 0, -1), ("B", 0, None, 1, 1), ("C", 0, None, 1, 1)]
+    kinds = spark.createDataFrame([(k,) for k in ("1T", "4TY", "2@", "3@Y", "RR", "Q1", "5T", "1TA")], "k string")
+    assert [r[0] for r in kinds.select(turnover.is_termination(F.col("k"))).collect()] == [True] * 4 + [False] * 4
+
+
+def test_gates(spark):
+    a = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, v double")
+    with pytest.raises(ValueError, match="2 rows against 1"):
+        checks.same_rows(a, a.limit(1))
+    parts = spark.createDataFrame([(1, 1.0), (1, 1.0), (3, 1.0)], "k int, v double")
+    assert sorted((r.k, r.change) for r in checks.partitioned(parts, a, ["k"], "v").collect()) == [(2, "lost"), (3, "added")]
+
+
+def test_runner(spark, tmp_path):
+    for k in range(2):
+        spark.range(k, 5).write.parquet(str(tmp_path / "nation.parquet" if k == 0 else tmp_path / "region.parquet"))
+    got = {n: (rows, error) for n, rows, error in runner.run(spark, str(tmp_path), "sanity")}
+    assert got["sanity_report"][0] is None and "supplier" in got["sanity_report"][1]
+    blocks = "-- ==== A1: one ====\nSELECT 1 AS x;\n-- ==== A2 ====\nSELECT nothing;\n-- ==== B ====\nSELECT 2"
+    out = list(runner.run_blocks(spark, blocks, "A"))
+    assert out[0] == ("A1: one", [(1,)], None) and out[1][0] == "A2" and out[1][1] is None and "nothing" in out[1][2]

@@ -43,13 +43,3 @@ def test_entry(spark):
 def test_filter_and_columns_reach_the_scan(spark):
     plan = plans.QUERIES["anti_join_is_null"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,49.0)" in plan and "l_extendedprice" not in plan
-
-
-def test_all_swaps(spark):
-    rows, first = ({tuple(r) for r in plans.QUERIES[name](spark, "/root/testdata/sf0.01").collect()} for name in ("all_swaps", "swaps"))
-    assert first < rows and len(rows) > 200 and len({r[0] for r in first}) < len({r[0] for r in rows})
-
-
-def test_whole_package_trend(spark):
-    rows = sorted(plans.QUERIES["whole_package_trend"](spark, DATA).collect(), key=lambda r: r.pos)
-    assert len(rows) == len({r.pos for r in rows}) > 12 and rows[:12] == plans.QUERIES["package_trend"](spark, DATA).collect()

@@ -3,6 +3,8 @@
 import json
 from datetime import date
 
+import pytest
+
 from tallyspark.operators import members
 from tallyspark.sources import house, press, reference_data, senate, sinks
 from tallyspark.streaming import amendments
@@ -27,7 +29,7 @@ def test_senate_children(spark, tmp_path):
     (tmp_path / "filings_2026.json").write_text(json.dumps([first, second]))
     out = senate.read_filings(spark, str(tmp_path / "filings_2026.json"))
     rows = out["filings"].orderBy("src_index").collect()
-    assert [(r.filing_uuid, r.src_index, r.income, r.client_id) for r in rows] == [("f1", 0, 1000.0, 9), ("f2", 1, None, 9)]
+    assert [(r.filing_uuid, r.src_index, r.income, r.client_id) for r in rows] == [("f1", 0, 1000.0, "8"), ("f2", 1, None, "8")]
     assert [r.bill for r in out["bill_mentions"].orderBy("mention_index").collect()] == ["HR1", "S2"]
     assert [out[k].count() for k in ("activities", "lobbyists", "gov_entities", "foreign_entities")] == [1, 1, 1, 1]
     report = {"filing_uuid": "c1", "filing_year": 2026, "filing_period": "mid_year", "filer_type": "lobbyist", "registrant": {"id": 1, "name": "R"}, "lobbyist": {"id": 2, "first_name": "Al", "last_name": "Ly"}, "pacs": ["P1 ", "P2"], "contribution_items": [{"contribution_type": "feca", "payee_name": "Pay, ", "honoree_name": "", "amount": "5.00", "date": "2026-01-01"}], "no_contributions": False}
@@ -54,11 +56,11 @@ def test_house_blocks(spark, tmp_path):
 
 
 def test_reference_files(spark, tmp_path):
-    (tmp_path / "roster.txt").write_text("# c\nAcme  # note\n\nAcme\nBeta\n")
-    assert sorted(r.name for r in reference_data.read_roster(spark, str(tmp_path / "roster.txt")).collect()) == ["Acme", "Beta"]
+    (tmp_path / "roster.txt").write_text("# c\nAcme #1\n\n Acme #1\n  # d\nBeta\n")
+    assert sorted(r.name for r in reference_data.read_roster(spark, str(tmp_path / "roster.txt")).collect()) == ["Acme #1", "Beta"]
     person = {"id": {"bioguide": "S1", "fec": ["H1", "S2"]}, "name": {"first": "Kyr", "last": "Sin", "official_full": "Kyr Sin"}, "terms": [{"type": "sen", "start": "2019-01-03", "end": "2025-01-03", "state": "AZ", "party": "Independent", "party_affiliations": [{"start": "2019-01-03", "end": "2022-12-09", "party": "Democrat"}, {"start": "2022-12-09", "end": "2025-01-03", "party": "Independent"}]}]}
     (tmp_path / "m.json").write_text(json.dumps([person]))
-    people, terms = reference_data.read_legislators(spark, [str(tmp_path / "m.json")], "2022-01-01")
+    people, terms = reference_data.read_legislators(spark, [str(tmp_path / "m.json")])
     assert people.first().party == "I" and terms.count() == 2
     gifts = spark.createDataFrame([(1, "S1", date(2022, 6, 1)), (2, "S1", date(2023, 6, 1)), (3, "S1", date(2026, 1, 1)), (4, "S1", None)], "gift_id int, bioguide_id string, day date")
     assert [(r.party, r.source) for r in members.party_at(gifts, terms).orderBy("gift_id").collect()] == [("D", "term-dated"), ("I", "term-dated"), ("I", "nearest-term"), ("I", "latest-term")]
@@ -77,27 +79,60 @@ MEMBERS = [
 COMMITTEES = [{"cmte_id": "C1", "cmte_name": "Emmer for Congress", "bioguide_id": "E1", "tier": "campaign", "confidence": "id"}, {"cmte_id": "C2", "cmte_name": "Joint Victory Fund", "bioguide_id": "E1", "tier": "jfc", "confidence": "name"}]
 
 
+MORE = [
+    {"bioguide_id": "O1", "name": "Beto O'Rourke", "first": "Robert", "last": "O'Rourke", "nickname": "Beto", "chamber": "House"},
+    {"bioguide_id": "B1", "name": "Nikki Budzinski", "first": "Nicole (Nikki)", "last": "Budzinski", "nickname": None, "chamber": "House"},
+    {"bioguide_id": "K1", "name": "Mary Jo Kilroy", "first": "Mary Jo", "last": "Kilroy", "nickname": None, "chamber": "House"},
+    {"bioguide_id": "R1", "name": "Lisa Blunt Rochester", "first": "Lisa", "last": "Blunt Rochester", "nickname": None, "chamber": "Senate"},
+]
+
+
 def test_members(spark):
-    r = members.Resolver(MEMBERS, COMMITTEES, nicknames=[("BOB", "ROBERT")], parties={"NRCC": "NRCC"})
+    people = spark.createDataFrame(MEMBERS + MORE, "bioguide_id string, name string, first string, last string, nickname string, chamber string")
+    committees = spark.createDataFrame([*COMMITTEES, {"cmte_id": "C3", "cmte_name": "ABC PAC", "bioguide_id": "V1", "tier": "leadership-pac", "confidence": "linked"}], "cmte_id string, cmte_name string, bioguide_id string, tier string, confidence string")
+    tables = (
+        people, committees, spark.createDataFrame([("BOB", "ROBERT")], "a string, b string"), spark.createDataFrame([("R1", "LISA ROCHESTER")], "bioguide_id string, spelling string"),
+        spark.createDataFrame([("Emmer Cttee", "C1")], "spelling string, cmte_id string"), spark.createDataFrame([("NRCC", "NRCC")], "key string, display string"),
+    )
     cases = {
         "Rep. Tom Emmer": ("member", "E1", "direct", "matched"), "EMMER, TOM": ("member", "E1", "direct", "inverted"), "T. Emmer Jr.": ("member", "E1", "direct", "matched"), "Sen. Bob Menendez": ("member", "M1", "direct", "title-chamber"),
-        "Emmer for Congress": ("committee", "E1", "campaign", "id"), "Emmer for Congress Inc Campaign": ("committee", "E1", "campaign", "prefix"), "Joint Victory Fund": ("committee", "E1", "jfc-shared, unallocated", "name"),
-        "NRCC": ("party-committee", None, None, "NRCC"), "N/A": ("unresolved", None, None, None), "Emmer": ("unresolved", None, None, None), "Senator Chris Van Hollen": ("member", "V1", "direct", "matched"),
+        "Emmer for Congress": ("committee", "E1", "campaign", "id"), "Emmer for Congress Inc Campaign": ("committee", "E1", "campaign", "prefix"), "Joint Victory Fund": ("committee", "E1", "jfc-shared, unallocated", "name"), "ABC PAC Leadership": ("committee", "V1", "leadership-pac", "prefix"),
+        "EMMER CTTEE": ("committee", "E1", "campaign", "id"), "NRCC": ("party-committee", None, None, "NRCC"), "N/A": ("unresolved", None, None, None), None: ("unresolved", None, None, None), "Emmer": ("unresolved", None, None, None), "Senator Chris Van Hollen": ("member", "V1", "direct", "matched"),
+        "Beto O'Rourke": ("member", "O1", "direct", "matched"), "Bob O'Rourke": ("member", "O1", "direct", "matched"), "Nicole Budzinski": ("member", "B1", "direct", "matched"), "Nikki Budzinski": ("member", "B1", "direct", "matched"), "Mary Kilroy": ("member", "K1", "direct", "matched"),
+        "Lisa Rochester": ("member", "R1", "direct", "alias"), "The Hon. Tessa Emmer": ("member", "E1", "direct", "title-initial"), "Tessa Emmer": ("unresolved", None, None, None),
     }
     df = spark.createDataFrame([(k,) for k in cases] * 2, "raw string")
-    found = {x.query: (x.kind, x.bioguide_id, x.tier, x.confidence) for x in members.resolve_recipients(df, "raw", r).collect()}
+    found = {x.query: (x.kind, x.bioguide_id, x.tier, x.confidence) for x in members.resolve_recipients(df, "raw", *tables).collect()}
     assert found == cases
-    assert [x[4] for x in r.resolve("Robert Menendez")] == [True, True]
-    assert [x[:2] for x in r.resolve("Tom Emmer; Chris Van Hollen; NRCC")] == [("compound", "E1"), ("compound", "V1"), ("compound", None)]
+    several = ["Robert Menendez", "Tom Emmer; Chris Van Hollen; NRCC", "Sen. Chris Van Hollen, Rep. Tom Emmer, Nobody"]
+    rows = members.resolve_recipients(spark.createDataFrame([(x,) for x in several], "raw string"), "raw", *tables).collect()
+    of = lambda q: sorted((x.kind, x.bioguide_id or "", x.confidence, x.ambiguous) for x in rows if x.query == q)
+    assert of(several[0]) == [("member", "M1", "ambiguous", True), ("member", "M2", "ambiguous", True)]
+    assert of(several[1]) == [("compound", "", "compound:NRCC", False), ("compound", "E1", "compound:matched", False), ("compound", "V1", "compound:matched", False)]
+    assert of(several[2]) == [("compound", "E1", "compound:matched", False), ("compound", "V1", "compound:matched", False)]
+
+
+def test_crosswalk_sources(spark):
+    people = spark.createDataFrame([("L1", "Cynthia Lummis", "Cynthia", "Lummis", None, "WY", "S1"), ("E1", "Tom Emmer", "Thomas", "Emmer", "Tom", "MN", "H1;H2"), ("S1", "Al Smith", "Al", "Smith", None, "WA", None), ("S2", "Bo Smith", "Bo", "Smith", None, "OR", None)], "bioguide_id string, name string, first string, last string, nickname string, state string, fec_ids string")
+    cm = spark.createDataFrame([("C1", "EMMER FOR CONGRESS", "P", "H2"), ("C2", "LUMMIS VICTORY COMMITTEE", "J", None), ("C3", "EMMERGENCE", "D", None), ("C4", "SMITH VICTORY", "J", None), ("C5", "BO SMITH VICTORY", "J", None), ("C6", "BIG", "D", None), ("C7", "X", "U", "H1")], "cmte_id string, cmte_name string, designation string, cand_id string")
+    links = spark.createDataFrame([("H1", "C1", "P"), ("S1", "C1", "J")], "cand_id string, cmte_id string, designation string")
+    sponsors = spark.createDataFrame([("C3", "H1"), ("C6", "P9"), ("C6", "P8")], "cmte_id string, cand_id string")
+    candidates = spark.createDataFrame([("P9", "LUMMIS, CINDY M", "US"), ("P8", "SMITH, AL", "OR")], "cand_id string, name string, state string")
+    nick = spark.createDataFrame([("CINDY", "CYNTHIA")], "a string, b string")
+    out = members.committee_crosswalk(people, cm, links, sponsors, candidates, nick).collect()
+    assert sorted((r.cmte_id, r.bioguide_id, r.tier, r.link_source, r.confidence) for r in out) == [
+        ("C1", "E1", "campaign-committee", "fec-ccl", "linked"), ("C1", "L1", "jfc", "fec-ccl", "linked"), ("C2", "L1", "jfc", "name-inference", "inferred"),
+        ("C3", "E1", "leadership-pac", "openfec-sponsor", "linked"), ("C5", "S2", "jfc", "name-inference", "inferred"), ("C6", "L1", "leadership-pac", "cn-name-inference", "inferred"),
+    ]
 
 
 def test_links_and_subsets(spark):
     a = spark.createDataFrame([("C1", "E1", "ccl")], "cmte_id string, bioguide_id string, link_source string")
     b = spark.createDataFrame([("C1", "E1", "cn"), ("C2", "E1", "cn")], "cmte_id string, bioguide_id string, link_source string")
     assert sorted(tuple(r) for r in members.committee_links([a, b]).collect()) == [("C1", "E1", "ccl"), ("C2", "E1", "cn")]
-    names = spark.createDataFrame([("Coinbase Global",), ("Acme",), ("Other Co",)], "name string")
-    roster = spark.createDataFrame([("COINBASE",), ("Acme",)], "player string")
-    assert [tuple(r) for r in members.token_subset_matches(names, roster).collect()] == [("Coinbase Global", "COINBASE")]
+    names = spark.createDataFrame([("Coinbase Global",), ("Acme",), ("Other Co",), ("Big Bank of America",), ("ACME corp plus",)], "name string")
+    roster = spark.createDataFrame([("COINBASE",), ("Coinbase Global Markets",), ("Acme",), ("Bank",), ("plus Acme",)], "player string")
+    assert sorted(tuple(r) for r in members.token_subset_matches(names, roster).collect()) == [("ACME corp plus", "plus Acme", "candidate"), ("Acme", "Acme", "exact"), ("Coinbase Global", "Coinbase Global Markets", "candidate")]
 
 
 def test_sinks(spark, tmp_path):
@@ -105,9 +140,10 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.save({"t": df}, str(tmp_path / "db"), {"t": "k"})
     assert spark.read.parquet(str(tmp_path / "db/t")).count() == 2
-    sinks.save_csv(df, str(tmp_path / "csv"))
-    (part,) = (tmp_path / "csv").glob("part-*")
-    assert part.read_bytes().startswith(b"\xef\xbb\xbfk,v")
+    sinks.save_csv(df, str(tmp_path / "t.csv"), query="SELECT *\nFROM t")
+    assert (tmp_path / "t.csv").read_bytes() == b"\xef\xbb\xbfk,v\n1,a\n2,\n" and (tmp_path / "t.csv.sql").read_text() == "SELECT *\nFROM t\n"
+    with pytest.raises(Exception, match="another length"):
+        sinks.save_vectors(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "k int, v array<float>"), str(tmp_path / "v"), "v", 2)
     assert sorted(tuple(r) for r in sinks.sanity({"t": df, "u": df}, {"t": 2, "u": 3}).collect()) == [("t", 2, 2, False), ("u", 2, 3, True)]
     assert [r.value for r in sinks.as_json(df).collect()] == ['{"k":1,"v":"a"}', '{"k":2}']
     reference_data.write_roster(df, "v", str(tmp_path / "r"))
