@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ._common import cut, field, packed, small, whole
 
-#: Bits that one pass over the sizes looks ahead.
-STEP = 12
+#: Bits that the first pass over the sizes looks ahead, and those after it.
+FIRST, STEP = 12, 6
 #: Bits that a hash has; rows that share them all are dealt by their order instead.
 BITS = 60
 
@@ -30,28 +30,34 @@ def row_hash(id_: Column, body: Column) -> Column:
 def shard_directory(keys: DataFrame, limit_bytes: int) -> tuple[DataFrame, list[int]]:
     """(depth, prefix, bytes, n) of every bucket that isn't split, and the depths that occur.
 
-    keys: h, bytes. Each round sums the bytes per prefix of STEP more bits, of rows in oversized
-    buckets only; a bucket is the shallowest prefix that fits or has one row, or one of BITS bits.
+    keys: h, bytes. Each round sums the bytes per prefix of some more bits, of rows in oversized buckets
+    only; a bucket is the shallowest prefix that fits or has one row, or one of BITS bits. A bucket's
+    two halves are looked at together, and their sum tells whether it was split.
     """
     open_, found, depths, at = keys, [], [], 0
+
+    def over(size: Column, n: Column) -> Column:
+        return (size > limit_bytes) & (n > 1)
+
     while at < BITS:
-        deep = min(BITS, at + STEP)
+        deep = min(BITS, at + STEP if at else FIRST)
         fine = cut(open_.groupBy(_lead(deep).alias("fine")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")))
         # all depths of this round from the sums at its end
-        tree = fine.select(F.explode(F.sequence(F.lit(at if at == 0 else at + 1), F.lit(deep))).alias("depth"), "fine", "bytes", "n")
+        tree = fine.select(F.explode(F.sequence(F.lit(at + 1), F.lit(deep))).alias("depth"), "fine", "bytes", "n")
         tree = tree.groupBy("depth", F.call_function("shiftright", F.col("fine"), (F.lit(deep) - F.col("depth")).cast("int")).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
-        tree = tree.withColumn("over", (F.col("bytes") > limit_bytes) & (F.col("n") > 1))
-        up = tree.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"), F.col("over").alias("over_above"))
-        tree = tree.withColumn("parent", F.call_function("shiftright", F.col("prefix"), F.lit(1))).join(up, ["depth", "parent"], "left")
-        first = F.col("depth") == (at if at == 0 else at + 1)
-        leaf = cut(tree.filter(F.coalesce(F.col("over_above"), first) & (~F.col("over") | (F.col("depth") == deep))).select("depth", "prefix", "bytes", "n", "over"))
+        halves = tree.groupBy("depth", F.call_function("shiftright", F.col("prefix"), F.lit(1)).alias("parent")).agg(F.sum("bytes").alias("size"), F.sum("n").alias("all"), F.collect_list(F.struct("prefix", "bytes", "n")).alias("halves"))
+        leaf = halves.filter(over(F.col("size"), F.col("all"))).select("depth", F.explode("halves").alias("x")).select("depth", "x.*").withColumn("over", over(F.col("bytes"), F.col("n"))).filter(~F.col("over") | (F.col("depth") == deep))
+        if at == 0:
+            root = fine.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).filter("n IS NOT NULL").select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), "bytes", "n")
+            leaf = leaf.unionByName(root.withColumn("over", over(F.col("bytes"), F.col("n"))).filter("NOT over"))
+        leaf = cut(leaf)
         done = leaf.filter(~F.col("over") | F.lit(deep == BITS)).drop("over")
-        over = leaf.filter(F.col("over") & F.lit(deep < BITS))
+        left = leaf.filter(F.col("over") & F.lit(deep < BITS))
         found.append(done)
         depths += [r[0] for r in done.select("depth").distinct().collect()]
-        if deep == BITS or over.isEmpty():
+        if deep == BITS or left.isEmpty():
             break
-        open_ = keys.withColumn("prefix", _lead(deep)).join(small(over.select("prefix"), 100_000), "prefix", "left_semi")
+        open_ = keys.withColumn("prefix", _lead(deep)).join(small(left.select("prefix"), 100_000), "prefix", "left_semi")
         at = deep
     return reduce(DataFrame.unionByName, found), sorted(set(depths))
 
