@@ -94,10 +94,11 @@ def keyness(counts: DataFrame, sizes: DataFrame, covered: list[str] = (), least_
     n_background, numbers of texts. The prior's mass is the background's document frequencies and one per
     term it has. Terms of fewer than ``least_docs`` texts are left out, and those all of whose words are ``covered``.
     """
-    prior_mass = counts.agg((F.coalesce(F.sum("background_docs"), F.lit(0)) + F.count_if(F.col("background_docs") > 0)).alias("a0"))
-    joined = counts.filter(F.col("docs") >= least_docs).crossJoin(F.broadcast(prior_mass)).crossJoin(F.broadcast(sizes))
-    if covered:
-        joined = joined.filter(~F.forall(F.split("term", " "), lambda w: w.isin(list(covered))))
+    both = F.when(F.col("docs") >= 0, F.col("background_docs"))  # of the same columns as the terms below, so that one shuffle serves both
+    prior_mass = counts.agg((F.coalesce(F.sum(both), F.lit(0)) + F.count_if(both > 0)).alias("a0"))
+    # one condition, as two would be taken apart and the words looked at in every text
+    shown = F.when(F.col("docs") >= least_docs, ~F.forall(F.split("term", " "), lambda w: w.isin(list(covered))) if covered else F.lit(True)).otherwise(F.lit(False))
+    joined = counts.filter(shown).crossJoin(F.broadcast(prior_mass)).crossJoin(F.broadcast(sizes))
     x, y = F.col("docs").cast("double"), F.col("background_docs").cast("double")
     prior = y + 1
     gap = F.ln((x + prior) / (F.col("n_docs") + F.col("a0") - x - prior)) - F.ln((y + prior) / (F.col("n_background") + F.col("a0") - y - prior))
