@@ -7,6 +7,7 @@ import binascii
 import hashlib
 import json
 import re
+import string
 import struct
 from collections.abc import Iterator
 from itertools import product
@@ -22,7 +23,7 @@ KINDS = ("assign", "access", "hex", "token", "key", "certificate", "ssh")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # runs of 16 characters or more; a shorter run holds no longer one
 HEX = re.compile(r"[0-9a-f]{32,}")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\[rnt])+)-----END \1-----")
 #: First characters that the parsers can accept: base64 of a sequence's tag, of a short field's length, of openssh-key-v1; the same in hex.
 BASE64 = re.compile(r"M[A-P]|AA|b3Bl")
@@ -30,6 +31,8 @@ HEX_HEAD = re.compile(r"30|00|6[Ff]70")
 #: A line of a run in each alphabet; lines are joined over line ends, written out or escaped, with their indents.
 STANDARD, URLSAFE, DIGITS = (re.compile(rf"[{c}]+") for c in ("A-Za-z0-9+/", "A-Za-z0-9_-", "0-9A-Fa-f"))
 BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)(?:[\x20\t]|\\t)*")
+#: Characters of a run of base64; one before a head means that no run begins there.
+INSIDE = string.ascii_letters + string.digits + "+/"
 PADDING = re.compile(r"={0,2}")
 #: Least characters of a run: a 224-bit elliptic-curve key, the shortest the parsers know, has 47 in base64 and 70 in hex.
 LEAST = {STANDARD: 40, URLSAFE: 40, DIGITS: 64}
@@ -125,6 +128,25 @@ def signed_token(text: str) -> bool:
     return (head_["alg"].lower() == "none") == (not signature) and _decode(signature, urlsafe=True) is not None
 
 
+def signed_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of three parts between dots whose first, from its first eyJ on, could be a header; taken from the left, none overlapping.
+
+    Runs are split once, so time is linear in the text's length.
+    """
+    out = []
+    for run in DOTTED.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, at, k = run[0].split("."), run.start(), 0
+        while k < len(parts):
+            head, used = parts[k].find("eyJ"), 1
+            if 0 <= head < len(parts[k]) - 3 and k + 2 < len(parts) and parts[k + 1]:
+                used = 3
+                out.append((at + head, at + sum(map(len, parts[k : k + 3])) + 2))
+            at, k = at + sum(map(len, parts[k : k + used])) + used, k + used
+    return out
+
+
 def joined(text: str, at: int, line: re.Pattern, most: float) -> tuple[str, list[tuple[int, int]]]:
     """The lines of a run from ``at`` until it has ``most`` characters, and each line's end: characters so far, place in the text."""
     parts, stops, n = [], [], 0
@@ -198,17 +220,17 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
     or more, lines joined, that begin as the parsers' structures do; where a DER or SSH structure ends
     is read from its own lengths, and a line must end there.
     """
-    out = [("token", m.start(), m.end()) for m in SIGNED.finditer(text) if signed_token(m[0])] if "eyJ" in text else []
+    out = [("token", a, b) for a, b in signed_spans(text) if signed_token(text[a:b])] if "eyJ" in text else []
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
             data = _decode(m[2])
             kind = data and ("ssh" if ssh_key(data) else der_kind(data))
             if kind:
                 out.append((kind, m.start(), m.end()))
-    for heads, lines, before in ((BASE64, (STANDARD, URLSAFE), STANDARD), (HEX_HEAD, (DIGITS,), DIGITS)):
+    for heads, lines, inside in ((BASE64, (STANDARD, URLSAFE), INSIDE), (HEX_HEAD, (DIGITS,), string.hexdigits)):
         for m in heads.finditer(text):
             at = m.start()
-            if at and before.match(text, at - 1) and text[max(0, at - 2) : at] not in ("\\n", "\\r", "\\t"):
+            if at and text[at - 1] in inside and text[max(0, at - 2) : at] not in ("\\n", "\\r", "\\t"):
                 continue
             if any(a <= at < b for _, a, b in out):
                 continue

@@ -670,3 +670,19 @@ def test_secret_patterns(spark, empty):
     assert (rows["1"].n_assign, rows["1"].n_access, rows["1"].n_hex) == tuple(sum(k == o for k, _, _ in base) for o in order)
     assert rows[None].spans == rows["2"].spans == "" and rows["2"].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secret_scan.scan(empty).count() == 0
+
+
+def test_signed_spans_are_those_of_a_pattern():
+    rng = random.Random(9)
+    pattern = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+    for _ in range(3000):
+        text = "".join(rng.choices(["eyJ", "a", ".", "..", "-", " ", "J", "ey", "+"], k=rng.randint(0, 25)))
+        assert secret_scan.signed_spans(text) == [m.span() for m in pattern.finditer(text)], text
+
+
+@pytest.mark.parametrize("part", ["eyJ", "eyJ.", "a.", "eyJa.b.", "AAAA", "MIIB", "0x30", "30820a", "password ", "AKIA", "-----BEGIN X-----"])
+def test_scan_of_long_runs(part):
+    text = part * ((1 << 20) // len(part))
+    began = time.process_time()
+    secret_scan.patterns(text), secret_scan.confirmed(text)
+    assert time.process_time() - began < 5
