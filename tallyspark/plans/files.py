@@ -17,12 +17,12 @@ def _json(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(F.to_json(F.struct(*columns)).alias("value"))
 
 
-def _array_file(rows: DataFrame, path: str, key: str) -> None:
-    """One file with an array of the objects in value, in the order of ``key``."""
-    last = rows.agg(F.max(key).alias("last"))
-    out = rows.crossJoin(F.broadcast(last)).select(key, F.concat(F.lit(""), "value", F.when(F.col(key) == F.col("last"), "]").otherwise(",")).alias("value"))
-    first = rows.sparkSession.createDataFrame([("[",)], "value string").withColumn(key, F.lit(-1).cast("long"))
-    sinks.save_lines(out.unionByName(first.select(key, "value")).repartition(1), path, by=[key])
+def _array_file(rows: DataFrame, path: str, key: str, value: Column | None = None) -> None:
+    """One file with an array of the objects in value, or that a column expression makes of sorted rows, in the order of ``key``."""
+    ends = rows.agg(F.min(key).alias("__first"), F.max(key).alias("__last"))
+    out = rows.crossJoin(F.broadcast(ends))
+    line = F.concat(F.when(F.col(key) == F.col("__first"), "[\n").otherwise(""), F.col("value") if value is None else value, F.when(F.col(key) == F.col("__last"), "]").otherwise(","))
+    sinks.save_lines(out, path, line, by=[key])
 
 
 def _press(spark: SparkSession, d: str) -> list[str]:
@@ -73,7 +73,7 @@ def _orders(spark: SparkSession, d: str) -> str:
         F.struct(F.when(key % 2 == 0, F.col("o_custkey")).alias("id"), (F.col("o_custkey") + 1).alias("client_id"), F.concat(F.lit("Client "), text(F.col("o_custkey"))).alias("name")).alias("client"),
         F.when(key % 5 != 0, F.array(act(0), act(1))).alias("lobbying_activities"), F.when(key % 11 == 0, F.array(F.struct(F.lit("Abroad").alias("name"), F.lit("X").alias("country")))).alias("foreign_entities"),
     )
-    _array_file(o.select(F.col("o_orderkey").cast("long").alias("k"), F.to_json(filing).alias("value")), path, "k")
+    _array_file(o, path, "o_orderkey", F.to_json(filing))
     return path
 
 
@@ -123,7 +123,7 @@ def _reports(spark: SparkSession, d: str) -> str:
         F.concat(F.lit("c"), text(key)).alias("uuid"), F.when(key % 4 == 0, "lobbyist").otherwise("organization").alias("filer_type"), F.lit(2025).alias("filing_year"), F.struct(F.col("s_name").alias("name")).alias("registrant"),
         F.when(key % 4 == 0, F.struct(F.lit("Al").alias("first_name"), F.concat(F.lit("Ly"), text(key)).alias("last_name"))).alias("lobbyist"), F.when(key % 3 == 0, F.array(F.lit(" P1"), F.to_json(F.struct(F.lit("P2").alias("name"))))).alias("pacs"), F.array(item(0), item(1)).alias("contribution_items"),
     )
-    _array_file(s.select(F.col("s_suppkey").cast("long").alias("k"), F.to_json(report).alias("value")), path, "k")
+    _array_file(s, path, "s_suppkey", F.to_json(report))
     return path
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import blank_to_null, number
 from ..functions.text import bill_key, cited
+from .arrays import read_elements
 
 _PERSON = "id string, first_name string, last_name string"
 FILING = f"""filing_uuid string, uuid string, filing_type string, filing_year int, filing_period string, income string, expenses string, dt_posted string, posted string,
@@ -19,14 +20,8 @@ REPORT = f"""filing_uuid string, uuid string, filing_type string, filing_year in
 
 
 def _elements(spark: SparkSession, paths: str | list[str], schema: str, max_records: int | None) -> DataFrame:
-    """The elements of each file's array with src_file and src_index, their place in it.
-
-    A file is read by one task element by element, never whole; an element's place is its row's number
-    less the first of its file.
-    """
-    raw = spark.read.schema(schema).option("multiLine", True).json(paths).select("*", F.col("_metadata.file_name").alias("src_file")).withColumn("at", F.monotonically_increasing_id())
-    first = raw.groupBy("src_file").agg(F.min("at").alias("first"))
-    raw = raw.join(F.broadcast(first), "src_file").withColumn("src_index", (F.col("at") - F.col("first")).cast("int")).drop("at", "first")  # first: one row a file
+    """The elements of each file's array with src_file and src_index, their place in it; see read_elements."""
+    raw = read_elements(spark, paths, schema)
     return raw.orderBy("src_file", "src_index").limit(max_records) if max_records is not None else raw
 
 

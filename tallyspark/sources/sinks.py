@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,23 +16,34 @@ def save(tables: dict[str, DataFrame], folder: str, partition: dict[str, str] |
 
 
 def _one_file(spark: SparkSession, folder: str, path: str) -> None:
-    """The only part file of a folder, moved to path, which is replaced."""
+    """The part files of a folder as one file at path, which is replaced; several are copied one after the other, as streams."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     source, target = where(folder), where(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    (part,) = [s.getPath() for s in files.listStatus(source) if s.getPath().getName().startswith("part-")]
+    parts = sorted((s.getPath() for s in files.listStatus(source) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
     files.delete(target, True)
     files.mkdirs(target.getParent())
-    if not files.rename(part, target):
-        raise OSError(f"{path} can't be written")
+    if len(parts) == 1:
+        if not files.rename(parts[0], target):
+            raise OSError(f"{path} can't be written")
+    else:
+        out = files.create(target)
+        try:
+            for part in parts:
+                stream = files.open(part)
+                try:
+                    spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+                finally:
+                    stream.close()
+        finally:
+            out.close()
     files.delete(source, True)
 
 
-def save_lines(df: DataFrame, path: str, column: str = "value", by: list[str] | None = None) -> None:
-    """One text file of a column's values, in the order of ``by``; for files that people open, not for whole corpora."""
+def save_lines(df: DataFrame, path: str, column: str | Column = "value", by: list[str] | None = None) -> None:
+    """One text file of a column's values, in the order of ``by``: sorted and written by ranges, which are then joined."""
     folder = f"{path}.{uuid.uuid4().hex}"
-    one = df.coalesce(1)
-    (one.sortWithinPartitions(*by) if by else one).select(F.col(column).alias("value")).write.text(folder)
+    (df.orderBy(*by) if by else df).select((F.col(column) if isinstance(column, str) else column).alias("value")).write.text(folder)
     _one_file(df.sparkSession, folder, path)
 
 

@@ -4,9 +4,10 @@ import json
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.operators import members
-from tallyspark.sources import house, press, reference_data, senate, sinks
+from tallyspark.sources import arrays, house, press, reference_data, senate, sinks
 from tallyspark.streaming import amendments
 
 
@@ -39,6 +40,59 @@ def test_senate_children(spark, tmp_path):
     assert out["items"].select(senate.recipient().alias("r"), "amount").first() == ("PAY", 5.0)
 
 
+def _as_pretty(rows):
+    return json.dumps(rows, indent=2)
+
+
+def _as_one_line(rows):
+    return json.dumps(rows)
+
+
+def _as_lines(rows):
+    return "[\n" + ",\n".join(map(json.dumps, rows)) + "\n]\n"
+
+
+@pytest.mark.parametrize("write", [_as_pretty, _as_one_line, _as_lines])
+@pytest.mark.parametrize("width", [997, 1 << 20])
+def test_arrays_in_many_splits(spark, tmp_path, write, width):
+    """Splits that fall anywhere: in strings full of braces, quotes and backslashes, and in elements longer than a split."""
+    odd = ['}', '{', '"', "\\", '\\"}', '},{', "\\\\", "é}", "]", "", '[{"k": "}"}]']
+    rows = [{"k": i, "s": odd[i % len(odd)] * (i % 7), "inner": [{"t": odd[(i * 3) % len(odd)]}] * (i % 3)} for i in range(300)]
+    rows[150]["s"] = '}"{\\' * 700
+    (tmp_path / "a.json").write_text(write(rows))
+    (tmp_path / "b.json").write_text(write(rows[:1]))
+    (tmp_path / "c.json").write_text("[]")
+    (tmp_path / "d.json").write_text(json.dumps(rows[3]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, str(width))
+        out = arrays.read_elements(spark, [str(tmp_path / f"{x}.json") for x in "abcd"], "k long, s string, inner array<struct<t string>>").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = sorted((r.src_file, r.src_index, r.k, r.s, [x.t for x in r.inner]) for r in out)
+    want = [("a.json", i, x["k"], x["s"], [y["t"] for y in x["inner"]]) for i, x in enumerate(rows)]
+    assert got == [*want, ("b.json", *want[0][1:]), ("d.json", 0, *want[3][2:])]
+
+
+def test_array_files_are_read_in_parallel(spark, tmp_path):
+    (tmp_path / "f.json").write_text(json.dumps([{"filing_uuid": f"f{i}", "filing_type": "}" * 40} for i in range(2000)]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        out = senate.read_filings(spark, str(tmp_path / "f.json"))["filings"]
+        assert out.rdd.getNumPartitions() > 1 and sorted((r.src_index, r.filing_uuid) for r in out.collect()) == [(i, f"f{i}") for i in range(2000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_in_order_from_many_tasks(spark, tmp_path):
+    df = spark.range(5000, numPartitions=7).select(((F.col("id") * 7919) % 5000).alias("k")).withColumn("value", F.concat(F.lit("n"), "k"))
+    sinks.save_lines(df, str(tmp_path / "x.txt"), by=["k"])
+    assert (tmp_path / "x.txt").read_text().split() == [f"n{k}" for k in range(5000)]
+
+
 DOC = """<LOBBYINGDISCLOSURE2><organizationName>Org</organizationName><clientName> Cl </clientName><senateID>1-2</senateID><houseID>3</houseID><income>10</income><expenses> </expenses>%s</LOBBYINGDISCLOSURE2>"""
 BLOCK = "<alis><ali_info><issueAreaCode>TAX</issueAreaCode><specific_issues><description>d</description></specific_issues><federal_agencies>A,B</federal_agencies><lobbyists><lobbyist><lobbyistFirstName>X</lobbyistFirstName><lobbyistLastName>Y</lobbyistLastName></lobbyist><lobbyist><lobbyistFirstName> </lobbyistFirstName><lobbyistLastName> </lobbyistLastName></lobbyist></lobbyists></ali_info></alis>"
 
