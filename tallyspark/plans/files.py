@@ -31,11 +31,8 @@ def _press(spark: SparkSession, d: str) -> list[str]:
     date = F.format_string("2025-%02d-15", F.col("doc_id") % 6 + 1)
     member = F.struct(F.format_string("N%d", F.col("doc_id") % 25).alias("bioguide_id"), F.col("lang").alias("party"))
     line = F.to_json(F.struct(F.concat(F.lit("https://example.org/"), F.col("doc_id")).alias("url"), F.col("lang").alias("title"), date.alias("date"), member.alias("member"), F.col("text")))
-    rows = docs.select("doc_id", F.concat(line, F.lit("\n")).alias("value"))
-    paths = []
-    for month in range(6):
-        paths.append(f"{folder}/2025-{month + 1:02}.jsonl")
-        sinks.save_lines(rows.filter(F.col("doc_id") % 6 == month).repartition(1), paths[-1], by=["doc_id"])
+    paths = [f"{folder}/2025-{month + 1:02}.jsonl" for month in range(6)]
+    sinks.save_files(docs, paths, F.col("doc_id") % 6, F.concat(line, F.lit("\n")), by=["doc_id"])
     return paths
 
 
@@ -52,10 +49,11 @@ def press_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_PRESS}, k AS (SELECT src_file || ':' || src_line AS record_key, lang FROM p), e AS (SELECT CASE WHEN doc_id % 4 = 0 THEN src_file || ':' || src_line END AS record_key, doc_id FROM p) SELECT e.doc_id, lang FROM e LEFT JOIN k USING (record_key)")
 def press_key_join(spark: SparkSession, d: str) -> DataFrame:
-    """Releases joined by the key that cites them, file and line."""
+    """Releases joined by the key that cites them, file and line; rows that cite none are dealt by their own ids, as null keys would all meet in one task."""
     rows = press.read_press(spark, _press(spark, d)).withColumn("record_key", press.press_key())
     asked = rows.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), "record_key")
     asked = asked.withColumn("record_key", F.when(F.col("doc_id") % 4 == 0, F.col("record_key")))
+    asked = asked.withColumn("record_key", F.coalesce("record_key", F.concat(F.lit("\0"), F.col("doc_id").cast("string"))))  # no file's name has that character
     return asked.join(rows.select("record_key", F.col("title").alias("lang")), "record_key", "left").select("doc_id", "lang")
 
 

@@ -31,20 +31,26 @@ def wanted(paths: list[str], years: list[int] | None = None, months: list[str] |
 def read_press(spark: SparkSession, paths: list[str], years: list[int] | None = None, months: list[str] | None = None, max_records: int | None = None) -> DataFrame:
     """Typed rows with src_file and src_line; blank lines count as lines but give no row, bad lines keep their raw text.
 
-    Files outside years or months aren't read. A line number needs its file's order, so a file, a month of
-    releases, is one row until it is split. pr_id numbers rows by file and line: within each file, plus
-    the rows of the files before it, so no task sees them all.
+    Files outside years or months aren't read. pr_id numbers rows by file and line. Files are read in splits:
+    a line's number is its place in its split, plus the lines of the file's splits before it, which a first
+    pass counts; so no task has a whole file.
     """
     keep = wanted(paths, years, months)
     if not keep:
         return spark.createDataFrame([], f"src_file string, src_line int, {SCHEMA}, bad_line string, quarter string, pr_id long")
-    files = spark.read.text(keep, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("src_file"), F.split("value", "\r?\n").alias("lines"))
-    filled = F.filter(F.transform("lines", lambda line, k: F.struct((k + 1).alias("src_line"), line.alias("line"))), lambda x: F.trim(x["line"]) != "")
-    files = files.select("src_file", filled.alias("filled"))
-    counts = files.select("src_file", F.size("filled").alias("n"))
-    before = counts.select("src_file", F.coalesce(F.sum("n").over(Window.orderBy("src_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a file
-    rows = files.select("src_file", F.posexplode("filled").alias("at", "x")).join(F.broadcast(before), "src_file")
-    rows = rows.select("src_file", "x.src_line", (F.col("before") + F.col("at") + 1).cast("long").alias("pr_id"), F.from_json("x.line", SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    split = ["path", "start", "length", "task"]
+    lines = spark.read.option("lineSep", "\n").text(keep)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("src_file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    filled = F.trim("line") != ""
+    splits = lines.groupBy("src_file", *split).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.count_if(filled).alias("filled"))  # one row a split; so windows over them are small
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(
+        *split, (F.col("first") - before("n", Window.partitionBy("path").orderBy("start"))).alias("line_0"),
+        (F.shiftleft(F.col("task").cast("long"), 33) + before("filled", Window.partitionBy("task").orderBy("first")) - before("filled", Window.orderBy("src_file", "path", "start"))).alias("row_0"),
+    )
+    rows = lines.filter(filled).withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(splits), split, "left")
+    known = lambda c: F.coalesce(c, F.raise_error(F.lit("the splits of a file have changed between its two passes")).cast("long"))
+    rows = rows.select("src_file", (F.col("at") - known(F.col("line_0")) + 1).cast("int").alias("src_line"), (F.col("row") - known(F.col("row_0")) + 1).alias("pr_id"), F.from_json("line", SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     if max_records is not None:
         rows = rows.filter(F.col("pr_id") <= max_records)
     month = F.substr(F.col("date"), F.lit(6), F.lit(2)).try_cast("int")

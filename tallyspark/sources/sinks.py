@@ -47,6 +47,19 @@ def save_lines(df: DataFrame, path: str, column: str | Column = "value", by: lis
     _one_file(df.sparkSession, folder, path)
 
 
+def save_files(df: DataFrame, paths: list[str], index: Column, value: Column, by: list[str]) -> None:
+    """Text files, each of the values of the rows whose index is its place in paths, in the order of ``by``; all are sorted at once."""
+    folder, spark = f"{paths[0]}.{uuid.uuid4().hex}", df.sparkSession
+    rows = df.withColumn("__file", index.cast("int")).filter(F.col("__file").between(0, len(paths) - 1))
+    rows.orderBy("__file", *by).select("__file", value.alias("value")).write.partitionBy("__file").text(folder)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = where(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k, path in enumerate(paths):
+        files.mkdirs(where(f"{folder}/__file={k}"))  # no rows, an empty file
+        _one_file(spark, f"{folder}/__file={k}", path)
+    files.delete(where(folder), True)
+
+
 def save_csv(df: DataFrame, path: str, bom: bool = True, query: str | None = None, by: list[str] | None = None) -> None:
     """One CSV file with a header, its first field marked as UTF-8 for spreadsheets; the query that made it goes to path.sql."""
     columns = [F.col(f"`{c}`") for c in df.columns]

@@ -93,6 +93,30 @@ def test_lines_in_order_from_many_tasks(spark, tmp_path):
     assert (tmp_path / "x.txt").read_text().split() == [f"n{k}" for k in range(5000)]
 
 
+def test_press_lines_in_many_splits(spark, tmp_path):
+    """No task reads a whole file; lines and rows keep their numbers over blank lines, bad ones and files of other sizes."""
+    want, n = [], 0
+    for name, lines in (("2025-01.jsonl", 400), ("2025-02.jsonl", 1), ("2025-03.jsonl", 90)):
+        text = []
+        for k in range(lines):
+            blank = k % 5 == 3 or 100 < k < 160
+            text.append(" " if blank else "{bad" if k % 17 == 0 else json.dumps({"url": f"{name}{k}", "text": "x" * (k % 40)}))
+            if not blank:
+                n += 1
+                want.append((n, name, k + 1, None if k % 17 == 0 else f"{name}{k}"))
+        (tmp_path / name).write_text("\r\n".join(text))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "700")
+        out = press.read_press(spark, [str(p) for p in tmp_path.glob("*.jsonl")])
+        assert out.select(F.spark_partition_id()).distinct().count() > 3
+        assert sorted((r.pr_id, r.src_file, r.src_line, r.url) for r in out.collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 DOC = """<LOBBYINGDISCLOSURE2><organizationName>Org</organizationName><clientName> Cl </clientName><senateID>1-2</senateID><houseID>3</houseID><income>10</income><expenses> </expenses>%s</LOBBYINGDISCLOSURE2>"""
 BLOCK = "<alis><ali_info><issueAreaCode>TAX</issueAreaCode><specific_issues><description>d</description></specific_issues><federal_agencies>A,B</federal_agencies><lobbyists><lobbyist><lobbyistFirstName>X</lobbyistFirstName><lobbyistLastName>Y</lobbyistLastName></lobbyist><lobbyist><lobbyistFirstName> </lobbyistFirstName><lobbyistLastName> </lobbyistLastName></lobbyist></lobbyists></ali_info></alis>"
 
