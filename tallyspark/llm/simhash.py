@@ -18,6 +18,9 @@ _FOLD = bytes.maketrans(WHITE, b" " * len(WHITE))
 FRONTIER, LEAVES = 1 << 14, 1 << 17
 #: The wide fingerprint of near copies: 64-bit words, tables cut from it, bits of a table's key, bits by which keys may differ.
 WORDS, TABLES, KEY_BITS, KEY_MOST = 6, 8, 24, 2
+#: Ranges of shingle hashes by which frequent shingles are told from rare ones.
+RARE_BITS = 21
+RARE = 1 << RARE_BITS
 
 
 def words_of(text: str) -> list[bytes]:
@@ -80,6 +83,11 @@ def shingles_of(text: str, shingle: int) -> np.ndarray:
     return np.unique(out)
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """64 bits that stand for a set of shingles."""
+    return xxhash.xxh64_intdigest(shingles.tobytes())
+
+
 def wide_fingerprint(shingles: np.ndarray, words: int = WORDS) -> bytes:
     """The SimHash of a set of shingles in so many 64-bit words; zero bytes for an empty set."""
     total = np.zeros(64 * words, np.int64)
@@ -326,25 +334,123 @@ def _row_key(id_: Column, text: Column) -> list[Column]:
     return [F.xxhash64(id_, whole(text)).alias("a"), F.xxhash64(F.lit(7), id_, whole(text)).alias("b")]
 
 
+def rarity(df: DataFrame, text_col: Column, shingle: int) -> np.ndarray:
+    """How frequent the shingles of each of RARE hash ranges are, in steps of a fourth of a power of two; every row is counted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARE, np.int64)
+        for batch in batches:
+            some = [shingles_of(t.as_py(), shingle) for t in batch.column(0)]
+            for at in range(0, len(some), 1024):
+                total += np.bincount((np.concatenate(some[at : at + 1024]) >> np.uint64(64 - RARE_BITS)).astype(np.int64), minlength=RARE)
+        for k, part in enumerate(total.reshape(64, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.astype("<u4").tobytes()], pa.binary())], names=["k", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in table.column("n"))
+        return pa.table({"k": table.column("k")[:1], "n": pa.array([np.floor(4 * np.log2(1 + total)).astype(np.uint8).tobytes()], pa.binary())})
+
+    out = np.zeros((64, RARE // 64), np.uint8)
+    for r in df.select(text_col.alias("text")).mapInArrow(count, "k long, n binary").groupBy("k").applyInArrow(add, "k long, n binary").collect():
+        out[r.k] = np.frombuffer(r.n, np.uint8)
+    return out.reshape(-1)
+
+
+def prefix_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of nodes of two roots that share a token of their prefixes and can have this similarity.
+
+    place: of the token in its node's order. Where it is the first that both have, no more than what follows
+    it is shared, and sizes differ by no more than the similarity lets them; every pair that is alike passes
+    at that token.
+    """
+    order = np.lexsort((node, size, token))
+    again = (token[order[1:]] == token[order[:-1]]) & (node[order[1:]] == node[order[:-1]])  # rows of one set
+    order = order[np.r_[True, ~again]] if len(order) else order
+    token, node, size, place, root = (x[order] for x in (token, node, size, place, root))
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+    if len(starts):
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        keep = np.repeat(mixed, np.diff(np.r_[starts, len(token)]))
+        token, node, size, place, root = (x[keep] for x in (token, node, size, place, root))
+    found, held, at, step = [np.zeros((0, 2), np.int64)], 0, np.arange(len(token)), 1
+    while len(at):
+        at = at[at + step < len(token)]
+        at = at[token[at] == token[at + step]]
+        at = at[size[at] >= similarity * size[at + step] - 1e-6]  # ascending sizes: later ones are too large as well
+        b = at + step
+        most = 1 + np.minimum(size[at] - place[at], size[b] - place[b]) - 1
+        near = (root[at] != root[b]) & (most >= similarity / (1 + similarity) * (size[at] + size[b]) - 1e-6)
+        u, v = node[at[near]], node[b[near]]
+        found.append(np.c_[np.maximum(u, v), np.minimum(u, v)])
+        held += len(u)
+        if held > 1 << 21:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = 0
+        step += 1
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def prefix_links(texts: DataFrame, members: DataFrame, weights: np.ndarray, shingle: int, similarity: float, tokens: int, max_broadcast: int, block_rows: int = 1 << 16) -> DataFrame:
+    """u, v (v < u): pairs of nodes of two components that may be alike, with all that are; texts: text; members: node, root.
+
+    A set's node is the hash that node_of() gives.
+
+    A text's shingles are put in one order for all, rare ones first. Two sets of a Jaccard similarity
+    have a shingle in common among each one's first n - ceil(similarity * n) + 1, whatever that order; so
+    only these are sent, and pairs that meet at none can't be alike.
+    """
+    lead = max(8, math.ceil(math.log2(max(1, tokens / block_rows))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                some = [shingles_of(t.as_py(), shingle) for t in batch.column(0)[at : at + 512]]
+                taken = []
+                for x in some:
+                    n = len(x) - math.ceil(similarity * len(x) - 1e-6) + 1 if len(x) else 0
+                    taken.append(x[np.argsort(weights[(x >> np.uint64(64 - RARE_BITS)).astype(np.int64)], kind="stable")[:n]])
+                n = np.fromiter(map(len, taken), np.int64, len(taken))
+                token = np.concatenate(taken)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+                sizes = np.repeat(np.fromiter(map(len, some), np.int64, len(some)), n)
+                nodes = np.repeat(np.fromiter(map(node_of, some), np.uint64, len(some)).view(np.int64), n)
+                part = (_mix(token) >> np.uint64(64 - lead)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part, token.view(np.int64), nodes, sizes.astype(np.int32), place.astype(np.int32))], names=["part", "token", "node", "size", "place"])
+
+    def join(table: pa.Table) -> pa.Table:
+        u, v = prefix_pairs(*[table.column(c).to_numpy().astype(np.int64) for c in ("token", "node", "size", "place", "root")], similarity)
+        return pa.table({"u": u, "v": v})
+
+    sent = texts.select("text").mapInArrow(deal, "part long, token long, node long, size int, place int")
+    rooted = sent.join(small(members, max_broadcast), "node", "left").select("part", "token", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    return rooted.groupBy("part").applyInArrow(join, "u long, v long").distinct()
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_broadcast: int = 1_000_000) -> DataFrame:
     """df with one row of each group of near copies, that of the smallest id; columns as they were, whatever their names.
 
     Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word shingles is
-    ``similarity`` or more; a group is what such links connect. Candidates come from trie self-joins of
+    ``similarity`` or more; a group is what such links connect. First candidates come from trie self-joins of
     a wide SimHash (WORDS 64-bit words of the set): texts of that similarity differ in a known share of
     bits, so the budget is that share and three standard deviations; each of TABLES tables joins keys of
-    KEY_BITS bits at a Hamming budget of KEY_MOST. Every link is confirmed by the shingles themselves, so
-    no others are dropped; a pair is missed where no table finds it (about one in twenty just at 0.8,
-    fewer above), and its texts may still be connected by others.
+    KEY_BITS bits at a Hamming budget of KEY_MOST. They connect most groups, dense ones above all, but miss
+    some pairs; so texts of two components that share a shingle of their prefixes are candidates as well,
+    which leaves no pair out (see prefix_links). Every link is confirmed by the shingles themselves.
 
     Null text counts as empty; texts without words are one group, shorter ones have one shingle. Of a
     group the row of the smallest id stays, null after all others, ties by a hash of the text; rows
     repeated with one id and text lose all but one. An empty table gives no rows.
     """
 
-    @F.arrow_udf("binary")
-    def print_of(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint(shingles_of(t.as_py(), shingle)) for t in texts], pa.binary())
+    def print_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles_of(t.as_py(), shingle) for t in batch.column(3)]
+            words = pa.array([wide_fingerprint(x) for x in sets], pa.binary())
+            node = pa.array(np.fromiter(map(node_of, sets), np.uint64, len(sets)).view(np.int64))
+            size = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], words, node, size], names=["id", "a", "b", "words", "node", "size"])
 
     @F.arrow_udf("array<long>")
     def set_of(texts: pa.Array) -> pa.Array:
@@ -352,23 +458,32 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = packed(df)
     keyed = rows.select("r", *_row_key(field(id_col), field(text_col)))
-    prints = cut(rows.select(field(id_col).alias("id"), *_row_key(field(id_col), field(text_col)), print_of(whole(field(text_col))).alias("words")))
-    classes = prints.groupBy("words").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "a", "b")).alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    texts = rows.select(field(id_col).alias("id"), *_row_key(field(id_col), field(text_col)), whole(field(text_col)).alias("text"))
+    prints = cut(texts.mapInArrow(print_of, f"id {texts.schema['id'].dataType.simpleString()}, a long, b long, words binary, node long, size long"))
+    classes = cut(prints.groupBy("node").agg(F.min("words").alias("words"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "a", "b")).alias("least"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size")))
+    tokens = classes.agg(F.sum(F.ceil((1 - similarity) * F.col("size")) + 1)).first()[0] or 0
 
     share, width = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WORDS
     limit = math.ceil(width * (share + 3 * math.sqrt(share * (1 - share) / width)))
-    links = cut(near_links(classes, classes.count(), WORDS, TABLES, KEY_BITS, KEY_MOST, limit, stars=False))
-    ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
-    asked = cut(classes.join(ends, "node", "left_semi").select("node", F.col("least.a").alias("a"), F.col("least.b").alias("b")))
-    sets = cut(keyed.join(small(asked, max_broadcast), ["a", "b"]).dropDuplicates(["node"]).select("node", set_of(whole(field(text_col))).alias("set")))
-    pairs = links.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
-    members = components(pairs.filter(alike(F.col("x"), F.col("y"), similarity)).select("u", "v"))
-
-    labelled = classes.join(members, "node", "left").select("words", "least", "n", F.coalesce("root", "node").alias("root"))
+
+    def confirmed(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
+        asked = cut(classes.join(ends, "node", "left_semi").select("node", F.col("least.a").alias("a"), F.col("least.b").alias("b")))
+        sets = cut(keyed.join(small(asked, max_broadcast), ["a", "b"]).dropDuplicates(["node"]).select("node", set_of(whole(field(text_col))).alias("set")))
+        pairs = links.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
+        return pairs.filter(alike(F.col("x"), F.col("y"), similarity)).select("u", "v")
+
+    first = cut(confirmed(cut(near_links(classes.filter("size > 0"), classes.count(), WORDS, TABLES, KEY_BITS, KEY_MOST, limit, stars=False))))
+    members = components(first)
+    weights = rarity(rows, whole(field(text_col)), shingle)
+    second = cut(confirmed(cut(prefix_links(texts, members, weights, shingle, similarity, tokens, max_broadcast))))
+    if not second.isEmpty():
+        members = components(first.union(second))
+
+    labelled = classes.join(members, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
     best = labelled.groupBy("root").agg(F.min("least").alias("best"), F.sum("n").alias("all")).filter(F.col("all") > 1).drop("all")
-    best = labelled.join(best, "root").select("words", F.col("best.a").alias("own_a"), F.col("best.b").alias("own_b"))
-    gone = cut(prints.join(small(cut(best), max_broadcast // 4), "words").filter("a != own_a OR b != own_b").select("a", "b").distinct())
+    best = labelled.join(best, "root").select("node", F.col("best.a").alias("own_a"), F.col("best.b").alias("own_b"))
+    gone = cut(prints.join(small(cut(best), max_broadcast // 4), "node").filter("a != own_a OR b != own_b").select("a", "b").distinct())
     again = cut(prints.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b"))
     out = keyed.join(small(gone, max_broadcast), ["a", "b"], "left_anti")
     if not again.isEmpty():

@@ -556,6 +556,43 @@ def test_near_copies(spark, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_no_near_copy_is_missed(spark):
+    """Pairs just at the similarity, more than the tries of a SimHash find, and a frame that all texts share."""
+    rng = random.Random(5)
+    frame = " ".join(f"frame{k}" for k in range(30))
+    rows, n = [], 0
+    for k in range(400):
+        size = rng.choice([36, 45, 90, 180])
+        words = [f"p{k}w{j}" for j in range(size + 4)]
+        cut = size // 9  # of size shingles a ninth is lost at the end and replaced
+        other = words[: len(words) - cut] + [f"q{k}w{j}" for j in range(cut)]
+        rows += [(n, f"{frame} {' '.join(words)}" if k % 4 == 0 else " ".join(words)), (n + 1, f"{frame} {' '.join(other)}" if k % 4 == 0 else " ".join(other))]
+        n += 2
+    sets = [plain_shingles(t) for _, t in rows]
+    pairs = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, n, 2)]
+    assert min(pairs) == 0.8 and sum(x < 0.81 for x in pairs) >= 250
+    want = {i for i in range(0, n, 2)}
+    got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_prefix_pairs_hold_all_alike():
+    """Every pair of sets at the similarity meets in a prefix, in whatever order the weights put shingles."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 62, 60)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 40))) for _ in range(300)]
+    sets += [np.unique(np.r_[s[:-1], rng.integers(0, 1 << 62, 1)]) for s in sets if len(s) > 8]
+    for _ in range(3):
+        weight = {int(x): rng.integers(0, 3) for x in np.concatenate(sets)}
+        rows = []
+        for i, s in enumerate(sets):
+            order = sorted(s.tolist(), key=lambda x: (weight[x], x))
+            rows += [(x, i, len(s), k, i) for k, x in enumerate(order[: len(s) - math.ceil(0.8 * len(s) - 1e-6) + 1])]
+        found = set(zip(*[x.tolist() for x in simhash.prefix_pairs(*np.array(rows).T, 0.8)], strict=True))
+        want = {(a, b) for a in range(len(sets)) for b in range(a) if (both := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)}
+        assert want and want <= found
+
+
 def test_near_copies_of_null_and_repeated_ids(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(None, text, "x"), (None, text + " more", "x"), (1, text, "y"), (1, text, "y"), (1, text.upper() + " more", "z"), (None, "alone here", "x"), (None, "alone here", "x"), (7, "other text", "q"), (7, "no copy of it", "q")]
