@@ -1,14 +1,16 @@
-"""Shared pieces: scratch tables on the cluster's shared folder, ASCII folding, size-checked broadcasts."""
+"""Shared pieces: scratch tables on the cluster's shared folder, ASCII folding, size-checked broadcasts, workers' memory."""
 
 from __future__ import annotations
 
+import ctypes
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return to the system what this worker has freed: workers are used again, by other stages, and malloc and Arrow keep it for them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function of a task's batches, with give_back() after its last."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return then
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import whole
+from ._common import lean, whole
 
 _encoders: dict[tuple[str, str], Callable[[str], list[int]]] = {}
 
@@ -21,21 +22,26 @@ def encoder(model: str, ranks: str) -> Callable[[str], list[int]]:
     """text -> ids as tokenizers gives them with add_special_tokens=False.
 
     ranks holds the same vocabulary as merge ranks, which tiktoken reads four times as fast; texts
-    that hold a special token's string go to tokenizers itself.
+    that hold a special token's string go to tokenizers itself, which a worker loads when it meets one.
     """
     if (model, ranks) not in _encoders:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
-        exact = Tokenizer.from_file(model)
-        special = [t.content for t in exact.get_added_tokens_decoder().values()]
+        exact: list[Tokenizer] = []
+        with open(model, encoding="utf-8") as file:
+            special = [t["content"] for t in json.load(file)["added_tokens"]]
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
         def encode(text: str) -> list[int]:
-            return exact.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast(text)
+            if not any(s in text for s in special):
+                return fast(text)
+            if not exact:
+                exact.append(Tokenizer.from_file(model))
+            return exact[0].encode(text, add_special_tokens=False).ids
 
         _encoders[model, ranks] = encode
     return _encoders[model, ranks]
@@ -145,4 +151,4 @@ def pack_documents(df: DataFrame, model: str, ranks: str, id_col: str = "doc_id"
         if docs:
             yield from flush(True)
 
-    return df.select(F.col(f"`{id_col}`").cast("string").alias("id"), whole(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(f"`{id_col}`").cast("string").alias("id"), whole(text_col).alias("text")).mapInArrow(lean(run), SCHEMA)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE, cut, field, packed, small, whole
+from ._common import WHITE, cut, field, give_back, lean, packed, small, whole
 
 _FOLD = bytes.maketrans(WHITE, b" " * len(WHITE))
 #: Node pairs held at once in a traversal, and leaf pairs compared at once.
@@ -275,9 +275,10 @@ def near_links(nodes: DataFrame, rows: int, words: int, tables: int, bits: int,
             b = sets.root[a]
         else:
             a, b = (np.concatenate([np.zeros(0, np.int64), *[e[k] for e in sets.edges]]) for k in (0, 1))
+        give_back()
         return pa.table({"u": np.maximum(node[a], node[b]), "v": np.minimum(node[a], node[b])})
 
-    return nodes.select("node", "words").mapInArrow(deal, "part long, node long, words binary").groupBy("part").applyInArrow(join, "u long, v long").distinct()
+    return nodes.select("node", "words").mapInArrow(lean(deal), "part long, node long, words binary").groupBy("part").applyInArrow(join, "u long, v long").distinct()
 
 
 def components(links: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
@@ -352,7 +353,7 @@ def rarity(df: DataFrame, text_col: Column, shingle: int) -> np.ndarray:
         return pa.table({"k": table.column("k")[:1], "n": pa.array([np.floor(4 * np.log2(1 + total)).astype(np.uint8).tobytes()], pa.binary())})
 
     out = np.zeros((64, RARE // 64), np.uint8)
-    for r in df.select(text_col.alias("text")).mapInArrow(count, "k long, n binary").groupBy("k").applyInArrow(add, "k long, n binary").collect():
+    for r in df.select(text_col.alias("text")).mapInArrow(lean(count), "k long, n binary").groupBy("k").applyInArrow(add, "k long, n binary").collect():
         out[r.k] = np.frombuffer(r.n, np.uint8)
     return out.reshape(-1)
 
@@ -421,9 +422,10 @@ def prefix_links(texts: DataFrame, members: DataFrame, weights: np.ndarray, shin
 
     def join(table: pa.Table) -> pa.Table:
         u, v = prefix_pairs(*[table.column(c).to_numpy().astype(np.int64) for c in ("token", "node", "size", "place", "root")], similarity)
+        give_back()
         return pa.table({"u": u, "v": v})
 
-    sent = texts.select("text").mapInArrow(deal, "part long, token long, node long, size int, place int")
+    sent = texts.select("text").mapInArrow(lean(deal), "part long, token long, node long, size int, place int")
     rooted = sent.join(small(members, max_broadcast), "node", "left").select("part", "token", "node", "size", "place", F.coalesce("root", "node").alias("root"))
     return rooted.groupBy("part").applyInArrow(join, "u long, v long").distinct()
 
@@ -454,12 +456,14 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     @F.arrow_udf("array<long>")
     def set_of(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles_of(t.as_py(), shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))
+        out = pa.array([shingles_of(t.as_py(), shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))
+        give_back()
+        return out
 
     rows = packed(df)
     keyed = rows.select("r", *_row_key(field(id_col), field(text_col)))
     texts = rows.select(field(id_col).alias("id"), *_row_key(field(id_col), field(text_col)), whole(field(text_col)).alias("text"))
-    prints = cut(texts.mapInArrow(print_of, f"id {texts.schema['id'].dataType.simpleString()}, a long, b long, words binary, node long, size long"))
+    prints = cut(texts.mapInArrow(lean(print_of), f"id {texts.schema['id'].dataType.simpleString()}, a long, b long, words binary, node long, size long"))
     classes = cut(prints.groupBy("node").agg(F.min("words").alias("words"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "a", "b")).alias("least"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size")))
     tokens = classes.agg(F.sum(F.ceil((1 - similarity) * F.col("size")) + 1)).first()[0] or 0
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, field, packed, whole
+from ._common import cut, field, give_back, lean, packed, whole
 
 # Look-alike letters and digits or signs used for letters.
 HOMOGLYPHS = {
@@ -126,7 +126,7 @@ def _counts(sample: DataFrame, count, schema: str) -> DataFrame:
         if total:
             yield pa.RecordBatch.from_pydict({"entry": list(total), "n": pa.array(total.values(), pa.int64())})
 
-    return sample.select("folded", "toxic").mapInArrow(run, schema).groupBy("entry").agg(F.sum("n").alias("n"))
+    return sample.select("folded", "toxic").mapInArrow(lean(run), schema).groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def _sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
@@ -246,7 +246,9 @@ def toxicity(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([sent.value.score(t.as_py() or "") for t in texts], pa.float64())
+        out = pa.array([sent.value.score(t.as_py() or "") for t in texts], pa.float64())
+        give_back()
+        return out
 
     return df.withColumn("toxicity", score(whole(text_col)))
 

@@ -4,9 +4,12 @@ import base64
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import struct
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -14,6 +17,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -202,6 +206,45 @@ def test_targets_of_many_sources(spark):
     assert out == {k: pytest.approx(v) for k, v in filled(sizes).items()}
 
 
+WORKER = """
+import gc, pickle, random, re, sys
+import pyarrow as pa
+from pyspark import TaskContext
+
+TaskContext._taskContext = type("Task", (), {"partitionId": lambda self: 0})()
+run, rng = pickle.load(open(sys.argv[1], "rb")), random.Random(5)
+
+def held():
+    gc.collect()
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def work(rows):
+    for _ in range(3):
+        texts = [" ".join(rng.choices("abcdefghij", k=1000)) for _ in range(rows)]
+        batch = pa.RecordBatch.from_pydict({"id": texts, "text": texts})
+        del texts
+        yield batch
+
+for _ in run(work(2)):
+    pass
+small = held()
+for _ in run(work(8000)):
+    pass
+print(held() - small)
+"""
+
+
+def test_packing_gives_memory_back(docs, monkeypatch, tmp_path):
+    """A worker that has packed a large task holds little more than after a small one; it is used again by other stages."""
+    (tmp_path / "worker.py").write_text(WORKER)
+    taken: list = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: taken.append(run) or df)
+    packing.pack_documents(docs, queries.TOKENIZER, queries.RANKS)
+    (tmp_path / "run").write_bytes(cloudpickle.dumps(taken[0]))
+    out = subprocess.run([sys.executable, tmp_path / "worker.py", tmp_path / "run"], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert float(out.stdout) < 20
+
+
 @pytest.mark.parametrize("window", [1 << 20, 3000])
 def test_packing_round_trip(docs, empty, window):
     exact = Tokenizer.from_file(queries.TOKENIZER)
