@@ -18,6 +18,8 @@ _FOLD = bytes.maketrans(WHITE, b" " * len(WHITE))
 FRONTIER, LEAVES = 1 << 14, 1 << 17
 #: The wide fingerprint of near copies: 64-bit words, tables cut from it, bits of a table's key, bits by which keys may differ.
 WORDS, TABLES, KEY_BITS, KEY_MOST = 6, 8, 24, 2
+#: Keys of two MinHash values each, by which a set finds the centre of its group.
+MINS = 8
 #: Ranges of shingle hashes by which frequent shingles are told from rare ones.
 RARE_BITS = 21
 RARE = 1 << RARE_BITS
@@ -97,6 +99,14 @@ def wide_fingerprint(shingles: np.ndarray, words: int = WORDS) -> bytes:
     return np.packbits(2 * total > len(shingles), bitorder="little").tobytes()
 
 
+def min_keys(shingles: np.ndarray) -> bytes:
+    """MINS keys of 64 bits, each of two MinHash values of a set; zero bytes for an empty set."""
+    if not len(shingles):
+        return bytes(8 * MINS)
+    least = np.array([(shingles * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min() for k in range(1, 2 * MINS + 1)], "<u8")
+    return _mix(_mix(least[::2]) + least[1::2]).tobytes()
+
+
 def alike(x: Column, y: Column, similarity: float) -> Column:
     """Whether the Jaccard similarity of two sets, given as arrays, reaches ``similarity``; two empty ones are alike."""
     both = F.size(F.array_intersect(x, y))
@@ -230,6 +240,11 @@ def turned(words: np.ndarray, table: int, block: int, bits: int, most: int) -> t
     return key << np.uint64(64 - bits) if bits < 64 else key, size
 
 
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it in one of the columns."""
+    return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)][: len(columns[0])]
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words)
 
@@ -281,6 +296,49 @@ def near_links(nodes: DataFrame, rows: int, words: int, tables: int, bits: int,
     return nodes.select("node", "words").mapInArrow(lean(deal), "part long, node long, words binary").groupBy("part").applyInArrow(join, "u long, v long").distinct()
 
 
+def centres(key: np.ndarray, node: np.ndarray, words: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node to the centre of those with its key, if their fingerprints differ in at most ``limit`` bits.
+
+    The centre is the node nearest to the majority of their fingerprints' bits, of several the smallest.
+    """
+    order = np.lexsort((node, key))
+    key, node, words = key[order], node[order], words[order]
+    starts = np.flatnonzero(_heads(key))
+    stops = np.r_[starts, len(key)][1:]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo, hi in zip(*(x[stops - starts > 1].tolist() for x in (starts, stops)), strict=True):
+        some, rows = node[lo:hi], words[lo:hi]
+        middle = np.packbits(2 * votes(rows) > hi - lo, bitorder="little").view("<u8")
+        centre = np.bitwise_count(rows ^ middle).sum(axis=1, dtype=np.int64).argmin()
+        near = (np.bitwise_count(rows ^ rows[centre]).sum(axis=1, dtype=np.int64) <= limit) & (some != some[centre])
+        found.append((some[near], np.full(near.sum(), some[centre])))
+    u, v = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def centre_links(nodes: DataFrame, rows: int, limit: int, block_rows: int = 1 << 16) -> DataFrame:
+    """u, v (v < u): links of nodes that share a key with its centre; nodes: node, words, keys (MINS of 64 bits).
+
+    A text that few of its group's are like is mostly like the group's centre, so this connects dense groups
+    of loose copies by MINS links a node at most; what it misses is left to prefix_links.
+    """
+    lead = max(8, math.ceil(math.log2(max(1, MINS * rows / block_rows))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _matrix(batch.column(2), MINS)
+            for k in range(MINS):
+                key = _mix(keys[:, k] + np.uint64(k))
+                yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(64 - lead)).astype(np.int64)), pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], names=["part", "key", "node", "words"])
+
+    def join(table: pa.Table) -> pa.Table:
+        u, v = centres(table.column("key").to_numpy(), table.column("node").to_numpy(), _matrix(table.column("words"), WORDS), limit)
+        give_back()
+        return pa.table({"u": u, "v": v})
+
+    return nodes.select("node", "words", "keys").mapInArrow(lean(deal), "part long, key long, node long, words binary").groupBy("part").applyInArrow(join, "u long, v long").distinct()
+
+
 def components(links: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
     """node, root (the smallest node reachable) of every node in links (u, v; v < u).
 
@@ -363,32 +421,37 @@ def prefix_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, place: n
 
     place: of the token in its node's order. Where it is the first that both have, no more than what follows
     it is shared, and sizes differ by no more than the similarity lets them; every pair that is alike passes
-    at that token.
+    at that token. Pairs of one root are not looked at, so a group that is connected but for a few nodes costs
+    no more than those times its size.
     """
     order = np.lexsort((node, size, token))
     again = (token[order[1:]] == token[order[:-1]]) & (node[order[1:]] == node[order[:-1]])  # rows of one set
     order = order[np.r_[True, ~again]] if len(order) else order
     token, node, size, place, root = (x[order] for x in (token, node, size, place, root))
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-    if len(starts):
-        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        keep = np.repeat(mixed, np.diff(np.r_[starts, len(token)]))
-        token, node, size, place, root = (x[keep] for x in (token, node, size, place, root))
-    found, held, at, step = [np.zeros((0, 2), np.int64)], 0, np.arange(len(token)), 1
-    while len(at):
-        at = at[at + step < len(token)]
-        at = at[token[at] == token[at + step]]
-        at = at[size[at] >= similarity * size[at + step] - 1e-6]  # ascending sizes: later ones are too large as well
-        b = at + step
-        most = 1 + np.minimum(size[at] - place[at], size[b] - place[b]) - 1
-        near = (root[at] != root[b]) & (most >= similarity / (1 + similarity) * (size[at] + size[b]) - 1e-6)
-        u, v = node[at[near]], node[b[near]]
+    order = np.lexsort((root, token))
+    token, node, size, place, root = (x[order] for x in (token, node, size, place, root))
+    block = np.cumsum(_heads(token, root)) - 1
+    order = np.lexsort((block, -np.bincount(block)[block], token))  # a token's largest root first: its rows meet no others of it
+    token, node, size, place, root = (x[order] for x in (token, node, size, place, root))
+    first, own = (np.maximum.accumulate(np.where(heads, np.arange(len(token)), 0)) for heads in (_heads(token), _heads(token, root)))
+    at = np.flatnonzero(own > first)  # each meets its token's rows of the roots before its own
+    ends = np.cumsum(own[at] - first[at])
+    found, held, lo = [np.zeros((0, 2), np.int64)], 0, 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 8 * LEAVES, "right")))
+        some = at[lo:hi]
+        n = own[some] - first[some]
+        a = np.repeat(some, n)
+        b = np.arange(len(a)) + np.repeat(first[some] - (np.cumsum(n) - n), n)
+        most = np.minimum(size[a] - place[a], size[b] - place[b])
+        near = most >= similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6  # sizes too far apart fail as well
+        u, v = node[a[near]], node[b[near]]
         found.append(np.c_[np.maximum(u, v), np.minimum(u, v)])
         held += len(u)
         if held > 1 << 21:
             found = [np.unique(np.concatenate(found), axis=0)]
-            held = 0
-        step += 1
+            held = len(found[0])
+        lo = hi
     pairs = np.unique(np.concatenate(found), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
@@ -437,8 +500,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     ``similarity`` or more; a group is what such links connect. First candidates come from trie self-joins of
     a wide SimHash (WORDS 64-bit words of the set): texts of that similarity differ in a known share of
     bits, so the budget is that share and three standard deviations; each of TABLES tables joins keys of
-    KEY_BITS bits at a Hamming budget of KEY_MOST. They connect most groups, dense ones above all, but miss
-    some pairs; so texts of two components that share a shingle of their prefixes are candidates as well,
+    KEY_BITS bits at a Hamming budget of KEY_MOST. Texts that share MinHash values are linked to the most
+    central of them besides (see centre_links). Both connect most groups, dense ones above all, but miss some pairs; so texts of two components that share a shingle of their prefixes are candidates as well,
     which leaves no pair out (see prefix_links). Every link is confirmed by the shingles themselves.
 
     Null text counts as empty; texts without words are one group, shorter ones have one shingle. Of a
@@ -451,8 +514,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
             sets = [shingles_of(t.as_py(), shingle) for t in batch.column(3)]
             words = pa.array([wide_fingerprint(x) for x in sets], pa.binary())
             node = pa.array(np.fromiter(map(node_of, sets), np.uint64, len(sets)).view(np.int64))
-            size = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], words, node, size], names=["id", "a", "b", "words", "node", "size"])
+            size, keys = pa.array([len(x) for x in sets], pa.int64()), pa.array([min_keys(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], words, node, size, keys], names=["id", "a", "b", "words", "node", "size", "keys"])
 
     @F.arrow_udf("array<long>")
     def set_of(texts: pa.Array) -> pa.Array:
@@ -463,8 +526,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = packed(df)
     keyed = rows.select("r", *_row_key(field(id_col), field(text_col)))
     texts = rows.select(field(id_col).alias("id"), *_row_key(field(id_col), field(text_col)), whole(field(text_col)).alias("text"))
-    prints = cut(texts.mapInArrow(lean(print_of), f"id {texts.schema['id'].dataType.simpleString()}, a long, b long, words binary, node long, size long"))
-    classes = cut(prints.groupBy("node").agg(F.min("words").alias("words"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "a", "b")).alias("least"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size")))
+    prints = cut(texts.mapInArrow(lean(print_of), f"id {texts.schema['id'].dataType.simpleString()}, a long, b long, words binary, node long, size long, keys binary"))
+    classes = cut(prints.groupBy("node").agg(F.min("words").alias("words"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "a", "b")).alias("least"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("keys").alias("keys")))
     tokens = classes.agg(F.sum(F.ceil((1 - similarity) * F.col("size")) + 1)).first()[0] or 0
 
     share, width = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * WORDS
@@ -477,7 +540,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = links.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
         return pairs.filter(alike(F.col("x"), F.col("y"), similarity)).select("u", "v")
 
-    first = cut(confirmed(cut(near_links(classes.filter("size > 0"), classes.count(), WORDS, TABLES, KEY_BITS, KEY_MOST, limit, stars=False))))
+    filled, count = classes.filter("size > 0"), classes.count()
+    candidates = near_links(filled, count, WORDS, TABLES, KEY_BITS, KEY_MOST, limit, stars=False).union(centre_links(filled, count, limit))
+    first = cut(confirmed(cut(candidates.distinct())))
     members = components(first)
     weights = rarity(rows, whole(field(text_col)), shingle)
     second = cut(confirmed(cut(prefix_links(texts, members, weights, shingle, similarity, tokens, max_broadcast))))

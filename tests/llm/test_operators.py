@@ -636,6 +636,53 @@ def test_prefix_pairs_hold_all_alike():
         assert want and want <= found
 
 
+def test_pairs_of_one_root_are_left_out():
+    """All pairs of two roots that share a token and may be alike, and no others; empty input too."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        n = int(rng.integers(0, 80))
+        size = rng.integers(5, 30, n)
+        root = rng.choice([0, 0, 0, 1, 2, *range(n)], n) if n else np.zeros(0, np.int64)
+        rows = sorted({(int(t), i): (int(t), i, int(size[i]), int(rng.integers(0, 6)), int(root[i])) for i in range(n) for t in rng.integers(0, 9, 3)}.values())
+        want = set()
+        for a in rows:
+            for b in rows:
+                if a[0] == b[0] and a[1] > b[1] and a[4] != b[4] and min(a[2] - a[3], b[2] - b[3]) >= 0.8 / 1.8 * (a[2] + b[2]) - 1e-6:
+                    want.add((a[1], b[1]))
+        got = simhash.prefix_pairs(*np.array(rows, np.int64).reshape(-1, 5).T, 0.8)
+        assert set(zip(*[x.tolist() for x in got], strict=True)) == want and len(got[0]) == len(want)
+
+
+def test_a_large_loose_group_makes_few_links(spark, monkeypatch):
+    """Copies of one text, most of them too far from each other, all of them near the centre: links grow with the group, not its square."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for n in range(600):
+        other = base.copy()
+        for k in range(n % 4):
+            other[50 * k + rng.randrange(40)] = f"new{n}x{k}"
+        rows.append((n, " ".join([*other, *([f"end{n}"] * (n % 4 == 0))])))
+    rows += [(1000 + n, " ".join(f"v{n}x{k}" for k in range(40))) for n in range(50)]
+    sets = [plain_shingles(t) for _, t in rows]
+    groups = plain_groups(sets, 0.8)
+    far = sum(len(a & b) < 0.8 * len(a | b) for a in sets[:600] for b in sets[:100]) / 60_000
+    assert far > 0.25 and set(groups[:600]) == {0}
+    made, keep = [], simhash.cut
+
+    def counting(df):
+        out = keep(df)
+        if out.columns == ["u", "v"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counting)
+    got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {rows[k][0] for k in set(groups)}
+    print(made)
+    assert max(made) < 40 * len(rows)
+
+
 def test_near_copies_of_null_and_repeated_ids(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(None, text, "x"), (None, text + " more", "x"), (1, text, "y"), (1, text, "y"), (1, text.upper() + " more", "z"), (None, "alone here", "x"), (None, "alone here", "x"), (7, "other text", "q"), (7, "no copy of it", "q")]
