@@ -70,6 +70,23 @@ def test_terminations_and_moves(spark):
     assert [r[0] for r in kinds.select(turnover.is_termination(F.col("k"))).collect()] == [True] * 4 + [False] * 4
 
 
+def test_swaps_meet_in_blocks(spark, monkeypatch):
+    """A client's rows are made by several tasks, each of two blocks; the pairs are read once."""
+    monkeypatch.setattr(turnover, "BLOCK", 5, raising=False)
+    monkeypatch.setattr(turnover, "CYCLE", 2, raising=False)
+    ended, new = [f"e{k:02}" for k in range(17)], [f"n{k:02}" for k in range(13)]
+    rows = [(r, "C", q, 1.0, t) for r in ended for q, t in ((4, "Q1"), (6, "2T"))] + [(r, "C", 5 + k % 3, 1.0, "Q1") for k, r in enumerate(new)]
+    rows += [("both", "C", 6, 1.0, "2T"), ("late", "C", 8, 1.0, "Q4"), ("e", "lost only", 6, 1.0, "2T"), ("n", "won only", 6, 1.0, "Q1"), ("e", None, 6, 1.0, "2T"), ("n", None, 6, 1.0, "Q1")]
+    df = spark.createDataFrame([(*r, f"u{k}") for k, r in enumerate(rows)], "registrant string, client string, qidx int, amount double, filing_type string, filing_uuid string")
+    out = turnover.swaps(turnover.pair_quarters(df, [F.col("filing_uuid")]), 6)
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    first = {r: 5 + k % 3 for k, r in enumerate(new)} | {"both": 6}
+    want = [(a, b, first[b] - 6) for a in [*ended, "both"] for b in [*new, "both"] if a != b]
+    assert sorted((r.lost_by, r.won_by, r.hire_dq) for r in got) == sorted(want)
+    assert {r.client for r in got} == {"C"} and len({r.task for r in got}) > 1
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_gates(spark):
     a = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, v double")
     with pytest.raises(ValueError, match="2 rows against 1"):
