@@ -43,3 +43,9 @@ def test_entry(spark):
 def test_filter_and_columns_reach_the_scan(spark):
     plan = plans.QUERIES["anti_join_is_null"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,49.0)" in plan and "l_extendedprice" not in plan
+
+
+def test_swaps_deal_filings_once(spark):
+    """Line items are scanned once, and a pair's filings are dealt once."""
+    plan = plans.QUERIES["swaps"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning(registrant") == 1
